@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from tidemark.llm.jaccard_join import op7_ngram_jaccard
 from tidemark.llm.media_columns import op9_media_columns
 from tidemark.llm.pieces import op4_piece_encoding
 from tidemark.llm.token_counts import op6_token_counts
@@ -9,6 +10,7 @@ from tidemark.llm.token_counts import op6_token_counts
 QUERIES = {
     "op4_piece_encoding": op4_piece_encoding,
     "op6_token_counts": op6_token_counts,
+    "op7_ngram_jaccard": op7_ngram_jaccard,
     "op9_media_columns": op9_media_columns,
 }
 
