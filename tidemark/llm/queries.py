@@ -4,14 +4,18 @@ from __future__ import annotations
 
 from tidemark.llm.jaccard_join import op7_ngram_jaccard
 from tidemark.llm.media_columns import op9_media_columns
+from tidemark.llm.packing import op2_packing
 from tidemark.llm.pieces import op4_piece_encoding
 from tidemark.llm.token_counts import op6_token_counts
+from tidemark.llm.topk_search import OP3_SQL, op3_topk_search
 
 QUERIES = {
+    "op2_packing": op2_packing,
+    "op3_topk_search": op3_topk_search,
     "op4_piece_encoding": op4_piece_encoding,
     "op6_token_counts": op6_token_counts,
     "op7_ngram_jaccard": op7_ngram_jaccard,
     "op9_media_columns": op9_media_columns,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op3_topk_search": OP3_SQL}
