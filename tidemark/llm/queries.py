@@ -6,6 +6,7 @@ from tidemark.llm.jaccard_join import op7_ngram_jaccard
 from tidemark.llm.media_columns import op9_media_columns
 from tidemark.llm.packing import op2_packing
 from tidemark.llm.pieces import op4_piece_encoding
+from tidemark.llm.pii import op8_pii
 from tidemark.llm.token_counts import op6_token_counts
 from tidemark.llm.topk_search import OP3_SQL, op3_topk_search
 
@@ -15,6 +16,7 @@ QUERIES = {
     "op4_piece_encoding": op4_piece_encoding,
     "op6_token_counts": op6_token_counts,
     "op7_ngram_jaccard": op7_ngram_jaccard,
+    "op8_pii": op8_pii,
     "op9_media_columns": op9_media_columns,
 }
 
