@@ -7,10 +7,12 @@ from tidemark.llm.media_columns import op9_media_columns
 from tidemark.llm.packing import op2_packing
 from tidemark.llm.pieces import op4_piece_encoding
 from tidemark.llm.pii import op8_pii
+from tidemark.llm.substring_dedup import op1_substring_dedup
 from tidemark.llm.token_counts import op6_token_counts
 from tidemark.llm.topk_search import OP3_SQL, op3_topk_search
 
 QUERIES = {
+    "op1_substring_dedup": op1_substring_dedup,
     "op2_packing": op2_packing,
     "op3_topk_search": op3_topk_search,
     "op4_piece_encoding": op4_piece_encoding,
