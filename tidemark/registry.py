@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from tidemark.plans import scalar_queries
+
+QUERIES: dict = {**scalar_queries.QUERIES}
+ORACLE_SQL: dict[str, str] = {**scalar_queries.SQL}
