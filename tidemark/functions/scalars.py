@@ -86,20 +86,24 @@ def at_time(now: datetime | str | Column) -> Column:
     return now if isinstance(now, Column) else F.lit(str(now)).cast("timestamp")
 
 
+def rewriting(hint: str, pattern: str, keep: str):
+    """A function that rewrites one rule's matches, if a text holds its hint."""
+    folds = pattern.startswith("(?i)")
+    regex = "(?id)" + pattern[4:] if folds else "(?d)" + pattern
+
+    def rule(x: Column) -> Column:
+        there = F.lower(x).contains(hint) if folds else x.contains(hint)
+        return F.when(there, F.regexp_replace(x, regex, keep + MARK)).otherwise(x)
+
+    return rule
+
+
 def sanitize(c: Column | str) -> Column:
     """Secrets rewritten to a mark, rule after rule; the last rule keeps the key's name."""
     out = col(c)
     for hint, pattern in SECRETS:
-        keep = "$1" if pattern is SECRETS[-1][1] else ""
-        folds = pattern.startswith("(?i)")
-        regex = "(?id)" + pattern[4:] if folds else "(?d)" + pattern
-
-        def rule(x: Column, hint=hint, regex=regex, keep=keep, folds=folds) -> Column:
-            there = F.lower(x).contains(hint) if folds else x.contains(hint)
-            return F.when(there, F.regexp_replace(x, regex, keep + MARK)).otherwise(x)
-
         # As a list of one, so that the rules so far stand in the expression once, not three times.
-        out = F.get(F.transform(F.array(out), rule), F.lit(0))
+        out = F.get(F.transform(F.array(out), rewriting(hint, pattern, "$1" if pattern is SECRETS[-1][1] else "")), F.lit(0))
     return out
 
 

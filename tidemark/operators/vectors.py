@@ -103,8 +103,8 @@ def vector_top_k(queries: DataFrame, vectors: DataFrame, k: int, scope_cols: tup
     q, v = named(queries).select(*of, "query_id", F.col("embedding").alias("q")), named(vectors).select(*of, F.col(id_col).alias("id"), F.col("embedding").alias("v"))
     blocks = count(q, QUERY_BLOCK, "nq").join(count(v, VECTOR_BLOCK, "nv"), of)
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    left = q.join(blocks, of).withColumn("qb", F.pmod(F.xxhash64("query_id"), F.col("nq")).cast("int")).withColumn("vb", every("nv"))
-    right = v.join(blocks, of).withColumn("vb", F.pmod(F.xxhash64("id"), F.col("nv")).cast("int")).withColumn("qb", every("nq"))
+    left = q.join(blocks, of).select(*(F.col(s).alias(f"_{s}") for s in of), "query_id", "q", F.pmod(F.xxhash64("query_id"), F.col("nq")).cast("int").alias("_qb"), every("nv").alias("_vb"))
+    right = v.join(blocks, of).select(*of, "id", "v", F.pmod(F.xxhash64("id"), F.col("nv")).cast("int").alias("vb"), every("nq").alias("qb"))
     kinds = {f.name: f.dataType.simpleString() for f in [*q.schema, *v.schema]}
     schema = ", ".join([*(f"{s} {kinds[s]}" for s in of), f"query_id {kinds['query_id']}", f"id {kinds['id']}", "dist double"])
 
@@ -116,14 +116,14 @@ def vector_top_k(queries: DataFrame, vectors: DataFrame, k: int, scope_cols: tup
             if a.shape[1] and a.shape[1] == b.shape[1]:
                 size = np.outer(a_size, b_size)
                 near = np.where(size > 0, 1 - (a @ b.T) / np.where(size > 0, size, 1), 1.0)
-            near = np.round(near, EXACT)
+            near = np.round(near, EXACT) + 0.0  # no negative zero
             ids, names = np.array(vs.column("id").to_pylist(), object), qs.column("query_id").to_pylist()
             edge = np.partition(near, min(k, len(ids)) - 1, axis=1)[:, min(k, len(ids)) - 1]
             for n, name in enumerate(names):
                 hits = np.flatnonzero(near[n] <= edge[n])
                 out += [(name, i, d) for d, i in sorted(zip(near[n, hits].tolist(), ids[hits].tolist(), strict=True))[:k]]
         columns = list(zip(*out, strict=True)) if out else [[], [], []]
-        head = {s: [(qs if qs.num_rows else vs).column(s)[0].as_py()] * len(out) for s in of}
+        head = {s: [vs.column(s)[0].as_py()] * len(out) if out else [] for s in of}
         return pa.table({**head, "query_id": list(columns[0]), "id": list(columns[1]), "dist": list(columns[2])}).cast(target)
 
     # Spark's schema of the result as Arrow's, so that empty results have their types too.
@@ -132,7 +132,7 @@ def vector_top_k(queries: DataFrame, vectors: DataFrame, k: int, scope_cols: tup
 
     target = to_arrow_schema(StructType.fromDDL(schema))
     keys = [*of, "qb", "vb"]
-    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(nearest, schema)
+    found = left.groupBy(*(f"_{x}" for x in keys)).cogroup(right.groupBy(*keys)).applyInArrow(nearest, schema)
     if max_dist is not None:
         found = found.filter(F.col("dist") <= max_dist)
     rank = F.row_number().over(W.partitionBy("query_id", *scope).orderBy("dist", "id")) - 1
