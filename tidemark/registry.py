@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.plans import job_queries, scalar_queries
+from tidemark.plans import job_queries, scalar_queries, stream_queries
 
-QUERIES: dict = {**scalar_queries.QUERIES, **job_queries.QUERIES}
-ORACLE_SQL: dict[str, str] = {**scalar_queries.SQL, **job_queries.SQL}
+QUERIES: dict = {**scalar_queries.QUERIES, **job_queries.QUERIES, **stream_queries.QUERIES}
+ORACLE_SQL: dict[str, str] = {**scalar_queries.SQL, **job_queries.SQL, **stream_queries.SQL}
