@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -20,13 +21,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@lru_cache(maxsize=1)
+def own_dir() -> str:
+    return f"file://{tempfile.mkdtemp(prefix='tidemark-')}"
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the cluster shares (spark.checkpoint.dir); only where that is unset, as in tests, one of our own."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = f"file://{tempfile.mkdtemp(prefix='tidemark-')}"
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    return (spark.conf.get("spark.checkpoint.dir", None) or own_dir()).rstrip("/")
 
 
 def written(df: DataFrame, what: str) -> DataFrame:
@@ -37,6 +39,14 @@ def written(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def unused(name: str, *frames: DataFrame) -> str:
+    """The name, with underscores after it until no frame has such a column."""
+    taken = {c.lower() for df in frames for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def filter_bit(c: str):
     return F.pmod(F.xxhash64(c), F.lit(FILTER_BITS))
 
@@ -96,3 +106,12 @@ def components(edges: DataFrame, what: str) -> DataFrame:
         labels = new.select("node", "component")
         if not changed:
             return labels
+
+
+def merged_components(labels: DataFrame, more: DataFrame, what: str) -> DataFrame:
+    """Components after further edges (a, b): only the components that these join are looked at again."""
+    ends = more.select("a").union(more.select("b")).distinct().withColumnRenamed("a", "node")
+    every = written(labels.union(ends.join(labels, "node", "left_anti").select("node", F.col("node").alias("component"))), f"{what}-labels")
+    near = more.join(every.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a").join(every.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b")
+    joined = components(near.select(F.col("ca").alias("a"), F.col("cb").alias("b")), what).select(F.col("node").alias("component"), F.col("component").alias("new"))
+    return written(every.join(joined, "component", "left").select("node", F.coalesce("new", "component").alias("component")), f"{what}-labels")
