@@ -127,7 +127,8 @@ def fit(docs: DataFrame, labels: DataFrame, labelled: int, pool: int, rounds: in
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int = POOL, rounds: int = ROUNDS, reject: float = REJECT) -> DataFrame:
-    """All columns of docs, quality_score (0 to 1) and keep."""
+    """All columns of docs, quality_score (0 to 1) and keep (in place of columns of these names)."""
+    docs = docs.drop("quality_score", "keep")
     inputs = {"doc_id": "long", "text": "string", "source": "string", "lang": "string", "n_chars": "long"}
     model = fit(docs.select(*(F.col(c).cast(t).alias(c) for c, t in inputs.items())), labels, labelled, pool, rounds)
     if model is None:
