@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import table, written
+from tidemark.llm.common import table, unused, written
 
 #: The key of op8; give another as `key`.
 KEY = "surrogates-1"
@@ -38,6 +38,8 @@ TYPES = {
     "name": r"(?<![\p{L}.])(?:Mr|Mrs|Ms|Herr|Frau|Monsieur|Madame|Mme|Señor|Señora|Sra|Sr)\.? \p{Lu}[\p{Ll}'-]+(?: \p{Lu}[\p{Ll}'-]+)?",
 }
 ANY = "|".join(f"(?:{p})" for p in TYPES.values())
+#: What a text with an entity holds: a digit, an at sign, or one of these. Other texts skip the patterns.
+HINTS = ["ghp_", "gho_", "ghu_", "ghs_", "ghr_", "sk-", "password", "passwd", "secret", "token", "api_key", "apikey", "Mr", "Ms", "Herr", "Frau", "Monsieur", "Madame", "Mme", "Señor", "Sr"]
 # Titles of women, and the names that stand in.
 WOMEN = r"^(?:Mrs|Ms|Frau|Madame|Mme|Señora|Sra)"
 HERS = ["Ada", "Berta", "Clara", "Doris", "Edith", "Flora", "Greta", "Hanna", "Irma", "Julia", "Klara", "Laura", "Marta", "Nora", "Olga", "Paula"]
@@ -114,9 +116,8 @@ def check_digit(digits: Column) -> Column:
     return F.pmod(-total, F.lit(10)).cast("string")
 
 
-def core_surrogate(kind: Column, form: Column, attempt: Column, key: str) -> Column:
-    """The surrogate of a canonical form, itself canonical."""
-    n = drawn(F.concat_ws("|", F.lit(key), kind, attempt.cast("string"), form), F.length(form) + 4)
+def core_surrogate(kind: Column, form: Column, attempt: Column, n: Column) -> Column:
+    """The surrogate of a canonical form, itself canonical. n: a column of drawn numbers, more than the form has letters."""
     pick = lambda values, k: F.element_at(F.array(*[F.lit(v) for v in values]), F.pmod(F.get(n, F.lit(k)), F.lit(len(values))) + 1)
     digits = F.concat(F.substring(form, 1, 1), like_format(F.substr(form, F.lit(2), F.length(form) - 2), n))
     ip = F.concat(F.element_at(F.array(F.lit("198.18."), F.lit("198.19.")), F.pmod(F.get(n, F.lit(0)), F.lit(2)) + 1), F.pmod(F.get(n, F.lit(1)), F.lit(256)).cast("string"), F.lit("."), F.pmod(F.get(n, F.lit(2)), F.lit(256)).cast("string"))
@@ -162,7 +163,10 @@ def surrogates(entities: DataFrame, key: str) -> DataFrame:
     settled = []
     attempt = 0
     while True:
-        made = left.withColumn("core", core_surrogate(F.col("kind"), F.col("form"), F.lit(attempt), key))
+        numbers = drawn(F.concat_ws("|", F.lit(key), F.col("kind"), F.lit(str(attempt)), F.col("form")), F.length("form") + 4)
+        # Written, so that a form's numbers are drawn once and not for each of its letters.
+        made = written(left.withColumn("numbers", numbers), "pii-numbers")
+        made = made.withColumn("core", core_surrogate(F.col("kind"), F.col("form"), F.lit(attempt), F.col("numbers"))).drop("numbers")
         firsts = made.groupBy("kind", "core").agg(F.min("form").alias("first"))
         made = made.join(firsts, ["kind", "core"]).withColumn("good", F.col("form") == F.col("first")).drop("first")
         seen = entities.select("kind", F.col("form").alias("core")).distinct()
@@ -182,24 +186,28 @@ def surrogates(entities: DataFrame, key: str) -> DataFrame:
 
 
 def replace_pii(docs: DataFrame, key: str = KEY, text_column: str = "text", id_column: str = "doc_id") -> DataFrame:
-    """All columns of docs, the text with surrogates in place of entities, and n_entities. Texts without entities
-    aren't shuffled; the others meet their surrogates by their id and a hash of the text."""
+    """All columns of docs, the text with surrogates in place of entities, and n_entities. Texts without
+    digits, at signs or hints stay out of the shuffle; the others are cut once, written, and meet their surrogates by a
+    hash of their id and text."""
     text = F.col(text_column)
-    marked = docs.withColumn("_hit", F.coalesce(text.rlike(ANY), F.lit(False)))
-    clean = marked.filter(~F.col("_hit")).drop("_hit").withColumn("n_entities", F.lit(0))
+    maybe = text.rlike("[0-9@]")
+    for hint in HINTS:
+        maybe = maybe | text.contains(hint)
+    row, parts, new, flag = (unused(x, docs) for x in ("_row", "_parts", "_new", "_maybe"))
+    marked = docs.withColumn(flag, F.coalesce(maybe, F.lit(False)))
+    clean = marked.filter(~F.col(flag)).drop(flag).withColumn("n_entities", F.lit(0))
     # A mark that the text doesn't hold: a control character, with the text's hash after it if need be.
     mark = F.when(text.contains("\x01"), F.concat(F.lit("\x01"), F.md5(text), F.lit("\x01"))).otherwise(F.lit("\x01"))
-    hit = marked.filter("_hit").drop("_hit").withColumn("_mark", mark).withColumn("_row", F.xxhash64(id_column, text_column))
-    parts = F.split(F.regexp_replace(text, F.lit(ANY), F.concat("_mark", F.lit("$0"), "_mark")), F.col("_mark"))
-    cut = hit.withColumn("_parts", parts)
-    values = F.filter("_parts", lambda _, i: i % 2 == 1)
-    found = written(cut.select("_row", F.explode(F.array_distinct(values)).alias("value")).distinct().withColumn("kind", entity_type(F.col("value"))).withColumn("form", canonical(F.col("kind"), F.col("value"))), "pii-found")
+    pieces = F.split(F.regexp_replace(text, F.lit(ANY), F.concat(mark, F.lit("$0"), mark)), mark)
+    cut = written(marked.filter(flag).drop(flag).withColumns({row: F.xxhash64(id_column, text_column), parts: pieces}), "pii-parts")
+    values = F.filter(parts, lambda _, i: i % 2 == 1)
+    found = written(cut.select(F.col(row).alias("row"), F.explode(F.array_distinct(values)).alias("value")).distinct().withColumn("kind", entity_type(F.col("value"))).withColumn("form", canonical(F.col("kind"), F.col("value"))), "pii-found")
     said = found.join(surrogates(found, key), ["kind", "form"]).withColumn("new", in_form(F.col("kind"), F.col("value"), F.col("core")))
-    by_row = said.groupBy("_row").agg(F.map_from_entries(F.collect_list(F.struct("value", "new"))).alias("_new"))
-    joined = cut.join(by_row, "_row")
-    whole = F.array_join(F.transform("_parts", lambda x, i: F.when(i % 2 == 1, F.col("_new")[x]).otherwise(x)), "")
-    done = joined.withColumn(text_column, whole).withColumn("n_entities", F.floor(F.size("_parts") / 2).cast("int"))
-    return clean.unionByName(done.drop("_mark", "_row", "_parts", "_new"))
+    by_row = said.groupBy(F.col("row").alias(row)).agg(F.map_from_entries(F.collect_list(F.struct("value", "new"))).alias(new))
+    joined = cut.join(by_row, row, "left")
+    whole = F.array_join(F.transform(parts, lambda x, i: F.when(i % 2 == 1, F.col(new)[x]).otherwise(x)), "")
+    done = joined.withColumn(text_column, whole).withColumn("n_entities", F.floor(F.size(parts) / 2).cast("int"))
+    return clean.unionByName(done.drop(row, parts, new))
 
 
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
