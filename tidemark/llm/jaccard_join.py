@@ -8,8 +8,8 @@ The join is exact. It works in size bands and tiles:
    few others). Documents meet if a part of theirs is the same, in their own band or the next.
 3. Where documents meet, each is held against the smallest of them. Tiles (a leader and some of its members) bound the
    overlap from above by bit counts of hashed bitmaps and, where the bound allows it, intersect the sorted arrays.
-4. A meeting in which all link to its leader is one class already. In others, those that didn't link are held against
-   all, in tiles of bounded size, with links inside a tile kept as a spanning forest.
+4. A meeting whose documents all fell into one class is done. In others, the documents of different classes are held
+   against each other in tiles of bounded size, first by the bitmaps alone; pairs that these let pass go the way of 3.
 5. Classes are the connected components of the links.
 
 No pair inside a class is lost to a cap: pairs are left out only if both ends are known to be in one class.
@@ -31,14 +31,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import components, filter_bit, id_filter, in_filter, table, text_slices, written
+from tidemark.llm.common import components, filter_bit, id_filter, in_filter, merged_components, table, text_slices, written
 from tidemark.llm.shingles import mix, shingle_sets
 
 #: A band's largest size is at most this many times its smallest.
 BAND = 1.5
 #: Members in a tile beside its leader, and documents on a side of a tile of a meeting.
 TILE, SIDE = 500, 400
-BITMAP_BITS = 2048
+#: A bitmap's bits for each shingle, before rounding up to a power of two; and its fewest.
+BITS_EACH, FEWEST_BITS = 6, 2048
 
 
 def band_of(size: int) -> int:
@@ -69,7 +70,7 @@ def signatures(own: np.ndarray, percent: int) -> np.ndarray:
     place, value = mix(own ^ np.uint64(0x5851F42D4C957F2D)) >> np.uint64(32), mix(own + np.uint64(0x14057B7EF767814F))
     for band in bands:
         most = differ_most(band, percent)
-        parts = most + 1 + (most + 1) // 8
+        parts = most + 2 + most // 32  # some to spare, since a few stay empty
         part = (place * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
         total, full = np.zeros(parts, np.uint64), np.zeros(parts, bool)
         np.add.at(total, part, value)
@@ -80,10 +81,17 @@ def signatures(own: np.ndarray, percent: int) -> np.ndarray:
     return np.concatenate(out).view(np.int64)
 
 
-def bitmap(own: np.ndarray, bits: int) -> np.ndarray:
+def bitmap(own: np.ndarray) -> np.ndarray:
+    bits = max(FEWEST_BITS, 1 << (BITS_EACH * len(own)).bit_length())
     flags = np.zeros(bits, np.uint8)
     flags[(own >> np.uint64(7)).astype(np.int64) & bits - 1] = 1
-    return np.packbits(flags).view(np.uint64)
+    return np.packbits(flags, bitorder="little").view(np.uint64)
+
+
+def alike(maps: list[np.ndarray]) -> np.ndarray:
+    """Bitmaps of one width: that of the narrowest, onto which wider ones fold."""
+    width = min(map(len, maps))
+    return np.stack([np.bitwise_or.reduce(m.reshape(-1, width), axis=0) for m in maps])
 
 
 def overlap_bound(sizes: np.ndarray, maps: np.ndarray, size: int, own: np.ndarray) -> np.ndarray:
@@ -137,9 +145,10 @@ def jaccard_classes(docs: DataFrame, k: int = 4, percent: int = 85, id_column: s
     keys = written(map_sets(docs, emit_keys, "doc_id long, n_shingles long, set_key binary", k), "jaccard-keys")
     first = keys.filter("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("doc"))
 
-    def emit_sets(rows, sets):
+    def emit_maps(rows, sets):
         hit = np.flatnonzero(in_filter(bits, rows.column("bit").to_numpy()))
-        return pa.RecordBatch.from_arrays([rows.column("doc_id").take(pa.array(hit)), pa.array([sets[i].tobytes() for i in hit], pa.binary())], names=["doc", "own"])
+        hit = hit[[len(sets[i]) > 0 for i in hit]] if len(hit) else hit
+        return pa.RecordBatch.from_arrays([rows.column("doc_id").take(pa.array(hit)), pa.array([len(sets[i]) for i in hit], pa.int64()), pa.array([bitmap(sets[i]).tobytes() for i in hit], pa.binary())], names=["doc", "size", "held"])
 
     signed = (
         map_sets(docs, emit_signatures, "doc_id long, set_key binary, n_shingles long, sigs array<long>", k)
@@ -155,80 +164,99 @@ def jaccard_classes(docs: DataFrame, k: int = 4, percent: int = 85, id_column: s
     )
     pairs = met.filter(f"doc <> leader and 100 * least(size, leader_size) >= {percent} * greatest(size, leader_size)").select("doc", "leader").distinct()
     bits = id_filter(met.select("doc").distinct(), "doc")
-    sets = written(map_sets(docs.withColumn("bit", filter_bit("doc_id")), emit_sets, "doc long, own binary", k), "jaccard-sets")
-    links = written(verify_leaders(pairs, sets, percent), "jaccard-links")
-    edges = links.select(F.col("doc").alias("a"), F.col("leader").alias("b")).union(verify_rest(met, links, sets, percent))
-    classes = components(edges, "jaccard")
+    maps = written(map_sets(docs.withColumn("bit", filter_bit("doc_id")), emit_maps, "doc long, size long, held binary", k), "jaccard-maps")
+    near = written(in_tiles(pairs, maps, percent, False), "jaccard-near")
+    links = written(verify(near, docs, k, percent), "jaccard-links")
+    classes = components(links.toDF("a", "b"), "jaccard")
+    rest = written(rest_pairs(met, classes, maps, percent), "jaccard-rest")
+    if rest.limit(1).count():
+        classes = merged_components(classes, verify(rest, docs, k, percent).toDF("a", "b"), "jaccard")
     named = first.join(classes, first.doc == classes.node, "left").select("set_key", F.coalesce("component", "doc").alias("component"))
     return keys.join(named, "set_key", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 
-def verify_leaders(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The (doc, leader) pairs that link. A leader of many members comes in several tiles."""
+def verify(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """The (doc, leader) pairs that link, by their sets, which are made again for the documents in pairs only."""
+    bits = id_filter(pairs.select("doc").union(pairs.select("leader")).distinct(), "doc")
+
+    def emit(rows, sets):
+        hit = np.flatnonzero(in_filter(bits, rows.column("bit").to_numpy()))
+        return pa.RecordBatch.from_arrays([rows.column("doc_id").take(pa.array(hit)), pa.array([len(sets[i]) for i in hit], pa.int64()), pa.array([sets[i].tobytes() for i in hit], pa.binary())], names=["doc", "size", "held"])
+
+    sets = written(map_sets(docs.withColumn("bit", filter_bit("doc_id")), emit, "doc long, size long, held binary", k), "jaccard-sets")
+    return in_tiles(pairs, sets, percent, True)
+
+
+def in_tiles(pairs: DataFrame, held: DataFrame, percent: int, exact: bool) -> DataFrame:
+    """Pairs that pass, in tiles of a leader and some of its members. A leader of many members comes in several."""
     tiles = pairs.groupBy("leader").agg(F.ceil(F.count(F.lit(1)) / TILE).alias("tiles"))
-    members = pairs.join(sets, "doc").join(tiles, "leader").select("leader", F.pmod(F.xxhash64("doc"), F.col("tiles")).alias("tile"), "doc", "own")
-    alone = sets.select(F.col("doc").alias("lead"), F.col("own").alias("lead_own"))
-    leaders = alone.join(tiles.withColumnRenamed("leader", "lead"), "lead").select("lead", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)).alias("lead_tile"), "lead_own")
+    members = pairs.join(held, "doc").join(tiles, "leader").select("leader", F.pmod(F.xxhash64("doc"), F.col("tiles")).alias("tile"), "doc", "size", "held")
+    alone = held.select(F.col("doc").alias("lead"), F.col("size").alias("lead_size"), F.col("held").alias("lead_held"))
+    leaders = alone.join(tiles.withColumnRenamed("leader", "lead"), "lead").select("lead", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)).alias("lead_tile"), "lead_size", "lead_held")
 
     def check(left: pa.Table, right: pa.Table) -> pa.Table:
-        found = []
+        doc, leader = np.zeros(0, np.int64), np.zeros(0, np.int64)
         if left.num_rows and right.num_rows:
-            leader = np.frombuffer(left.column("lead_own")[0].as_py(), np.uint64)
-            own = [np.frombuffer(x, np.uint64) for x in right.column("own").to_pylist()]
-            found = [d for d, hit in zip(right.column("doc").to_pylist(), tile_links(own, leader, percent), strict=True) if hit]
-        return pa.table({"doc": pa.array(found, pa.int64()), "leader": pa.array([left.column("lead")[0].as_py()] * len(found) if found else [], pa.int64())})
+            lead, size = np.frombuffer(left.column("lead_held")[0].as_py(), np.uint64), left.column("lead_size")[0].as_py()
+            own = [np.frombuffer(x, np.uint64) for x in right.column("held").to_pylist()]
+            hit = np.array([linked(x, lead, percent) for x in own]) if exact else bounded(right.column("size").to_numpy(), own, size, lead, percent)
+            doc = right.column("doc").to_numpy()[hit]
+            leader = np.full(len(doc), left.column("lead")[0].as_py())
+        return pa.table({"doc": pa.array(doc, pa.int64()), "leader": pa.array(leader, pa.int64())})
 
     return leaders.groupBy("lead", "lead_tile").cogroup(members.groupBy("leader", "tile")).applyInArrow(check, "doc long, leader long")
 
 
-def tile_links(own: list[np.ndarray], leader: np.ndarray, percent: int) -> np.ndarray:
-    """Which sets of a tile link with one set: bounded by bit counts, then intersected."""
-    sizes, size = np.fromiter(map(len, own), np.int64, len(own)), len(leader)
-    bound = overlap_bound(sizes, np.stack([bitmap(x, BITMAP_BITS) for x in own]), size, bitmap(leader, BITMAP_BITS))
-    hope = 100 * bound >= percent * (sizes + size - bound)
-    for k in np.flatnonzero(hope):
-        hope[k] = linked(own[k], leader, percent)
-    return hope
+def bounded(sizes: np.ndarray, maps: list[np.ndarray], size: int, own: np.ndarray, percent: int) -> np.ndarray:
+    """Which sets may link with one, by their bitmaps."""
+    same = alike([own, *maps])
+    bound = overlap_bound(sizes, same[1:], size, same[0])
+    return 100 * bound >= percent * (sizes + size - bound)
 
 
-def verify_rest(met: DataFrame, links: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) of documents that met but don't link with their meeting's leader, with others there."""
-    known = links.select("doc", "leader").withColumn("known", F.lit(True))
-    open_ = met.join(known, ["doc", "leader"], "left").withColumn("rest", F.expr("doc <> leader and known is null"))
-    groups = open_.groupBy("sig").agg(F.max("rest").alias("some"), F.count(F.lit(1)).alias("n"), F.expr("bit_xor(xxhash64(doc, rest))").alias("who")).filter("some and n > 2")
+def rest_pairs(met: DataFrame, classes: DataFrame, maps: DataFrame, percent: int) -> DataFrame:
+    """(doc, leader): pairs of documents that met, of different classes so far and not yet held against each other,
+    whose bitmaps let them link."""
+    there = met.join(classes.withColumnRenamed("node", "doc"), "doc", "left").withColumn("class", F.coalesce("component", "doc"))
+    groups = there.groupBy("sig").agg(F.count(F.lit(1)).alias("n"), (F.min("class") < F.max("class")).alias("open"), F.expr("bit_xor(xxhash64(doc))").alias("who")).filter("open and n > 2")
     once = groups.groupBy("who", "n").agg(F.min("sig").alias("sig"))  # meetings of the same documents count once
     sides = once.select("sig", F.ceil(F.col("n") / SIDE).alias("sides"))
-    there = open_.join(sides, "sig").select("sig", "sides", "doc", "rest", F.pmod(F.xxhash64("doc"), F.col("sides")).alias("side"))
-    spread = there.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("sides") - 1)))
-    tiles = spread.select("sig", F.least("side", "other").alias("x"), F.greatest("side", "other").alias("y"), "doc", "rest", "side").join(sets, "doc")
+    dealt = there.join(sides, "sig").select("sig", "sides", "doc", "leader", "class", F.pmod(F.xxhash64("doc"), F.col("sides")).alias("side"))
+    spread = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("sides") - 1)))
+    tiles = spread.select("sig", F.least("side", "other").alias("x"), F.greatest("side", "other").alias("y"), "doc", "leader", "class").join(maps, "doc")
 
     def check(rows: pa.Table) -> pa.Table:
-        docs, rest, own = rows.column("doc").to_pylist(), rows.column("rest").to_pylist(), [np.frombuffer(x, np.uint64) for x in rows.column("own").to_pylist()]
-        order = sorted(range(len(docs)), key=lambda i: len(own[i]))
-        sizes, maps = np.array([len(own[i]) for i in order]), np.stack([bitmap(own[i], BITMAP_BITS) for i in order])
-        above = list(range(len(docs)))
-
-        def top(i: int) -> int:
-            while above[i] != i:
-                above[i] = above[above[i]]
-                i = above[i]
-            return i
-
-        a, b = [], []
-        for i, k in enumerate(order):
-            if not rest[k]:
-                continue
-            low, high = np.searchsorted(sizes, -(-sizes[i] * percent // 100)), np.searchsorted(sizes, sizes[i] * 100 // percent, "right")
-            bound = overlap_bound(sizes[low:high], maps[low:high], sizes[i], maps[i])
-            for j in low + np.flatnonzero(100 * bound >= percent * (sizes[low:high] + sizes[i] - bound)):
-                if i != j and top(i) != top(j) and linked(own[k], own[order[j]], percent):
-                    above[top(i)] = top(j)
-                    a.append(docs[k])
-                    b.append(docs[order[j]])
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
-
-    return tiles.groupBy("sig", "x", "y").applyInArrow(check, "a long, b long")
+        rows = rows.sort_by("size")
+        doc, leader, sizes, kind = (rows.column(c).to_numpy() for c in ("doc", "leader", "size", "class"))
+        held = alike([np.frombuffer(x, np.uint64) for x in rows.column("held").to_pylist()])
+        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for i in range(len(doc)):
+            part = slice(i + 1, np.searchsorted(sizes, sizes[i] * 100 // percent, "right"))
+            new = (kind[part] != kind[i]) & (doc[part] != leader[i]) & (doc[i] != leader[part])
+            j = i + 1 + np.flatnonzero(new)
+            bound = overlap_bound(sizes[j], held[j], sizes[i], held[i])
+            j = j[100 * bound >= percent * (sizes[j] + sizes[i] - bound)]
+            a.append(doc[j])
+            b.append(np.full(len(j), doc[i]))
+        left, right = np.concatenate(a), np.concatenate(b)
+        return pa.table({"doc": pa.array(np.maximum(left, right)), "leader": pa.array(np.minimum(left, right))})
+
+    return tiles.groupBy("sig", "x", "y").applyInArrow(check, "doc long, leader long").distinct()
 
 
 def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_classes(table(spark, sf_dir, "documents"))
+
+
+OP7_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS (
+  SELECT doc_id, CASE WHEN len(w) >= 4 THEN list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(list_slice(w, i, i + 3), ' '))) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS sh FROM w
+), f AS (SELECT doc_id, len(sh) AS n, unnest(sh) AS x FROM s),
+pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared, any_value(a.n) AS na, any_value(b.n) AS nb FROM f a JOIN f b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY 1, 2),
+links AS (SELECT a, b FROM pairs WHERE 100 * shared >= 85 * (na + nb - shared)),
+ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (SELECT doc_id AS node, doc_id AS top FROM documents UNION SELECT ways.b, reach.top FROM reach JOIN ways ON ways.a = reach.node)
+SELECT s.doc_id, CAST(len(s.sh) AS BIGINT) AS n_shingles, min(reach.top) AS component_id FROM s JOIN reach ON reach.node = s.doc_id GROUP BY ALL
+"""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.llm.jaccard_join import op7_ngram_jaccard
+from tidemark.llm.jaccard_join import OP7_SQL, op7_ngram_jaccard
 from tidemark.llm.language_id import op5_language_id
 from tidemark.llm.media_columns import op9_media_columns
 from tidemark.llm.packing import op2_packing
@@ -26,4 +26,4 @@ QUERIES = {
     "op10_quality": op10_quality,
 }
 
-ORACLE_SQL: dict[str, str] = {"op3_topk_search": OP3_SQL}
+ORACLE_SQL: dict[str, str] = {"op3_topk_search": OP3_SQL, "op7_ngram_jaccard": OP7_SQL}
