@@ -26,7 +26,7 @@ def duck():
 def plain(v):
     if isinstance(v, list | np.ndarray):
         return repr([plain(x) for x in v])
-    if v is None or v is pd.NaT or isinstance(v, float) and np.isnan(v):
+    if v is None or v is pd.NaT or v is pd.NA or isinstance(v, float) and np.isnan(v):
         return "null"
     return repr(round(float(v), 8) + 0.0) if isinstance(v, float | np.floating) else str(v)
 
