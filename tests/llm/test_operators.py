@@ -255,6 +255,17 @@ def test_repeated_passages(spark):
     assert len(left[1].split()) in range(158, 163) and passage.upper() not in left[1]
 
 
+def test_a_passage_shared_by_later_documents_is_found(spark):
+    p = [prose(50).split() for _ in range(3)]
+    lines = lambda x: " ".join(x)
+    # Document 0 holds every token of the passages, but no 50 words in a row; 3 and 4 begin and end with one.
+    first = " ".join(f"{prose(60)} {lines(x[:30])} {prose(60)} {lines(x[20:])}" for x in p)
+    texts = [f"{first} {prose(60)}", f"{prose(80)} {lines(p[0])} {prose(80)} {lines(p[1])}", f"{lines(p[1])} {prose(70)} {lines(p[0]).upper()} {prose(9)}", f"{lines(p[2])} {prose(90)}", f"{prose(90)} {lines(p[2])}", ""]
+    docs = documents(spark, [*texts, texts[4]])
+    found = {(r.doc_id, r.start_word, r.end_word, r.source_doc_id, r.source_start, r.source_end) for r in substring_dedup.repeated_passages(docs).collect()}
+    assert found == {(2, 0, 50, 1, 210, 260), (2, 120, 170, 1, 80, 130), (4, 90, 140, 3, 0, 50), (6, 0, 140, 4, 0, 140)}
+
+
 def test_word_hashes_split_like_the_pattern():
     texts = [b"", b" a\x0bB ", b"caf\xc3\xa9 A", b"\n"]
     data = np.frombuffer(b"".join(texts), np.uint8)

@@ -9,7 +9,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bits of the filter that keeps rows which surely have no partner out of a second pass. Its size is fixed (1 MB).
@@ -51,10 +51,10 @@ def filter_bit(c: str):
     return F.pmod(F.xxhash64(c), F.lit(FILTER_BITS))
 
 
-def id_filter(ids: DataFrame, column: str) -> bytes:
-    """A bitmap of FILTER_BITS bits with the bit of every id set. Beyond some millions of ids it lets more rows
-    through, never fewer."""
-    bit = filter_bit(column)
+def id_filter(ids: DataFrame, column: str, bit: Column | None = None) -> bytes:
+    """A bitmap of FILTER_BITS bits with the bit of every id set (its filter_bit, or another given). Beyond some
+    millions of ids it lets more rows through, never fewer."""
+    bit = filter_bit(column) if bit is None else bit
     rows = (
         ids.select((bit / BITS_PER_BUCKET).cast("long").alias("k"), F.pmod(bit, F.lit(BITS_PER_BUCKET)).alias("p"))
         .groupBy("k")

@@ -10,6 +10,11 @@ too short for a passage are left out, so about 2/46 of the tokens head one. Then
    enough hash functions cover are candidates.
 4. A candidate is verified on the tokens themselves: within it, runs of which at least 8 in 9 tokens in each passage
    length come again are cut out, and kept if the token sets' Jaccard similarity is 0.8 or more.
+5. The smallest document may hold a window's least token in another context than later documents share, and another
+   one for each hash function. Where a window of the first function lies in no verified passage, every run of 50 words
+   around its least token is hashed, in all documents with such a window and the same 28 words before or after that
+   token, and joined to the smallest document with the same run. A run of 50 words has its least token in exactly one
+   window, so this finds all that stand exactly as in an earlier document.
 
 Since a source has the smaller id, the first copy of a passage is never itself the repeat of a later one.
 
@@ -29,12 +34,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import filter_bit, id_filter, in_filter, table, text_slices, unused, written
+from tidemark.llm.common import FILTER_BITS, filter_bit, id_filter, in_filter, table, text_slices, unused, written
 from tidemark.llm.shingles import mix, shingles_of, words_of
 
 #: Words of a token, of a passage; hash functions, how many must agree; how far diagonals may lie apart.
 K, WORDS, FUNCTIONS, ENOUGH, DRIFT = 5, 50, 3, 2, 8
 SPAN = WORDS - K + 1
+#: Tokens from a run's least one to its farther end, at least.
+HALF = SPAN // 2 + 1
 SIMILARITY = 0.8
 #: A window is kept to this many tokens on each side of its least (10 bits); longer passages have several windows, since
 #: every run of SPAN tokens has one around its own least token.
@@ -136,13 +143,17 @@ def repeated_passages(docs: DataFrame, id_column: str = "doc_id", text_column: s
         .select("doc", F.explode(F.arrays_zip("sig", "window")).alias("w"))
         .select("doc", "w.sig", "w.window")
     )
-    least = F.min(F.struct("doc", "window")).over(W.partitionBy("sig"))
+    same = W.partitionBy("sig")
     left, right = (f"least(shiftright(window, {n}) & {REACH}, shiftright(s.window, {n}) & {REACH})" for n in (12, 2))
-    met = (
-        rows.withColumn("s", least)
-        .filter(f"doc <> s.doc and {left} + {right} + 1 >= {SPAN}")
-        .selectExpr("doc", "s.doc as source", "cast(window & 3 as int) as f", "cast(shiftright(window, 22) - shiftright(s.window, 22) as int) as shift", f"cast(shiftright(window, 22) - {left} as int) as low", f"cast(shiftright(window, 22) + {right} as int) as high")
-    )
+    own_left, own_right = (f"least(shiftright(window, {n}) & {REACH}, {SPAN - 1})" for n in (12, 2))
+    joined = written(
+        rows.withColumns({"s": F.min(F.struct("doc", "window")).over(same), "n": F.count(F.lit(1)).over(same)})
+        .filter(f"doc <> s.doc and ({left} + {right} + 1 >= {SPAN} or window & 3 = 0 and n > 2)")
+        .selectExpr("doc", "s.doc as source", "cast(window & 3 as int) as f", "cast(shiftright(window, 22) - shiftright(s.window, 22) as int) as shift", f"cast(shiftright(window, 22) - {left} as int) as low", f"cast(shiftright(window, 22) + {right} as int) as high",
+                    "case when window & 3 = 0 then sig end as sig", f"cast(shiftright(window, 22) - {own_left} as int) as first", f"cast(shiftright(window, 22) + {own_right} as int) as last"),
+        "substring-met",
+    )
+    met = joined.filter(f"high - low + 1 >= {SPAN}").select("doc", "source", "f", "shift", "low", "high")
     spots = written(met.groupBy("doc", "source").applyInArrow(covered, "doc long, source long, low int, high int, source_low int, source_high int"), "substring-spots")
     bits = id_filter(spots.select("doc").union(spots.select("source")).distinct(), "doc")
 
@@ -158,8 +169,61 @@ def repeated_passages(docs: DataFrame, id_column: str = "doc_id", text_column: s
     mine = spots.join(tokens, "doc").withColumn("mine", piece("low", "high")).drop("own")
     theirs = tokens.withColumnRenamed("doc", "source")
     both = mine.join(theirs, "source").withColumn("theirs", piece("source_low", "source_high")).drop("own")
-    passages = both.mapInArrow(verified, copies.schema).distinct()
-    return passages.union(copies)
+    passages = written(both.mapInArrow(verified, copies.schema).distinct(), "substring-passages")
+    held = passages.selectExpr("doc_id as doc", "start_word", "end_word")
+    unsettled = joined.filter("sig is not null").join(held, (joined.doc == held.doc) & F.expr(f"start_word <= first and end_word >= last + {K}"), "left_anti")
+    return passages.union(exact_runs(docs, unsettled, held, copies)).union(copies)
+
+
+def exact_runs(docs: DataFrame, unsettled: DataFrame, held: DataFrame, copies: DataFrame) -> DataFrame:
+    """Passages that stand exactly in a smaller document, from the runs of WORDS words around the least tokens of
+    unsettled windows (column sig, of the first hash function), without runs that lie in held passages or in copies."""
+    low_bits = F.lit(FILTER_BITS)
+    sigs = id_filter(unsettled.select("sig").distinct(), "sig", F.pmod("sig", low_bits))
+
+    def around_least(words: np.ndarray, tokens: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Of each window with an unsettled key: least, first and last place, and the keys of the words from the least
+        token on and up to it (0 where the window ends before)."""
+        sig, c, low, high = compact_windows(tokens, inside, 0)
+        hit = in_filter(sigs, sig & (FILTER_BITS - 1))
+        c, low, high = c[hit], low[hit], high[hit]
+        half = shingles_of(words, HALF + K - 1)
+        after, before = np.zeros(len(c), np.uint64), np.zeros(len(c), np.uint64)
+        far, back = high - c >= HALF - 1, c - low >= HALF - 1
+        after[far], before[back] = half[c[far]], mix(half[c[back] - HALF + 1])
+        return c, low, high, after.view(np.int64), before.view(np.int64)
+
+    def halves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, data, offsets in text_slices(batches, "text"):
+            words, at, tokens, inside = tokens_of(data, offsets)
+            c, _, _, after, before = around_least(words, tokens, inside)
+            row, key = np.tile(np.searchsorted(at, c, "right") - 1, 2), np.concatenate([after, before])
+            yield pa.RecordBatch.from_arrays([rows.column("doc_id").take(pa.array(row)), pa.array(key)], names=["doc", "key"]).filter(pa.array(key != 0))
+
+    shared = docs.mapInArrow(halves, "doc long, key long").groupBy("key").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).filter("least < most")
+    keys = id_filter(shared, "key", F.pmod("key", low_bits))
+
+    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, data, offsets in text_slices(batches, "text"):
+            words, at, tokens, inside = tokens_of(data, offsets)
+            c, low, high, after, before = around_least(words, tokens, inside)
+            after, before = (in_filter(keys, x & (FILTER_BITS - 1)) & (x != 0) for x in (after, before))
+            begin, end = np.maximum(low, c - SPAN + 1), np.minimum(c, high - SPAN + 1) + 1
+            n = end - begin
+            place, least = np.repeat(begin - np.cumsum(n) + n, n) + np.arange(n.sum()), np.repeat(c, n)
+            place = place[np.where(place + SPAN - least >= HALF, np.repeat(after, n), np.repeat(before, n))]
+            row = np.searchsorted(at, place, "right") - 1
+            key = shingles_of(words, WORDS)[place].view(np.int64)
+            yield pa.RecordBatch.from_arrays([rows.column("doc_id").take(pa.array(row)), pa.array(key), pa.array((place - at[row]).astype(np.int32))], names=["doc", "key", "place"])
+
+    around = written(docs.mapInArrow(runs, "doc long, key long, place int"), "substring-runs")
+    firsts = around.groupBy("key").agg(F.min(F.struct("doc", "place")).alias("s"), F.max("doc").alias("most")).filter("s.doc < most").select("key", "s")
+    hits = around.join(firsts, "key").filter("doc <> s.doc").selectExpr("doc", "s.doc as source", "place - s.place as shift", "place").distinct()
+    hits = hits.join(copies.select(F.col("doc_id").alias("doc")), "doc", "left_anti")
+    hits = hits.join(held, (hits.doc == held.doc) & F.expr(f"start_word <= place and end_word >= place + {WORDS}"), "left_anti")
+    stretch = hits.withColumn("k", F.col("place") - F.row_number().over(W.partitionBy("doc", "source", "shift").orderBy("place")))
+    ends = stretch.groupBy("doc", "source", "shift", "k").agg(F.min("place").alias("low"), (F.max("place") + WORDS).alias("high"))
+    return ends.selectExpr("doc as doc_id", "low as start_word", "high as end_word", "source as source_doc_id", "low - shift as source_start", "high - shift as source_end", "1.0D as similarity")
 
 
 def covered(rows: pa.Table) -> pa.Table:
