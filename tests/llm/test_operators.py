@@ -348,6 +348,14 @@ def luhn(card):
     return sum(sum(divmod(int(c) * (1 + n % 2), 10)) for n, c in enumerate(reversed(card))) % 10 == 0
 
 
+def test_values_without_letters_or_digits_are_no_entities(spark):
+    blank = ["password: ........", "token=________ x", "sk------------- y", "sk-" + "-" * 12]
+    held = ["password: ....a1b2c3d4", "sk----------a1"]
+    out = {r.doc_id: r for r in pii.replace_pii(documents(spark, blank + held)).collect()}
+    assert all(out[i].text == t and out[i].n_entities == 0 for i, t in enumerate(blank))
+    assert all(out[i + 4].text != t and out[i + 4].n_entities == 1 for i, t in enumerate(held))
+
+
 def test_many_entities_stay_distinct(spark):
     texts = [f"10.{a}.{b}.7 Mr {chr(65 + a % 26)}{'abcdef'[b % 6] * 3}" for a in range(60) for b in range(10)]
     rows = pii.replace_pii(documents(spark, texts)).collect()

@@ -28,8 +28,8 @@ KEY = "surrogates-1"
 # What each type looks like, in the order of precedence.
 TYPES = {
     "email": r"(?<![\w.+%-])[A-Za-z0-9][\w.+%-]{0,63}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![\w-])",
-    "key": r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])|(?<![A-Za-z0-9])gh[pousr]_[A-Za-z0-9]{36}(?![A-Za-z0-9])|(?<![A-Za-z0-9-])sk-[A-Za-z0-9-]{10,}",
-    "secret": r"(?<=(?<![A-Za-z])(?:password|passwd|secret|token|api_key|apikey)(?:=|: ?| = )[\"']?)[A-Za-z0-9_.-]{8,}",
+    "key": r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])|(?<![A-Za-z0-9])gh[pousr]_[A-Za-z0-9]{36}(?![A-Za-z0-9])|(?<![A-Za-z0-9-])sk-(?=-*[A-Za-z0-9])[A-Za-z0-9-]{10,}",
+    "secret": r"(?<=(?<![A-Za-z])(?:password|passwd|secret|token|api_key|apikey)(?:=|: ?| = )[\"']?)(?=[_.-]*[A-Za-z0-9])[A-Za-z0-9_.-]{8,}",
     "ip": r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\d]|\.\d)",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "card": r"(?<![\d.-])[2-6]\d{3}(?:[ -]?\d{4}){2}[ -]?\d{4}(?![\d-])|(?<![\d.-])3[47]\d{2}[ -]?\d{6}[ -]?\d{5}(?![\d-])",
@@ -124,7 +124,8 @@ def core_surrogate(kind: Column, form: Column, attempt: Column, n: Column) -> Co
     ip = F.when(attempt == 0, ip).otherwise(F.concat(F.lit("10."), *[x for k in (0, 1, 2) for x in (F.pmod(F.get(n, F.lit(k)), F.lit(256)).cast("string"), F.lit("."))][:-1]))
     name = F.concat(F.regexp_extract(form, r"^(\p{L}+ )", 1), F.when(form.rlike(r" .* "), F.concat(F.when(form.rlike(WOMEN), pick(HERS, 0)).otherwise(pick(HIS, 0)), F.lit(" "))).otherwise(F.lit("")), pick(LAST, 1))
     suffix = F.when(attempt > 0, F.concat(F.lit("-"), pick(LAST, 2))).otherwise(F.lit(""))
-    suffix = F.concat(suffix, F.when(attempt > 1, F.concat(F.lit("-"), F.translate(attempt.cast("string"), "0123456789", "abcdefghij"))).otherwise(F.lit("")))
+    # From the third attempt on, letters of the form's own draw: a letter more an attempt, so the space outgrows the forms left.
+    suffix = F.concat(suffix, F.when(attempt > 1, F.concat(F.lit("-"), F.array_join(F.transform(F.sequence(F.lit(1), attempt), lambda i: from_range(F.conv(F.substr(F.sha2(F.concat_ws("|", form, attempt.cast("string"), i.cast("string")), 256), F.lit(1), F.lit(4)), 16, 10).cast("int"), 97, 26)), ""))).otherwise(F.lit("")))
     phone = F.concat(F.regexp_extract(form, r"^(\+\d)", 1), like_format(F.regexp_replace(form, r"^\+\d", ""), n))
     iban = F.concat(F.substring(form, 1, 2), like_format(F.substr(form, F.lit(3), F.length(form)), n))
     prefix = F.regexp_extract(form, r"^(AKIA|ASIA|gh[pousr]_|sk-)", 1)
