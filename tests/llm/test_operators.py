@@ -356,6 +356,16 @@ def test_values_without_letters_or_digits_are_no_entities(spark):
     assert all(out[i + 4].text != t and out[i + 4].n_entities == 1 for i, t in enumerate(held))
 
 
+def test_every_pattern_passes_the_hints(spark):
+    letters = "ABCDEFGHIJKLMNOP"
+    texts = [f"{k}{letters}" for k in ("AKIA", "ASIA")] + [f"gh{c}_{letters * 2}abcd" for c in "pousr"] + ["sk-abcdefghijkl"]
+    texts += [f"{w}{sep}qwertyuiop" for w in ("PASSWORD", "Passwd", "Secret", "TOKEN", "API_KEY", "apikey") for sep in ("=", ": ", " = ")]
+    texts += [f"{t} Abcde Fghij" for t in ("Mr", "Mrs.", "Ms", "Herr", "Frau", "Monsieur", "Madame", "Mme", "Señor", "Señora", "Sra", "Sr")]
+    texts += ["a@b.cd", "1.2.3.4", "DE12ABCDABCDABCD", "4944339490429605", "123-45-6789", "(366) 555-9807", 'TOKEN = "9233A8ECAB"']
+    out = {r.doc_id: r for r in pii.replace_pii(documents(spark, texts)).collect()}
+    assert all(out[i].n_entities == 1 and out[i].text != t for i, t in enumerate(texts))
+
+
 def test_many_entities_stay_distinct(spark):
     texts = [f"10.{a}.{b}.7 Mr {chr(65 + a % 26)}{'abcdef'[b % 6] * 3}" for a in range(60) for b in range(10)]
     rows = pii.replace_pii(documents(spark, texts)).collect()

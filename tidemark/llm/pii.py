@@ -29,7 +29,7 @@ KEY = "surrogates-1"
 TYPES = {
     "email": r"(?<![\w.+%-])[A-Za-z0-9][\w.+%-]{0,63}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![\w-])",
     "key": r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])|(?<![A-Za-z0-9])gh[pousr]_[A-Za-z0-9]{36}(?![A-Za-z0-9])|(?<![A-Za-z0-9-])sk-(?=-*[A-Za-z0-9])[A-Za-z0-9-]{10,}",
-    "secret": r"(?<=(?<![A-Za-z])(?:password|passwd|secret|token|api_key|apikey)(?:=|: ?| = )[\"']?)(?=[_.-]*[A-Za-z0-9])[A-Za-z0-9_.-]{8,}",
+    "secret": r"(?<=(?<![A-Za-z])(?i:password|passwd|secret|token|api_key|apikey)(?:=|: ?| = )[\"']?)(?=[_.-]*[A-Za-z0-9])[A-Za-z0-9_.-]{8,}",
     "ip": r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\d]|\.\d)",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "card": r"(?<![\d.-])[2-6]\d{3}(?:[ -]?\d{4}){2}[ -]?\d{4}(?![\d-])|(?<![\d.-])3[47]\d{2}[ -]?\d{6}[ -]?\d{5}(?![\d-])",
@@ -38,8 +38,10 @@ TYPES = {
     "name": r"(?<![\p{L}.])(?:Mr|Mrs|Ms|Herr|Frau|Monsieur|Madame|Mme|Señor|Señora|Sra|Sr)\.? \p{Lu}[\p{Ll}'-]+(?: \p{Lu}[\p{Ll}'-]+)?",
 }
 ANY = "|".join(f"(?:{p})" for p in TYPES.values())
-#: What a text with an entity holds: a digit, an at sign, or one of these. Other texts skip the patterns.
-HINTS = ["ghp_", "gho_", "ghu_", "ghs_", "ghr_", "sk-", "password", "passwd", "secret", "token", "api_key", "apikey", "Mr", "Ms", "Herr", "Frau", "Monsieur", "Madame", "Mme", "Señor", "Sr"]
+#: What a text with an entity holds: a digit, an at sign, one of these, or one of WORDS in any case. Other texts skip
+#: the patterns.
+HINTS = ["AKIA", "ASIA", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "sk-", "Mr", "Ms", "Herr", "Frau", "Monsieur", "Madame", "Mme", "Señor", "Sr"]
+WORDS = ["password", "passwd", "secret", "token", "api_key", "apikey"]
 # Titles of women, and the names that stand in.
 WOMEN = r"^(?:Mrs|Ms|Frau|Madame|Mme|Señora|Sra)"
 HERS = ["Ada", "Berta", "Clara", "Doris", "Edith", "Flora", "Greta", "Hanna", "Irma", "Julia", "Klara", "Laura", "Marta", "Nora", "Olga", "Paula"]
@@ -194,6 +196,8 @@ def replace_pii(docs: DataFrame, key: str = KEY, text_column: str = "text", id_c
     maybe = text.rlike("[0-9@]")
     for hint in HINTS:
         maybe = maybe | text.contains(hint)
+    for word in WORDS:
+        maybe = maybe | F.lower(text).contains(word)
     row, parts, new, flag = (unused(x, docs) for x in ("_row", "_parts", "_new", "_maybe"))
     marked = docs.withColumn(flag, F.coalesce(maybe, F.lit(False)))
     clean = marked.filter(~F.col(flag)).drop(flag).withColumn("n_entities", F.lit(0))
