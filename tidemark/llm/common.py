@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -27,18 +29,83 @@ def own_dir() -> str:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster shares (spark.checkpoint.dir); only where that is unset, as in tests, one of our own."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or own_dir()).rstrip("/")
+    """The folder that the cluster shares (spark.checkpoint.dir). Where that is unset, a folder of our own on a local
+    master, as in tests; elsewhere an error, since executors don't see the driver's folders."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir names no folder that the cluster shares")
+    return (named or own_dir()).rstrip("/")
 
 
-def written(df: DataFrame, what: str) -> DataFrame:
-    """The rows as a Parquet table in the shared folder: it cuts the lineage and outlives executors."""
+#: Shuffle files of a job whose result is written are of no more use; Spark removes them at its end where this is set.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def save(df: DataFrame, path: str) -> DataFrame:
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def written(df: DataFrame, what: str) -> DataFrame:
+    """The rows as a Parquet table in the shared folder: it cuts the lineage and outlives executors."""
+    return save(df, f"{shared_dir(df.sparkSession)}/{what}-{uuid.uuid4().hex}")
+
+
+class Scratch:
+    """The tables that a run of an operator writes to the shared folder on its way. A table may be dropped when all that
+    was made from it is written; at the end only the result's is left. Use it in a with statement."""
+
+    def __init__(self, spark: SparkSession, what: str):
+        self.spark, self.root, self.paths, self.number = spark, f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}", {}, count()
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.remove(self.root)
+
+    def remove(self, path: str) -> None:
+        jvm = self.spark._jvm
+        place = jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(place, True)
+
+    def write(self, df: DataFrame, name: str) -> DataFrame:
+        path = f"{self.root}/{name}-{next(self.number)}"
+        out = save(df, path)
+        self.paths[id(out)] = (path, out)
+        return out
+
+    def drop(self, *frames: DataFrame) -> None:
+        for df in frames:
+            if id(df) in self.paths:
+                self.remove(self.paths.pop(id(df))[0])
+
+    def finish(self, df: DataFrame) -> DataFrame:
+        """The result, written beside the run's folder."""
+        return save(df, f"{self.root}-result")
+
+
+def one_row_each(s: Scratch, docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
+    """Rows of one id fold into the least by text and then by the other columns (which can be ordered, so aren't maps).
+    Only rows of ids that may be repeated are shuffled. Rows without an id stay."""
+    again = s.write(docs.select(F.col(id_column).alias("id")).filter("id is not null").groupBy("id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("id"), "repeated")
+    if not again.limit(1).count():
+        return docs
+    bits, flag, columns = id_filter(again, "id"), unused("bit", docs), docs.columns
+    marked = docs.withColumn(flag, filter_bit(id_column))
+    side = lambda inside: marked.mapInArrow(lambda batches: hits_only(batches, bits, flag, inside), marked.schema).select(*columns)
+    maybe = s.write(side(True), "maybe-repeated")
+    rest = [c for c in columns if c not in (id_column, text_column)]
+    least = maybe.filter(F.col(id_column).isNotNull()).groupBy(id_column).agg(F.min(F.struct(text_column, *rest)).alias("_row")).select(id_column, "_row.*").select(*columns)
+    return side(False).unionByName(s.write(least, "folded")).unionByName(maybe.filter(F.col(id_column).isNull()))
+
+
 def unused(name: str, *frames: DataFrame) -> str:
     """The name, with underscores after it until no frame has such a column."""
     taken = {c.lower() for df in frames for c in df.columns}
@@ -68,11 +135,25 @@ def id_filter(ids: DataFrame, column: str, bit: Column | None = None) -> bytes:
     return bytes(out)
 
 
+def without_ids(docs: DataFrame, ids: DataFrame, id_column: str) -> DataFrame:
+    """Docs whose id is not among ids (a column of the same name); only those that the ids' filter hits are shuffled."""
+    bits, flag, columns = id_filter(ids, id_column), unused("bit", docs), docs.columns
+    marked = docs.withColumn(flag, filter_bit(id_column))
+    side = lambda inside: marked.mapInArrow(lambda batches: hits_only(batches, bits, flag, inside), marked.schema).select(*columns)
+    return side(False).unionByName(side(True).join(ids, id_column, "left_anti").select(*columns))
+
+
 def in_filter(bits: bytes, positions: np.ndarray) -> np.ndarray:
     table_ = np.frombuffer(bits, np.uint8)
     return (table_[positions >> 3] >> (positions & 7).astype(np.uint8)) & 1 == 1
 
 
+def hits_only(batches: Iterator[pa.RecordBatch], bits: bytes, column: str = "bit", inside: bool = True) -> Iterator[pa.RecordBatch]:
+    """The rows whose bit is in a filter, or those whose bit is not."""
+    for batch in batches:
+        yield batch.filter(pa.array(in_filter(bits, batch.column(column).to_numpy(zero_copy_only=False)) == inside))
+
+
 def text_slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 1 << 20) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Cuts Arrow batches into runs of rows with about `most` bytes of text (a longer text stands alone), and gives
     each with its UTF-8 bytes and row offsets. Null texts come as empty ones."""
@@ -91,27 +172,32 @@ def text_slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 1 <<
             start = stop
 
 
-def components(edges: DataFrame, what: str) -> DataFrame:
+def components(edges: DataFrame, s: Scratch) -> DataFrame:
     """Connected components of edges (a long, b long): rows (node, component), the component's smallest node, for
     every node that has an edge. Labels of neighbours and of labels are taken in turn, so chains shrink by halves;
     each round is written to the shared folder."""
-    both = written(edges.filter("a is not null and b is not null and a <> b").select("a", "b").union(edges.filter("a is not null and b is not null and a <> b").select("b", "a")).distinct(), f"{what}-edges")
-    labels = written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("node")).alias("component")), f"{what}-labels")
+    ways = edges.filter("a is not null and b is not null and a <> b").select("a", "b")
+    both = s.write(ways.union(ways.select("b", "a")).distinct(), "edges")
+    table_ = s.write(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("node")).alias("component")), "labels")
     while True:
+        labels = table_.select("node", "component")
         near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("near"))
         step = labels.join(near, "node").select("node", F.col("component").alias("was"), F.least("component", "near").alias("via"))
         jump = labels.select(F.col("node").alias("via"), F.col("component").alias("via_component"))
-        new = written(step.join(jump, "via").select("node", "was", F.least("via", "via_component").alias("component")), f"{what}-labels")
-        changed = new.filter("was <> component").limit(1).count()
-        labels = new.select("node", "component")
-        if not changed:
-            return labels
+        new = s.write(step.join(jump, "via").select("node", "was", F.least("via", "via_component").alias("component")), "labels")
+        s.drop(table_)
+        table_ = new
+        if not new.filter("was <> component").limit(1).count():
+            s.drop(both)
+            return new.select("node", "component")
 
 
-def merged_components(labels: DataFrame, more: DataFrame, what: str) -> DataFrame:
+def merged_components(labels: DataFrame, more: DataFrame, s: Scratch) -> DataFrame:
     """Components after further edges (a, b): only the components that these join are looked at again."""
     ends = more.select("a").union(more.select("b")).distinct().withColumnRenamed("a", "node")
-    every = written(labels.union(ends.join(labels, "node", "left_anti").select("node", F.col("node").alias("component"))), f"{what}-labels")
+    every = s.write(labels.union(ends.join(labels, "node", "left_anti").select("node", F.col("node").alias("component"))), "labels")
     near = more.join(every.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a").join(every.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b")
-    joined = components(near.select(F.col("ca").alias("a"), F.col("cb").alias("b")), what).select(F.col("node").alias("component"), F.col("component").alias("new"))
-    return written(every.join(joined, "component", "left").select("node", F.coalesce("new", "component").alias("component")), f"{what}-labels")
+    joined = components(near.select(F.col("ca").alias("a"), F.col("cb").alias("b")), s).select(F.col("node").alias("component"), F.col("component").alias("new"))
+    out = s.write(every.join(joined, "component", "left").select("node", F.coalesce("new", "component").alias("component")), "labels")
+    s.drop(every)
+    return out

@@ -5,18 +5,23 @@ The join is exact. It works in size bands and tiles:
 1. Documents with equal sets fold into their smallest id.
 2. A document's set is dealt into parts by hash, as many as its size band asks for: two sets that link differ in at
    most H shingles, so of H+1 parts one at least is the same in both (empty parts counted only where a set leaves too
-   few others). Documents meet if a part of theirs is the same, in their own band or the next.
+   few others). Documents meet if a part of theirs is the same, in their own band or the next. Meetings are counted with
+   partial sums; then only documents of meetings of two or more are dealt out again.
 3. Where documents meet, each is held against the smallest of them. Tiles (a leader and some of its members) bound the
-   overlap from above by bit counts of hashed bitmaps and, where the bound allows it, intersect the sorted arrays.
-4. A meeting whose documents all fell into one class is done. In others, the documents of different classes are held
-   against each other in tiles of bounded size, first by the bitmaps alone; pairs that these let pass go the way of 3.
+   overlap from above by bit counts of hashed bitmaps; pairs that the bound lets pass have their sorted arrays
+   intersected.
+4. A meeting whose documents all fell into one class is done. In others, those outside the leader's class meet the
+   smallest among them, ROUNDS times in all. Where several classes are left, the documents of different classes are
+   held against each other in tiles of bounded size, first by the bitmaps alone (the largest class's documents only
+   against the others); pairs that these let pass go the way of 3.
 5. Classes are the connected components of the links.
 
-No pair inside a class is lost to a cap: pairs are left out only if both ends are known to be in one class.
+No pair inside a class is lost to a cap: pairs are left out only if both ends are known to be in one class. That
+documents meet by agreeing parts, and not each other, comes before the tiles; it leaves out no pair that links.
 
 Cases: null or empty texts, and those of blanks alone, have an empty set and link with nothing; fewer than k words are
 one shingle; rows with a null id are left out; a repeated id stands for one document, whose text is the least of its
-rows' (empty tables give empty results); other columns aren't looked at.
+rows' (null before others); empty tables give empty results; other columns aren't looked at.
 """
 
 from __future__ import annotations
@@ -28,18 +33,19 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import components, filter_bit, id_filter, in_filter, merged_components, table, text_slices, written
+from tidemark.llm.common import FILTER_BITS, Scratch, components, filter_bit, hits_only, id_filter, in_filter, merged_components, one_row_each, table, text_slices
 from tidemark.llm.shingles import mix, shingle_sets
 
 #: A band's largest size is at most this many times its smallest.
 BAND = 1.5
 #: Members in a tile beside its leader, and documents on a side of a tile of a meeting.
 TILE, SIDE = 500, 400
+#: Rounds in which the documents of a meeting that are in no leader's class meet a new leader.
+ROUNDS = 3
 #: A bitmap's bits for each shingle, before rounding up to a power of two; and its fewest.
-BITS_EACH, FEWEST_BITS = 6, 2048
+BITS_EACH, FEWEST_BITS = 2, 256
 
 
 def band_of(size: int) -> int:
@@ -67,17 +73,19 @@ def signatures(own: np.ndarray, percent: int) -> np.ndarray:
     if band_of(max(size, size * 100 // percent)) > bands[0]:
         bands.append(bands[0] + 1)
     out = []
-    place, value = mix(own ^ np.uint64(0x5851F42D4C957F2D)) >> np.uint64(32), mix(own + np.uint64(0x14057B7EF767814F))
+    value = mix(own + np.uint64(0x14057B7EF767814F))
     for band in bands:
         most = differ_most(band, percent)
         parts = most + 2 + most // 32  # some to spare, since a few stay empty
-        part = (place * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
-        total, full = np.zeros(parts, np.uint64), np.zeros(parts, bool)
-        np.add.at(total, part, value)
-        full[part] = True
-        label = np.arange(parts, dtype=np.uint64) + np.uint64(band << 40)
-        chosen = full if int(full.sum()) > most else np.ones(parts, bool)
-        out.append(mix(mix(label[chosen]) + total[chosen]))
+        part = ((own >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)  # rises with the sorted set
+        first = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
+        total = np.add.reduceat(value, first)
+        label = part[first]
+        if len(first) <= most:  # too few full parts: the empty ones count too
+            whole = np.zeros(parts, np.uint64)
+            whole[label] = total
+            label, total = np.arange(parts), whole
+        out.append(mix(mix(label.astype(np.uint64) + np.uint64(band << 40)) + total))
     return np.concatenate(out).view(np.int64)
 
 
@@ -111,88 +119,121 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * shared >= percent * (len(a) + len(b) - shared)
 
 
-def map_sets(docs: DataFrame, emit, schema: str, k: int) -> DataFrame:
-    """emit(ids, extra columns by name, sets) gives the columns of `schema` for each run of rows."""
+def map_sets(docs: DataFrame, emit, schema: str, k: int, bits: bytes | None = None, inside: bool = True) -> DataFrame:
+    """emit(rows, sets) gives the columns of `schema` for each run of rows; with `bits`, only of documents in that
+    filter, or (inside=False) only of those outside."""
+    marked = docs if bits is None else docs.withColumn("bit", filter_bit("doc_id"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, data, offsets in text_slices(batches, "text"):
+        for rows, data, offsets in text_slices(batches if bits is None else hits_only(batches, bits, "bit", inside), "text"):
             yield emit(rows, shingle_sets(data, offsets, k))
 
-    return docs.mapInArrow(work, schema)
+    return marked.mapInArrow(work, schema)
 
 
 def digest(own: np.ndarray) -> bytes:
     return hashlib.blake2b(own.tobytes(), digest_size=16).digest()
 
 
-def one_text_each(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
-    return docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text")).filter("doc_id is not null")
-
-
-def jaccard_classes(docs: DataFrame, k: int = 4, percent: int = 85, id_column: str = "doc_id", text_column: str = "text", unique_ids: bool = True) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of every document. unique_ids=False folds rows of one id first, which
-    shuffles the texts."""
-    docs = one_text_each(docs, id_column, text_column)
-    if not unique_ids:
-        docs = docs.groupBy("doc_id").agg(F.min("text").alias("text"))
-
-    def emit_keys(rows, sets):
-        return pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array([len(x) for x in sets], pa.int64()), pa.array([digest(x) if len(x) else None for x in sets], pa.binary())], names=["doc_id", "n_shingles", "set_key"])
-
-    def emit_signatures(rows, sets):
-        return pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array([digest(x) if len(x) else None for x in sets], pa.binary()), pa.array([len(x) for x in sets], pa.int64()), pa.array([signatures(x, percent) if len(x) else None for x in sets], pa.list_(pa.int64()))], names=["doc_id", "set_key", "n_shingles", "sigs"])
-
-    keys = written(map_sets(docs, emit_keys, "doc_id long, n_shingles long, set_key binary", k), "jaccard-keys")
-    first = keys.filter("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("doc"))
-
-    def emit_maps(rows, sets):
-        hit = np.flatnonzero(in_filter(bits, rows.column("bit").to_numpy()))
-        hit = hit[[len(sets[i]) > 0 for i in hit]] if len(hit) else hit
-        return pa.RecordBatch.from_arrays([rows.column("doc_id").take(pa.array(hit)), pa.array([len(sets[i]) for i in hit], pa.int64()), pa.array([bitmap(sets[i]).tobytes() for i in hit], pa.binary())], names=["doc", "size", "held"])
-
-    signed = (
-        map_sets(docs, emit_signatures, "doc_id long, set_key binary, n_shingles long, sigs array<long>", k)
-        .filter("set_key is not null")
-        .groupBy("set_key")
-        .agg(F.min("doc_id").alias("doc"), F.first("n_shingles").alias("size"), F.first("sigs").alias("sigs"))
-        .select("doc", "size", F.explode("sigs").alias("sig"))
-    )
-    same = W.partitionBy("sig")
-    met = written(
-        signed.withColumns({"leader": F.min(F.struct("doc", "size")).over(same), "n": F.count(F.lit(1)).over(same)}).filter("n > 1").select("sig", "doc", "size", F.col("leader.doc").alias("leader"), F.col("leader.size").alias("leader_size")),
-        "jaccard-met",
-    )
-    pairs = met.filter(f"doc <> leader and 100 * least(size, leader_size) >= {percent} * greatest(size, leader_size)").select("doc", "leader").distinct()
-    bits = id_filter(met.select("doc").distinct(), "doc")
-    maps = written(map_sets(docs.withColumn("bit", filter_bit("doc_id")), emit_maps, "doc long, size long, held binary", k), "jaccard-maps")
-    near = written(in_tiles(pairs, maps, percent, False), "jaccard-near")
-    links = written(verify(near, docs, k, percent), "jaccard-links")
-    classes = components(links.toDF("a", "b"), "jaccard")
-    rest = written(rest_pairs(met, classes, maps, percent), "jaccard-rest")
-    if rest.limit(1).count():
-        classes = merged_components(classes, verify(rest, docs, k, percent).toDF("a", "b"), "jaccard")
-    named = first.join(classes, first.doc == classes.node, "left").select("set_key", F.coalesce("component", "doc").alias("component"))
-    return keys.join(named, "set_key", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
-
-
-def verify(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """The (doc, leader) pairs that link, by their sets, which are made again for the documents in pairs only."""
-    bits = id_filter(pairs.select("doc").union(pairs.select("leader")).distinct(), "doc")
-
-    def emit(rows, sets):
-        hit = np.flatnonzero(in_filter(bits, rows.column("bit").to_numpy()))
-        return pa.RecordBatch.from_arrays([rows.column("doc_id").take(pa.array(hit)), pa.array([len(sets[i]) for i in hit], pa.int64()), pa.array([sets[i].tobytes() for i in hit], pa.binary())], names=["doc", "size", "held"])
-
-    sets = written(map_sets(docs.withColumn("bit", filter_bit("doc_id")), emit, "doc long, size long, held binary", k), "jaccard-sets")
-    return in_tiles(pairs, sets, percent, True)
+def chosen(rows: pa.RecordBatch, sets: list[np.ndarray], make) -> pa.RecordBatch:
+    """(doc, size, held) of rows whose set isn't empty."""
+    hit = [i for i, x in enumerate(sets) if len(x)]
+    return pa.RecordBatch.from_arrays([rows.column("doc_id").take(pa.array(hit, pa.int64())), pa.array([len(sets[i]) for i in hit], pa.int64()), pa.array([make(sets[i]).tobytes() for i in hit], pa.binary())], names=["doc", "size", "held"])
+
+
+def jaccard_classes(docs: DataFrame, k: int = 4, percent: int = 85, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """(doc_id, n_shingles, component_id) of every document."""
+    with Scratch(docs.sparkSession, "jaccard") as s:
+        docs = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text")).filter("doc_id is not null")
+        docs = one_row_each(s, docs, "doc_id", "text")
+
+        def emit_keys(rows, sets):
+            return pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array([len(x) for x in sets], pa.int64()), pa.array([digest(x) if len(x) else None for x in sets], pa.binary())], names=["doc_id", "n_shingles", "set_key"])
+
+        keys = s.write(map_sets(docs, emit_keys, "doc_id long, n_shingles long, set_key binary", k), "keys")
+        shared = s.write(keys.filter("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("set_key", "first"), "shared")
+        copies = s.write(keys.join(shared, "set_key").filter("doc_id <> first").select(F.col("doc_id").alias("doc")), "copies")
+        met = meetings(s, docs, copies, k, percent)
+        s.drop(copies)
+        classes = linked_classes(s, docs, met, k, percent)
+        named = keys.join(shared, "set_key", "left").withColumn("node", F.coalesce("first", "doc_id")).join(classes, "node", "left")
+        return s.finish(named.select("doc_id", "n_shingles", F.coalesce("component", "node").alias("component_id")))
+
+
+def meetings(s: Scratch, docs: DataFrame, copies: DataFrame, k: int, percent: int) -> DataFrame:
+    """(sig, doc, leader): the documents, without copies, of every meeting of two or more, and the smallest of them."""
+    doubtful = id_filter(copies, "doc")
+
+    def dealt(wanted: bytes | None) -> DataFrame:
+        def emit(rows, sets):
+            sigs = [signatures(x, percent) if len(x) else np.zeros(0, np.int64) for x in sets]
+            if wanted is not None:
+                sigs = [x[in_filter(wanted, x & (FILTER_BITS - 1))] for x in sigs]
+            return pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(sigs, pa.list_(pa.int64()))], names=["doc", "sigs"])
+
+        sure, doubt = (map_sets(docs, emit, "doc long, sigs array<long>", k, doubtful, inside) for inside in (False, True))
+        return sure.union(doubt.join(copies, "doc", "left_anti")).select(F.explode("sigs").alias("sig"), "doc")
+
+    groups = s.write(dealt(None).groupBy("sig").agg(F.min("doc").alias("leader"), F.max("doc").alias("most")).filter("leader < most").select("sig", "leader"), "groups")
+    again = dealt(id_filter(groups, "sig", F.expr(f"sig & {FILTER_BITS - 1}")))
+    met = s.write(again.join(groups, "sig").select("sig", "doc", "leader"), "met")
+    s.drop(groups)
+    return met
+
+
+def linked_classes(s: Scratch, docs: DataFrame, met: DataFrame, k: int, percent: int) -> DataFrame:
+    """(node, component) of the documents that link with another one."""
+    maps = s.write(map_sets(docs, lambda rows, sets: chosen(rows, sets, bitmap), "doc long, size long, held binary", k, id_filter(met.select("doc").distinct(), "doc")), "maps")
+    classes, pairs = None, met.filter("doc <> leader")
+    for _ in range(ROUNDS):
+        pairs = s.write(pairs.select("doc", "leader").distinct(), "pairs")
+        classes = with_links(s, classes, s.write(in_tiles(pairs, maps, percent, False), "near"), docs, k, percent)
+        s.drop(pairs)
+        met = open_meetings(s, met, classes)
+        if not met.limit(1).count():
+            return classes
+        pairs = met.filter("doc <> leader and class <> leader_class")
+    return with_links(s, classes, s.write(rest_pairs(met, maps, percent), "rest"), docs, k, percent)
+
+
+def with_links(s: Scratch, classes: DataFrame | None, near: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """The classes after those of the near pairs that link are joined too. The sets are made again for the documents in
+    pairs only."""
+    if classes is not None and not near.limit(1).count():
+        return classes
+    bits = id_filter(near.select("doc").union(near.select("leader")).distinct(), "doc")
+    sets = s.write(map_sets(docs, lambda rows, own: chosen(rows, own, np.asarray), "doc long, size long, held binary", k, bits), "sets")
+    links = s.write(in_tiles(near, sets, percent, True).toDF("a", "b"), "links")
+    s.drop(sets, near)
+    out = components(links, s) if classes is None else merged_components(classes, links, s) if links.limit(1).count() else classes
+    s.drop(links)
+    return out
+
+
+def open_meetings(s: Scratch, met: DataFrame, classes: DataFrame) -> DataFrame:
+    """(sig, doc, class, leader, leader_class): meetings whose documents but for the leader, who has been held against
+    all, are of different classes; their new leader is the smallest document outside the old one's class. Meetings of
+    the same documents count once."""
+    there = s.write(met.select("sig", "doc", "leader").join(classes.withColumnRenamed("node", "doc"), "doc", "left").select("sig", "doc", "leader", F.coalesce("component", "doc").alias("class")), "there")
+    s.drop(met)
+    led, rest = F.when(F.col("doc") == F.col("leader"), F.col("class")), F.when(F.col("doc") != F.col("leader"), F.col("class"))
+    groups = there.groupBy("sig").agg(F.max(led).alias("old"), F.min(rest).alias("low"), F.max(rest).alias("high"), F.count(F.lit(1)).alias("n"), F.expr("bit_xor(xxhash64(doc))").alias("who")).filter("low < high")
+    once = groups.groupBy("who", "n").agg(F.min(F.struct("sig", "old")).alias("g")).select("g.sig", "g.old")
+    rows = s.write(there.filter("doc <> leader").join(once, "sig").select("sig", "doc", "class", "old"), "rows")
+    s.drop(there)
+    new = rows.filter("class <> old").groupBy("sig").agg(F.min(F.struct("doc", "class")).alias("l")).select("sig", F.col("l.doc").alias("leader"), F.col("l.class").alias("leader_class"))
+    out = s.write(rows.join(new, "sig").select("sig", "doc", "class", "leader", "leader_class"), "met")
+    s.drop(rows)
+    return out
 
 
 def in_tiles(pairs: DataFrame, held: DataFrame, percent: int, exact: bool) -> DataFrame:
     """Pairs that pass, in tiles of a leader and some of its members. A leader of many members comes in several."""
-    tiles = pairs.groupBy("leader").agg(F.ceil(F.count(F.lit(1)) / TILE).alias("tiles"))
-    members = pairs.join(held, "doc").join(tiles, "leader").select("leader", F.pmod(F.xxhash64("doc"), F.col("tiles")).alias("tile"), "doc", "size", "held")
+    many = pairs.groupBy("leader").agg(F.ceil(F.count(F.lit(1)) / TILE).alias("tiles")).filter("tiles > 1")
+    dealt = pairs.join(many, "leader", "left").select("leader", F.coalesce(F.pmod(F.xxhash64("doc"), F.col("tiles")), F.lit(0).cast("long")).alias("tile"), "doc")
+    members = dealt.join(held, "doc")
     alone = held.select(F.col("doc").alias("lead"), F.col("size").alias("lead_size"), F.col("held").alias("lead_held"))
-    leaders = alone.join(tiles.withColumnRenamed("leader", "lead"), "lead").select("lead", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)).alias("lead_tile"), "lead_size", "lead_held")
+    leaders = dealt.select(F.col("leader").alias("lead"), F.col("tile").alias("lead_tile")).distinct().join(alone, "lead")
 
     def check(left: pa.Table, right: pa.Table) -> pa.Table:
         doc, leader = np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -214,25 +255,25 @@ def bounded(sizes: np.ndarray, maps: list[np.ndarray], size: int, own: np.ndarra
     return 100 * bound >= percent * (sizes + size - bound)
 
 
-def rest_pairs(met: DataFrame, classes: DataFrame, maps: DataFrame, percent: int) -> DataFrame:
+def rest_pairs(met: DataFrame, maps: DataFrame, percent: int) -> DataFrame:
     """(doc, leader): pairs of documents that met, of different classes so far and not yet held against each other,
-    whose bitmaps let them link."""
-    there = met.join(classes.withColumnRenamed("node", "doc"), "doc", "left").withColumn("class", F.coalesce("component", "doc"))
-    groups = there.groupBy("sig").agg(F.count(F.lit(1)).alias("n"), (F.min("class") < F.max("class")).alias("open"), F.expr("bit_xor(xxhash64(doc))").alias("who")).filter("open and n > 2")
-    once = groups.groupBy("who", "n").agg(F.min("sig").alias("sig"))  # meetings of the same documents count once
-    sides = once.select("sig", F.ceil(F.col("n") / SIDE).alias("sides"))
-    dealt = there.join(sides, "sig").select("sig", "sides", "doc", "leader", "class", F.pmod(F.xxhash64("doc"), F.col("sides")).alias("side"))
-    spread = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("sides") - 1)))
-    tiles = spread.select("sig", F.least("side", "other").alias("x"), F.greatest("side", "other").alias("y"), "doc", "leader", "class").join(maps, "doc")
+    whose bitmaps let them link. A meeting's largest class is held against the others only, not against itself."""
+    counts = met.groupBy("sig", "class").agg(F.count(F.lit(1)).alias("n"))
+    sides = counts.groupBy("sig").agg(F.max(F.struct("n", "class")).alias("top"), F.sum("n").alias("all")).select("sig", F.col("top.class").alias("top"), F.ceil((F.col("all") - F.col("top.n")) / SIDE).alias("others"), F.ceil(F.col("top.n") / SIDE).alias("tops"))
+    zero, is_top = F.lit(0).cast("long"), F.col("class") == F.col("top")
+    dealt = met.join(sides, "sig").withColumn("side", F.when(is_top, F.col("others") + F.pmod(F.xxhash64("doc"), F.col("tops"))).otherwise(F.pmod(F.xxhash64("doc"), F.col("others"))))
+    spread = dealt.withColumn("other", F.explode(F.sequence(zero, F.when(is_top, F.col("others")).otherwise(F.col("others") + F.col("tops")) - 1)))
+    tiles = spread.select("sig", F.least("side", "other").alias("x"), F.greatest("side", "other").alias("y"), "side", "doc", "leader", "class").join(maps, "doc")
 
     def check(rows: pa.Table) -> pa.Table:
         rows = rows.sort_by("size")
-        doc, leader, sizes, kind = (rows.column(c).to_numpy() for c in ("doc", "leader", "size", "class"))
+        doc, leader, sizes, kind, side = (rows.column(c).to_numpy() for c in ("doc", "leader", "size", "class", "side"))
+        within = rows.column("x")[0].as_py() == rows.column("y")[0].as_py()
         held = alike([np.frombuffer(x, np.uint64) for x in rows.column("held").to_pylist()])
         a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for i in range(len(doc)):
             part = slice(i + 1, np.searchsorted(sizes, sizes[i] * 100 // percent, "right"))
-            new = (kind[part] != kind[i]) & (doc[part] != leader[i]) & (doc[i] != leader[part])
+            new = (kind[part] != kind[i]) & (doc[part] != leader[i]) & (doc[i] != leader[part]) & (within | (side[part] != side[i]))
             j = i + 1 + np.flatnonzero(new)
             bound = overlap_bound(sizes[j], held[j], sizes[i], held[i])
             j = j[100 * bound >= percent * (sizes[j] + sizes[i] - bound)]
