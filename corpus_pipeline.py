@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import table, written
+from tidemark.llm.common import Scratch, one_row_each, table, without_ids, written
 from tidemark.llm.jaccard_join import jaccard_classes
 from tidemark.llm.packing import pack_documents
 from tidemark.llm.pii import replace_pii
@@ -23,9 +23,13 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of documents linked by five-word shingles at 0.8 or more, the one with the smallest id stays."""
+    """Of each class of documents linked by five-word shingles at 0.8 or more, the one with the smallest id stays. Rows
+    of one id fold into that with the least text; rows without an id stay."""
+    with Scratch(spark, "pipeline-rows") as s:
+        once = one_row_each(s, docs, "doc_id", "text")
+        docs = once if once is docs else s.finish(once)
     classes = jaccard_classes(docs, k=5, percent=80)
-    return docs.join(classes.filter("doc_id <> component_id").select("doc_id"), "doc_id", "left_anti")
+    return without_ids(docs, classes.filter("doc_id <> component_id").select("doc_id"), "doc_id")
 
 
 def repeated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
