@@ -2,6 +2,10 @@
 
 Each stage is (spark, docs, sf_dir) -> DataFrame; its result is written as Parquet and read again as the next one's docs.
 All but the last return the columns of documents.
+
+Cases: null and empty texts pass all stages but the classifier's, which may reject them; documents of which every word
+repeats go; rows of one id fold in the second and third stage; rows without an id are never duplicates or repeats; an
+empty table gives empty results; further columns pass through to the packed rows' input.
 """
 
 from __future__ import annotations
@@ -22,19 +26,24 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return score_quality(docs, table(spark, sf_dir, "labels")).filter("keep").drop("quality_score", "keep")
 
 
-def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of documents linked by five-word shingles at 0.8 or more, the one with the smallest id stays. Rows
-    of one id fold into that with the least text; rows without an id stay."""
+def once(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """Rows of one id fold into that with the least text; rows without an id stay."""
     with Scratch(spark, "pipeline-rows") as s:
-        once = one_row_each(s, docs, "doc_id", "text")
-        docs = once if once is docs else s.finish(once)
+        folded = one_row_each(s, docs, "doc_id", "text")
+        return folded if folded is docs else s.finish(folded)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each class of documents linked by five-word shingles at 0.8 or more, the one with the smallest id stays."""
+    docs = once(spark, docs)
     classes = jaccard_classes(docs, k=5, percent=80)
     return without_ids(docs, classes.filter("doc_id <> component_id").select("doc_id"), "doc_id")
 
 
 def repeated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages that come before in a document with a smaller id are cut out."""
-    left = without_passages(docs, written(repeated_passages(docs), "pipeline-passages"))
+    docs = once(spark, docs)
+    left = without_passages(docs, repeated_passages(docs))
     return left.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 
