@@ -1,0 +1,61 @@
+"""Surrogates: script, gender, coreference, distinctness, and the cases of the docstring."""
+
+import random
+import re
+
+from pyspark.sql import functions as F
+
+from tidemark.llm import pii
+from tidemark.llm.common import Scratch
+
+SCHEMA = "doc_id long, text string"
+
+
+def replaced(spark, texts):
+    docs = spark.createDataFrame(list(enumerate(texts)), SCHEMA)
+    return [r.text for r in pii.replace_pii(docs).orderBy("doc_id").collect()]
+
+
+def test_one_person_keeps_one_surname(spark):
+    out = replaced(spark, ["Mr. John Smith came; Mr. Smith left. Mrs Smith stayed.", "John Smith wrote", "Mrs Jane Doe … Mrs Doe", "Dr. Alice Brown and Prof. Brown"])
+    first = re.fullmatch(r"Mr\. (\S+) (\S+) came; Mr\. (\S+) left\. Mrs (\S+) stayed\.", out[0])
+    again = re.fullmatch(r"(\S+) (\S+) wrote", out[1])
+    assert first[2] == first[3] == first[4] == again[2] != "Smith" and first[1] == again[1] != "John"
+    jane, alice = re.fullmatch(r"Mrs (\S+) (\S+) … Mrs (\S+)", out[2]), re.fullmatch(r"Dr\. (\S+) (\S+) and Prof\. (\S+)", out[3])
+    assert jane[2] == jane[3] and alice[2] == alice[3]
+    assert first[1].split("-")[0] in pii.HIS["latin"] and jane[1].split("-")[0] in pii.HERS["latin"] and alice[1].split("-")[0] in pii.HERS["latin"]
+    assert len({first[2], jane[2], alice[2]}) == 3
+
+
+def test_surrogates_keep_the_script(spark):
+    out = replaced(spark, ["Mr Иванов", "Frau Иванова", "г-н Сергей Петров", "Иван Петров", "Κυρία Παπαδοπούλου", "κ. Γιώργος Νικολάου", "Herr Müller"])
+    scripts = [r"Mr [А-Яа-яё-]+", r"Frau [А-Яа-яё-]+", r"г-н [А-Яа-яё-]+ [А-Яа-яё-]+", r"[А-Яа-яё-]+ [А-Яа-яё-]+", r"Κυρία [Α-Ωα-ωά-ώ-]+", r"κ\. [Α-Ωα-ωά-ώΆ-Ώ-]+ [Α-Ωα-ωά-ώ-]+", r"Herr [A-Za-z-]+"]
+    for text, pattern in zip(out, scripts, strict=True):
+        assert re.fullmatch(pattern, text), text
+    assert out[2].split()[2] == out[3].split()[1] and re.search("[ая](-|$)", out[1])
+
+
+def test_numbers_of_a_cards_form_without_its_check_digit_stay(spark):
+    assert replaced(spark, ["order 4944339490429606 of 4111-1111-1111-1112"]) == ["order 4944339490429606 of 4111-1111-1111-1112"]
+
+
+def test_many_names_stay_apart_in_three_attempts(spark):
+    rng = random.Random(1)
+    names = sorted({"".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(8)).title() for _ in range(100_000)})
+    entities = spark.createDataFrame([("last", n) for n in names], "kind string, form string").unionByName(spark.createDataFrame([("given-m", n) for n in names[:500]], "kind string, form string"))
+    with Scratch(spark, "names") as s:
+        out = pii.surrogates(s, entities, "k")
+        assert out.select("kind", "core").distinct().count() == out.count() == len(names) + 500
+        assert out.join(entities, (out.kind == entities.kind) & (out.core == entities.form), "left_semi").count() == 0
+        assert len([p for p in s.paths.values() if "/free-" in p[0]]) <= 3
+
+
+def test_clean_repeated_null_long_and_clashing_rows(spark):
+    long = "plain words " * 200_000
+    docs = spark.createDataFrame([(None, "a@b.cd"), (None, "a@b.cd"), (1, None), (2, ""), (3, long), (3, long + " a@b.cd"), (4, "Version 1.2.3 of 2024-01-31, 16 Mrd. and 12:30")], SCHEMA).withColumns({"_parts": F.lit(1), "n": F.lit(2), "value": F.lit("v")})
+    rows = pii.replace_pii(docs).collect()
+    assert len(rows) == 7 and all(r["_parts"] == 1 and r.value == "v" for r in rows)
+    mails = {r.text for r in rows if r.doc_id is None}
+    assert len(mails) == 1 and "a@b.cd" not in mails
+    assert sorted((r.doc_id, r.n_entities) for r in rows if r.doc_id is not None) == [(1, 0), (2, 0), (3, 0), (3, 1), (4, 0)]
+    assert {r.text for r in rows if r.doc_id == 3} == {long, f"{long} {mails.pop()}"}

@@ -1,16 +1,19 @@
 """PII: surrogates for detected entities, with DataFrame and SQL functions only.
 
-Detected are e-mail addresses, IPv4 addresses, payment card numbers, phone numbers, IBANs, US social security numbers,
-titled names, and secrets (access keys, and values after words such as password or token). One alternation finds them
-all, so that of overlapping entities the first begun wins, and the alternatives' order decides between those begun at
-the same place.
+Detected are e-mail addresses, IPv4 addresses, payment card numbers (with a right check digit), phone numbers, IBANs, US social security numbers,
+names (after a title, or of a known given name and a surname), and secrets (access keys, and values after words such as
+password or token). One alternation finds them all, so that of overlapping entities the first begun wins, and the
+alternatives' order decides between those begun at the same place.
 
 A surrogate is made from a keyed hash of the entity's type and canonical form, so one entity gets one surrogate in every
 document (coreference). It keeps the type and the format: digits become digits, letters letters of their case and
 script (Latin, Greek or Cyrillic), separators stay; addresses go to reserved names and ranges; card numbers keep their
-issuer digit and get a right check digit; a titled name gets a name of the title's gender. Different entities of a type
-whose surrogates fall together are told apart by further attempts in order of their canonical forms, until none
-collide; a surrogate that is itself an entity of the corpus counts as a collision too.
+issuer digit and get a right check digit. Of a name the given name and the surname are entities of their own, so
+"Mr. John Smith", "John Smith" and "Mr. Smith" keep one surname; given names keep the gender that their title or
+the name itself tells, surnames in Cyrillic a feminine ending, both their script. Different entities of a type whose
+surrogates fall together are told apart by further attempts in order of their canonical forms, until none collide; a
+surrogate that is itself an entity of the corpus counts as a collision too. Each attempt draws from a space some
+hundred thousand times as large as the one before, so three do for any number of names that fits a table.
 
 Cases: a null text stays null with 0 entities; a text without entities is unchanged; texts are processed whole;
 repeated rows are repeated; a null id is a row like others; columns of any other name pass through.
@@ -21,10 +24,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import table, unused, written
+from tidemark.llm.common import Scratch, table, unused, written
 
 #: The key of op8; give another as `key`.
 KEY = "surrogates-1"
+# Titles of women, of men and of both; given names that tell a name without a title.
+WOMEN = "Mrs|Ms|Miss|Frau|Madame|Mme|Señora|Sra|Κυρία|κα|госпожа|Госпожа|г-жа"
+MEN = "Mr|Herr|Monsieur|Señor|Sr|Κύριος|κ|господин|Господин|г-н"
+ANYONE = "Dr|Prof"
+HER_NAMES = ["Alice", "Amanda", "Angela", "Anna", "Barbara", "Carmen", "Catherine", "Christine", "Claudia", "Elena", "Elizabeth", "Emily", "Emma", "Ingrid", "Isabel", "Jane", "Jennifer", "Jessica", "Karen", "Laura", "Linda", "Lisa", "Lucia", "Maria", "Marie", "Mary", "Michelle", "Monika", "Nancy", "Patricia", "Petra", "Sabine", "Sandra", "Sarah", "Sophie", "Susan", "Ursula", "Анна", "Елена", "Мария", "Наталья", "Ольга", "Светлана", "Татьяна", "Άννα", "Ελένη", "Κατερίνα", "Μαρία"]
+HIS_NAMES = ["Alexander", "Andreas", "Andrew", "Antonio", "Carlos", "Charles", "Christopher", "Daniel", "David", "Edward", "Fernando", "François", "George", "Hans", "Heinrich", "James", "Jean", "John", "Jorge", "José", "Joseph", "Juan", "Klaus", "Luis", "Manuel", "Mark", "Matthew", "Michael", "Miguel", "Paul", "Pedro", "Peter", "Philippe", "Pierre", "Richard", "Robert", "Stefan", "Steven", "Thomas", "William", "Wolfgang", "Алексей", "Андрей", "Дмитрий", "Иван", "Михаил", "Николай", "Пётр", "Сергей", "Γιάννης", "Γιώργος", "Δημήτρης", "Νίκος"]
+KNOWN = "|".join(HER_NAMES + HIS_NAMES)
 # What each type looks like, in the order of precedence.
 TYPES = {
     "email": r"(?<![\w.+%-])[A-Za-z0-9][\w.+%-]{0,63}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![\w-])",
@@ -35,48 +45,65 @@ TYPES = {
     "card": r"(?<![\d.-])[2-6]\d{3}(?:[ -]?\d{4}){2}[ -]?\d{4}(?![\d-])|(?<![\d.-])3[47]\d{2}[ -]?\d{6}[ -]?\d{5}(?![\d-])",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
     "phone": r"(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}(?!\w)|(?<![\w(])\(\d{3}\) ?\d{3}[ -]\d{4}(?!\w)|(?<![\w.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\w-])",
-    "name": r"(?<![\p{L}.])(?:Mr|Mrs|Ms|Herr|Frau|Monsieur|Madame|Mme|Señor|Señora|Sra|Sr)\.? \p{Lu}[\p{Ll}'-]+(?: \p{Lu}[\p{Ll}'-]+)?",
+    "name": rf"(?<![\p{{L}}.-])(?:{WOMEN}|{MEN}|{ANYONE})\.? \p{{Lu}}[\p{{Ll}}'-]+(?: \p{{Lu}}[\p{{Ll}}'-]+)?|(?<![\p{{L}}.-])(?=\p{{Lu}})(?:{KNOWN}) \p{{Lu}}[\p{{Ll}}'-]+",
 }
 ANY = "|".join(f"(?:{p})" for p in TYPES.values())
 #: What a text with an entity holds: a digit, an at sign, one of these, or one of WORDS in any case. Other texts skip
 #: the patterns.
-HINTS = ["AKIA", "ASIA", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "sk-", "Mr", "Ms", "Herr", "Frau", "Monsieur", "Madame", "Mme", "Señor", "Sr"]
+HINTS = ["AKIA", "ASIA", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "sk-", "Mr", "Ms", "Miss", "Dr", "Prof", "Herr", "Frau", "Monsieur", "Madame", "Mme", "Señor", "Sr", "Κύριος", "Κυρία", "κ", "господин", "госпожа", "Господин", "Госпожа", "г-н", "г-жа"]
 WORDS = ["password", "passwd", "secret", "token", "api_key", "apikey"]
-# Titles of women, and the names that stand in.
-WOMEN = r"^(?:Mrs|Ms|Frau|Madame|Mme|Señora|Sra)"
-HERS = ["Ada", "Berta", "Clara", "Doris", "Edith", "Flora", "Greta", "Hanna", "Irma", "Julia", "Klara", "Laura", "Marta", "Nora", "Olga", "Paula"]
-HIS = ["Anton", "Bruno", "Conrad", "Daniel", "Emil", "Felix", "Gustav", "Hugo", "Ivan", "Jakob", "Karl", "Leon", "Martin", "Nils", "Oskar", "Paul"]
-LAST = ["Abel", "Brand", "Corin", "Dorn", "Ebner", "Falk", "Garde", "Holm", "Iversen", "Jansen", "Keller", "Lind", "Moreau", "Norden", "Olsen", "Perrin"]
+KNOWN_HINT = rf"(?<!\p{{L}})(?=\p{{Lu}})(?:{KNOWN}) \p{{Lu}}"
+# The names that stand in, by script; and the letters of further ones.
+HERS = {"latin": ["Ada", "Berta", "Clara", "Doris", "Edith", "Flora", "Greta", "Hanna", "Irma", "Julia", "Klara", "Lotte", "Marta", "Nora", "Olga", "Paula"], "greek": ["Αγάπη", "Βάσω", "Δάφνη", "Ζωή", "Θάλεια", "Ίριδα", "Λένα", "Ρένα"], "cyrillic": ["Алла", "Вера", "Галина", "Дарья", "Жанна", "Зоя", "Инна", "Римма"]}
+HIS = {"latin": ["Anton", "Bruno", "Conrad", "Dietmar", "Emil", "Felix", "Gustav", "Hugo", "Ivo", "Jakob", "Karl", "Leon", "Martin", "Nils", "Oskar", "Rolf"], "greek": ["Αλέκος", "Βασίλης", "Ηλίας", "Θωμάς", "Λευτέρης", "Μάνος", "Πέτρος", "Τάσος"], "cyrillic": ["Антон", "Борис", "Глеб", "Денис", "Егор", "Захар", "Матвей", "Роман"]}
+LAST = {"latin": ["Abel", "Brand", "Corin", "Dorn", "Ebner", "Falk", "Garde", "Holm", "Iversen", "Jansen", "Keller", "Lind", "Moreau", "Norden", "Olsen", "Perrin"], "greek": ["Βλάχος", "Γκίκας", "Δούκας", "Ζέρβας", "Καράς", "Λάππας", "Μάντης", "Ράλλης"], "cyrillic": ["Белов", "Воронов", "Громов", "Дроздов", "Журавлёв", "Комаров", "Лебедев", "Соколов"]}
+CONSONANTS = {"latin": "bdfgklmnprstvwz", "greek": "βγδθκλμνπρσφ", "cyrillic": "бвгдзклмнпрст"}
+VOWELS = {"latin": "aeiou", "greek": "αειου", "cyrillic": "аеиоу"}
 #: Surrogate letters and digits come from at most this many hashed symbols at a time.
 DRAWN = 15
 
 
 def entity_type(value: Column) -> Column:
-    """The type of a found entity, by its own shape (the alternatives differ in it)."""
+    """The type of a found entity, by its own shape (the alternatives differ in it); none for numbers that have a card's
+    form but not its check digit."""
+    digits = F.regexp_replace(value, r"\D", "")
     return (
         F.when(value.contains("@"), "email")
         .when(value.rlike(r"^(?:AKIA|ASIA)[A-Z0-9]{16}$|^gh[pousr]_[A-Za-z0-9]{36}$|^sk-"), "key")
         .when(value.rlike(r"^\d{1,3}(?:\.\d{1,3}){3}$"), "ip")
         .when(value.rlike(r"^[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3}"), "iban")
-        .when(value.rlike(r"^(?:\d[ -]?){14,15}\d$"), "card")
+        .when(value.rlike(r"^(?:\d[ -]?){14,15}\d$"), F.when(check_digit(F.substr(digits, F.lit(1), F.length(digits) - 1)) == F.substr(digits, F.length(digits), F.lit(1)), "card").otherwise("none"))
         .when(value.rlike(r"^\d{3}-\d{2}-\d{4}$"), "ssn")
         .when(value.rlike(r"^[+(]|^\d{3}[.-]\d{3}[.-]\d{4}$"), "phone")
-        .when(value.rlike(r"^\p{L}+\.? \p{Lu}"), "name")
+        .when(value.rlike(r"^[\p{L}-]+\.? \p{Lu}"), "name")
         .otherwise("secret")
     )
 
 
 def canonical(kind: Column, value: Column) -> Column:
-    """What stays the same between ways to write an entity: case of addresses, separators of numbers, the title."""
+    """What stays the same between ways to write an entity: case of addresses, separators of numbers."""
     return (
         F.when(kind == "email", F.lower(value))
         .when(kind.isin("card", "iban", "ssn"), F.regexp_replace(value, "[ -]", ""))
         .when(kind == "phone", F.regexp_replace(value, r"[^\d+]", ""))
-        .when(kind == "name", F.regexp_replace(value, r"^(\p{L}+)\.? ", "$1 "))
         .otherwise(value)
     )
 
 
+TITLE = rf"^(?:{WOMEN}|{MEN}|{ANYONE})\.? "
+
+
+def parts_of(kind: Column, value: Column) -> Column:
+    """The (kind, form) pairs that get surrogates: a name's given name, if there is one, and surname; else the whole."""
+    bare = F.regexp_replace(value, TITLE, "")
+    given, last = F.regexp_extract(bare, "^([^ ]+) ", 1), F.regexp_extract(bare, "([^ ]+)$", 1)
+    hers, his = given.isin(*HER_NAMES), given.isin(*HIS_NAMES)
+    gender = F.when(value.rlike(rf"^(?:{WOMEN})\.? "), "given-f").when(value.rlike(rf"^(?:{MEN})\.? "), "given-m").when(hers, "given-f").when(his, "given-m").otherwise("given-x")
+    pair = lambda k, f: F.struct(k.alias("kind"), f.alias("form"))
+    surname = pair(F.lit("last"), last)
+    return F.when(kind != "name", F.array(pair(kind, canonical(kind, value)))).when(given == "", F.array(surname)).otherwise(F.array(pair(gender, given), surname))
+
+
 def drawn(seed: Column, n: Column) -> Column:
     """n pseudo-random numbers of 16 bits from a seed, each block of a sha-256 giving DRAWN."""
     block = lambda i: F.sha2(F.concat_ws("|", seed, (i / DRAWN).cast("int").cast("string")), 256)
@@ -118,16 +145,28 @@ def check_digit(digits: Column) -> Column:
     return F.pmod(-total, F.lit(10)).cast("string")
 
 
+def name_surrogate(kind: Column, form: Column, attempt: Column, n: Column) -> Column:
+    """A name of the form's script and the kind's gender; from the second attempt on with a second part, of four
+    syllables more an attempt (3, 7, ...)."""
+
+    def of(script: str) -> Column:
+        at = lambda values, k: F.element_at(F.array(*[F.lit(v) for v in values]), F.pmod(F.get(n, F.lit(k)), F.lit(len(values))) + 1)
+        last = at(LAST[script], 0)
+        if script == "cyrillic":  # feminine forms end in a
+            last = F.when(form.rlike("[ая]$"), F.concat(last, F.lit("а"))).otherwise(last)
+        first = F.when(kind == "last", last).when(kind == "given-f", at(HERS[script], 0)).when(kind == "given-m", at(HIS[script], 0)).otherwise(at(HERS[script] + HIS[script], 0))
+        letter = lambda of_, i: F.substr(F.lit(of_[script]), F.pmod(F.get(n, i), F.lit(len(of_[script]))) + 1, F.lit(1))
+        syllables = F.transform(F.sequence(F.lit(1), F.greatest(4 * attempt - 1, F.lit(1))), lambda i: F.concat(letter(CONSONANTS, 2 * i), letter(VOWELS, 2 * i + 1)))
+        return F.when(attempt == 0, first).otherwise(F.concat(first, F.lit("-"), F.initcap(F.array_join(syllables, ""))))
+
+    return F.when(form.rlike(r"\p{IsCyrillic}"), of("cyrillic")).when(form.rlike(r"\p{IsGreek}"), of("greek")).otherwise(of("latin"))
+
+
 def core_surrogate(kind: Column, form: Column, attempt: Column, n: Column) -> Column:
     """The surrogate of a canonical form, itself canonical. n: a column of drawn numbers, more than the form has letters."""
-    pick = lambda values, k: F.element_at(F.array(*[F.lit(v) for v in values]), F.pmod(F.get(n, F.lit(k)), F.lit(len(values))) + 1)
     digits = F.concat(F.substring(form, 1, 1), like_format(F.substr(form, F.lit(2), F.length(form) - 2), n))
     ip = F.concat(F.element_at(F.array(F.lit("198.18."), F.lit("198.19.")), F.pmod(F.get(n, F.lit(0)), F.lit(2)) + 1), F.pmod(F.get(n, F.lit(1)), F.lit(256)).cast("string"), F.lit("."), F.pmod(F.get(n, F.lit(2)), F.lit(256)).cast("string"))
     ip = F.when(attempt == 0, ip).otherwise(F.concat(F.lit("10."), *[x for k in (0, 1, 2) for x in (F.pmod(F.get(n, F.lit(k)), F.lit(256)).cast("string"), F.lit("."))][:-1]))
-    name = F.concat(F.regexp_extract(form, r"^(\p{L}+ )", 1), F.when(form.rlike(r" .* "), F.concat(F.when(form.rlike(WOMEN), pick(HERS, 0)).otherwise(pick(HIS, 0)), F.lit(" "))).otherwise(F.lit("")), pick(LAST, 1))
-    suffix = F.when(attempt > 0, F.concat(F.lit("-"), pick(LAST, 2))).otherwise(F.lit(""))
-    # From the third attempt on, letters of the form's own draw: a letter more an attempt, so the space outgrows the forms left.
-    suffix = F.concat(suffix, F.when(attempt > 1, F.concat(F.lit("-"), F.array_join(F.transform(F.sequence(F.lit(1), attempt), lambda i: from_range(F.conv(F.substr(F.sha2(F.concat_ws("|", form, attempt.cast("string"), i.cast("string")), 256), F.lit(1), F.lit(4)), 16, 10).cast("int"), 97, 26)), ""))).otherwise(F.lit("")))
     phone = F.concat(F.regexp_extract(form, r"^(\+\d)", 1), like_format(F.regexp_replace(form, r"^\+\d", ""), n))
     iban = F.concat(F.substring(form, 1, 2), like_format(F.substr(form, F.lit(3), F.length(form)), n))
     prefix = F.regexp_extract(form, r"^(AKIA|ASIA|gh[pousr]_|sk-)", 1)
@@ -135,7 +174,7 @@ def core_surrogate(kind: Column, form: Column, attempt: Column, n: Column) -> Co
         F.when(kind == "email", F.concat(like_format(F.regexp_extract(form, "^([^@]*)@", 1), n), F.lit("@mail"), F.pmod(F.get(n, F.length(form)), F.lit(10000)).cast("string"), F.lit(".example.org")))
         .when(kind == "ip", ip)
         .when(kind == "card", F.concat(digits, check_digit(digits)))
-        .when(kind == "name", F.concat(name, suffix))
+        .when(kind.startswith("given-") | (kind == "last"), name_surrogate(kind, form, attempt, n))
         .when(kind == "phone", phone)
         .when(kind == "iban", iban)
         .when(kind == "key", F.concat(prefix, like_format(F.substr(form, F.length(prefix) + 1, F.length(form)), n)))
@@ -144,7 +183,7 @@ def core_surrogate(kind: Column, form: Column, attempt: Column, n: Column) -> Co
 
 
 def in_form(kind: Column, value: Column, core: Column) -> Column:
-    """A canonical surrogate written the way the entity was: its separators at their places, its title's full stop."""
+    """A canonical surrogate written the way the entity was: its separators at their places."""
     spaced = F.array_join(
         F.aggregate(
             F.split(value, ""),
@@ -154,38 +193,29 @@ def in_form(kind: Column, value: Column, core: Column) -> Column:
         ),
         "",
     )
-    dotted = F.when(value.rlike(r"^\p{L}+\. "), F.regexp_replace(core, r"^(\p{L}+) ", r"$1. ")).otherwise(core)
-    return F.when(kind.isin("card", "iban", "ssn", "phone"), spaced).when(kind == "name", dotted).otherwise(core)
+    return F.when(kind.isin("card", "iban", "ssn", "phone"), spaced).otherwise(core)
 
 
-def surrogates(entities: DataFrame, key: str) -> DataFrame:
+def surrogates(s: Scratch, entities: DataFrame, key: str) -> DataFrame:
     """(kind, form, core): distinct entities with distinct surrogates. Those that collide try again; each attempt's
     winner is the least form, so all machines agree."""
-    left = written(entities.select("kind", "form").distinct(), "pii-entities")
-    taken = None
-    settled = []
-    attempt = 0
+    known = s.write(entities.select("kind", "form").distinct(), "entities")
+    left, taken, attempt = known, known.select("kind", F.col("form").alias("core")), 0
+    settled: DataFrame | None = None
     while True:
-        numbers = drawn(F.concat_ws("|", F.lit(key), F.col("kind"), F.lit(str(attempt)), F.col("form")), F.length("form") + 4)
+        numbers = drawn(F.concat_ws("|", F.lit(key), F.col("kind"), F.lit(str(attempt)), F.col("form")), F.length("form") + 4 + 8 * attempt)
         # Written, so that a form's numbers are drawn once and not for each of its letters.
-        made = written(left.withColumn("numbers", numbers), "pii-numbers")
-        made = made.withColumn("core", core_surrogate(F.col("kind"), F.col("form"), F.lit(attempt), F.col("numbers"))).drop("numbers")
-        firsts = made.groupBy("kind", "core").agg(F.min("form").alias("first"))
-        made = made.join(firsts, ["kind", "core"]).withColumn("good", F.col("form") == F.col("first")).drop("first")
-        seen = entities.select("kind", F.col("form").alias("core")).distinct()
-        seen = seen if taken is None else seen.union(taken)
-        made = made.join(seen.distinct().withColumn("used", F.lit(True)), ["kind", "core"], "left").withColumn("good", F.col("good") & F.col("used").isNull())
-        made = written(made.select("kind", "form", "core", "good"), "pii-surrogates")
-        settled.append(made.filter("good").select("kind", "form", "core"))
-        left = made.filter("not good").select("kind", "form")
-        taken = settled[-1].select("kind", "core") if taken is None else taken.union(settled[-1].select("kind", "core"))
+        drew = s.write(left.withColumn("numbers", numbers), "numbers")
+        made = s.write(drew.select("kind", "form", core_surrogate(F.col("kind"), F.col("form"), F.lit(attempt), F.col("numbers")).alias("core")), "made")
+        firsts = made.groupBy("kind", "core").agg(F.min("form").alias("form"))
+        free = s.write(firsts.join(taken, ["kind", "core"], "left_anti").select("kind", "form", "core"), "free")
+        settled = free if settled is None else settled.union(free)
+        taken = taken.union(free.select("kind", "core"))
+        left = s.write(made.join(free, ["kind", "form"], "left_anti").select("kind", "form"), "left")
+        s.drop(drew, made)
         attempt += 1
         if not left.limit(1).count():
-            break
-    out = settled[0]
-    for more in settled[1:]:
-        out = out.union(more)
-    return out
+            return settled
 
 
 def replace_pii(docs: DataFrame, key: str = KEY, text_column: str = "text", id_column: str = "doc_id") -> DataFrame:
@@ -198,6 +228,7 @@ def replace_pii(docs: DataFrame, key: str = KEY, text_column: str = "text", id_c
         maybe = maybe | text.contains(hint)
     for word in WORDS:
         maybe = maybe | F.lower(text).contains(word)
+    maybe = maybe | text.rlike(KNOWN_HINT)
     row, parts, new, flag = (unused(x, docs) for x in ("_row", "_parts", "_new", "_maybe"))
     marked = docs.withColumn(flag, F.coalesce(maybe, F.lit(False)))
     clean = marked.filter(~F.col(flag)).drop(flag).withColumn("n_entities", F.lit(0))
@@ -206,12 +237,18 @@ def replace_pii(docs: DataFrame, key: str = KEY, text_column: str = "text", id_c
     pieces = F.split(F.regexp_replace(text, F.lit(ANY), F.concat(mark, F.lit("$0"), mark)), mark)
     cut = written(marked.filter(flag).drop(flag).withColumns({row: F.xxhash64(id_column, text_column), parts: pieces}), "pii-parts")
     values = F.filter(parts, lambda _, i: i % 2 == 1)
-    found = written(cut.select(F.col(row).alias("row"), F.explode(F.array_distinct(values)).alias("value")).distinct().withColumn("kind", entity_type(F.col("value"))).withColumn("form", canonical(F.col("kind"), F.col("value"))), "pii-found")
-    said = found.join(surrogates(found, key), ["kind", "form"]).withColumn("new", in_form(F.col("kind"), F.col("value"), F.col("core")))
-    by_row = said.groupBy(F.col("row").alias(row)).agg(F.map_from_entries(F.collect_list(F.struct("value", "new"))).alias(new))
+    with Scratch(docs.sparkSession, "pii") as s:
+        found = s.write(cut.select(F.col(row).alias("row"), F.explode(F.array_distinct(values)).alias("value")).distinct(), "found")
+        kinds = s.write(found.select("value").distinct().withColumn("type", entity_type(F.col("value"))).filter("type <> 'none'").select("value", "type", F.posexplode(parts_of(F.col("type"), F.col("value"))).alias("n", "part")).select("value", "type", "n", "part.*"), "parts")
+        cores = kinds.join(surrogates(s, kinds, key), ["kind", "form"])
+        in_order = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("n", "core"))), lambda x: x["core"]), " ")
+        spoken = cores.groupBy("value", "type").agg(in_order.alias("core")).select("value", F.when(F.col("type") == "name", F.concat(F.regexp_extract("value", TITLE, 0), "core")).otherwise(in_form(F.col("type"), F.col("value"), F.col("core"))).alias("new"))
+        said = found.join(s.write(spoken, "spoken"), "value")
+        by_row = s.finish(said.groupBy(F.col("row").alias(row)).agg(F.map_from_entries(F.collect_list(F.struct("value", "new"))).alias(new)))
     joined = cut.join(by_row, row, "left")
-    whole = F.array_join(F.transform(parts, lambda x, i: F.when(i % 2 == 1, F.col(new)[x]).otherwise(x)), "")
-    done = joined.withColumn(text_column, whole).withColumn("n_entities", F.floor(F.size(parts) / 2).cast("int"))
+    is_entity = lambda x, i: (i % 2 == 1) & F.col(new)[x].isNotNull()
+    whole = F.array_join(F.transform(parts, lambda x, i: F.when(is_entity(x, i), F.col(new)[x]).otherwise(x)), "")
+    done = joined.withColumn(text_column, whole).withColumn("n_entities", F.size(F.filter(parts, is_entity)))
     return clean.unionByName(done.drop(row, parts, new))
 
 
