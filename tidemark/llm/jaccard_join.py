@@ -4,16 +4,19 @@ The join is exact. It works in size bands and tiles:
 
 1. Documents with equal sets fold into their smallest id.
 2. A document's set is dealt into parts by hash, as many as its size band asks for: two sets that link differ in at
-   most H shingles, so of H+1 parts one at least is the same in both (empty parts counted only where a set leaves too
+   most H shingles, so of H+m parts m at least are the same in both (empty parts counted only where a set leaves too
    few others). Documents meet if a part of theirs is the same, in their own band or the next. Meetings are counted with
-   partial sums; then only documents of meetings of two or more are dealt out again.
+   partial sums; then only documents of meetings of two or more are dealt out again. A document whose full parts
+   outnumber H by more than its parts in crowded meetings (a line that very many documents have) has another meeting
+   with whatever it links with, and so leaves the crowded ones.
 3. Where documents meet, each is held against the smallest of them. Tiles (a leader and some of its members) bound the
    overlap from above by bit counts of hashed bitmaps; pairs that the bound lets pass have their sorted arrays
    intersected.
 4. A meeting whose documents all fell into one class is done. In others, those outside the leader's class meet the
    smallest among them, ROUNDS times in all. Where several classes are left, the documents of different classes are
    held against each other in tiles of bounded size, first by the bitmaps alone (the largest class's documents only
-   against the others); pairs that these let pass go the way of 3.
+   against the others); pairs that these let pass go the way of 3. That happens twice: first a tile gives only as many
+   pairs as would join its classes, then, where not all of those linked, all pairs of classes still apart.
 5. Classes are the connected components of the links.
 
 No pair inside a class is lost to a cap: pairs are left out only if both ends are known to be in one class. That
@@ -42,6 +45,8 @@ from tidemark.llm.shingles import mix, shingle_sets
 BAND = 1.5
 #: Members in a tile beside its leader, and documents on a side of a tile of a meeting.
 TILE, SIDE = 500, 400
+#: Documents of a crowded meeting.
+CROWD = 50
 #: Rounds in which the documents of a meeting that are in no leader's class meet a new leader.
 ROUNDS = 3
 #: A bitmap's bits for each shingle, before rounding up to a power of two; and its fewest.
@@ -66,27 +71,29 @@ def differ_most(band: int, percent: int) -> int:
     return (100 - percent) * 2 * band_top(band) // (100 + percent)
 
 
-def signatures(own: np.ndarray, percent: int) -> np.ndarray:
-    """A set's signatures: a hash of band, part and what the part holds."""
+def signatures(own: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """A set's signatures, a hash of band, part and what the part holds; and for each how many of the same band any
+    linked set has at least, times two, plus one for the next band."""
     size = len(own)
     bands = [band_of(size)]
     if band_of(max(size, size * 100 // percent)) > bands[0]:
         bands.append(bands[0] + 1)
-    out = []
+    out, needs = [], []
     value = mix(own + np.uint64(0x14057B7EF767814F))
-    for band in bands:
+    for k, band in enumerate(bands):
         most = differ_most(band, percent)
-        parts = most + 2 + most // 32  # some to spare, since a few stay empty
+        parts = most + 2 + most // 8
         part = ((own >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)  # rises with the sorted set
         first = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
         total = np.add.reduceat(value, first)
-        label = part[first]
-        if len(first) <= most:  # too few full parts: the empty ones count too
+        label, sure = part[first], len(first) - most
+        if sure < 1:  # too few full parts: the empty ones count too
             whole = np.zeros(parts, np.uint64)
             whole[label] = total
-            label, total = np.arange(parts), whole
+            label, total, sure = np.arange(parts), whole, 1
         out.append(mix(mix(label.astype(np.uint64) + np.uint64(band << 40)) + total))
-    return np.concatenate(out).view(np.int64)
+        needs.append(np.full(len(label), 2 * sure + k, np.int32))
+    return np.concatenate(out).view(np.int64), np.concatenate(needs)
 
 
 def bitmap(own: np.ndarray) -> np.ndarray:
@@ -166,18 +173,26 @@ def meetings(s: Scratch, docs: DataFrame, copies: DataFrame, k: int, percent: in
 
     def dealt(wanted: bytes | None) -> DataFrame:
         def emit(rows, sets):
-            sigs = [signatures(x, percent) if len(x) else np.zeros(0, np.int64) for x in sets]
+            found = [signatures(x, percent) for x in sets if len(x)]
+            doc = np.repeat(rows.column("doc_id").to_numpy()[[len(x) > 0 for x in sets]], [len(x) for x, _ in found])
+            sig, need = (np.concatenate([x[n] for x in found] or [np.zeros(0, t)]) for n, t in enumerate((np.int64, np.int32)))
             if wanted is not None:
-                sigs = [x[in_filter(wanted, x & (FILTER_BITS - 1))] for x in sigs]
-            return pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(sigs, pa.list_(pa.int64()))], names=["doc", "sigs"])
+                hit = in_filter(wanted, sig & (FILTER_BITS - 1))
+                sig, doc, need = sig[hit], doc[hit], need[hit]
+            return pa.RecordBatch.from_arrays([pa.array(sig), pa.array(doc), pa.array(need)], names=["sig", "doc", "need"])
 
-        sure, doubt = (map_sets(docs, emit, "doc long, sigs array<long>", k, doubtful, inside) for inside in (False, True))
-        return sure.union(doubt.join(copies, "doc", "left_anti")).select(F.explode("sigs").alias("sig"), "doc")
+        sure, doubt = (map_sets(docs, emit, "sig long, doc long, need int", k, doubtful, inside) for inside in (False, True))
+        return sure.union(doubt.join(copies, "doc", "left_anti").select("sig", "doc", "need"))
 
-    groups = s.write(dealt(None).groupBy("sig").agg(F.min("doc").alias("leader"), F.max("doc").alias("most")).filter("leader < most").select("sig", "leader"), "groups")
+    groups = s.write(dealt(None).groupBy("sig").agg(F.min("doc").alias("leader"), F.count(F.lit(1)).alias("n")).filter("n > 1"), "groups")
     again = dealt(id_filter(groups, "sig", F.expr(f"sig & {FILTER_BITS - 1}")))
-    met = s.write(again.join(groups, "sig").select("sig", "doc", "leader"), "met")
-    s.drop(groups)
+    there = s.write(again.join(groups, "sig"), "dealt")
+    crowded = there.filter(f"n > {CROWD}")
+    free = crowded.groupBy("doc", "need").agg(F.count(F.lit(1)).alias("parts")).filter("parts < shiftright(need, 1)").select("doc", "need")
+    left = s.write(crowded.join(free, ["doc", "need"], "left_anti").select("sig", "doc"), "crowded")
+    leaders = left.groupBy("sig").agg(F.min("doc").alias("leader"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("sig", "leader")
+    met = s.write(there.filter(f"n <= {CROWD}").select("sig", "doc", "leader").union(left.join(leaders, "sig").select("sig", "doc", "leader")), "met")
+    s.drop(groups, there, left)
     return met
 
 
@@ -193,7 +208,11 @@ def linked_classes(s: Scratch, docs: DataFrame, met: DataFrame, k: int, percent:
         if not met.limit(1).count():
             return classes
         pairs = met.filter("doc <> leader and class <> leader_class")
-    return with_links(s, classes, s.write(rest_pairs(met, maps, percent), "rest"), docs, k, percent)
+    for few in (True, False):
+        if not few:
+            met = open_meetings(s, met, classes, False)
+        classes = with_links(s, classes, s.write(rest_pairs(met, maps, percent, few), "rest"), docs, k, percent)
+    return classes
 
 
 def with_links(s: Scratch, classes: DataFrame | None, near: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
@@ -210,16 +229,17 @@ def with_links(s: Scratch, classes: DataFrame | None, near: DataFrame, docs: Dat
     return out
 
 
-def open_meetings(s: Scratch, met: DataFrame, classes: DataFrame) -> DataFrame:
-    """(sig, doc, class, leader, leader_class): meetings whose documents but for the leader, who has been held against
-    all, are of different classes; their new leader is the smallest document outside the old one's class. Meetings of
-    the same documents count once."""
+def open_meetings(s: Scratch, met: DataFrame, classes: DataFrame, led: bool = True) -> DataFrame:
+    """(sig, doc, class, leader, leader_class): meetings whose documents (if led, but for the leader, who has been held
+    against all) are of different classes; their new leader is the smallest document outside the old one's class.
+    Meetings of the same documents count once."""
+    others = (F.col("doc") != F.col("leader")) | F.lit(not led)
     there = s.write(met.select("sig", "doc", "leader").join(classes.withColumnRenamed("node", "doc"), "doc", "left").select("sig", "doc", "leader", F.coalesce("component", "doc").alias("class")), "there")
     s.drop(met)
-    led, rest = F.when(F.col("doc") == F.col("leader"), F.col("class")), F.when(F.col("doc") != F.col("leader"), F.col("class"))
-    groups = there.groupBy("sig").agg(F.max(led).alias("old"), F.min(rest).alias("low"), F.max(rest).alias("high"), F.count(F.lit(1)).alias("n"), F.expr("bit_xor(xxhash64(doc))").alias("who")).filter("low < high")
+    old, rest = F.when(F.col("doc") == F.col("leader"), F.col("class")), F.when(others, F.col("class"))
+    groups = there.groupBy("sig").agg(F.max(old).alias("old"), F.min(rest).alias("low"), F.max(rest).alias("high"), F.count(F.lit(1)).alias("n"), F.expr("bit_xor(xxhash64(doc))").alias("who")).filter("low < high")
     once = groups.groupBy("who", "n").agg(F.min(F.struct("sig", "old")).alias("g")).select("g.sig", "g.old")
-    rows = s.write(there.filter("doc <> leader").join(once, "sig").select("sig", "doc", "class", "old"), "rows")
+    rows = s.write(there.filter(others).join(once, "sig").select("sig", "doc", "class", "old"), "rows")
     s.drop(there)
     new = rows.filter("class <> old").groupBy("sig").agg(F.min(F.struct("doc", "class")).alias("l")).select("sig", F.col("l.doc").alias("leader"), F.col("l.class").alias("leader_class"))
     out = s.write(rows.join(new, "sig").select("sig", "doc", "class", "leader", "leader_class"), "met")
@@ -255,28 +275,32 @@ def bounded(sizes: np.ndarray, maps: list[np.ndarray], size: int, own: np.ndarra
     return 100 * bound >= percent * (sizes + size - bound)
 
 
-def rest_pairs(met: DataFrame, maps: DataFrame, percent: int) -> DataFrame:
-    """(doc, leader): pairs of documents that met, of different classes so far and not yet held against each other,
-    whose bitmaps let them link. A meeting's largest class is held against the others only, not against itself."""
+def rest_pairs(met: DataFrame, maps: DataFrame, percent: int, few: bool) -> DataFrame:
+    """(doc, leader): pairs of documents that met, of different classes so far, whose bitmaps let them link. A meeting's
+    largest class is held against the others only, not against itself. With `few`, classes that one pair of a tile would
+    join count as one in the rest of the tile."""
     counts = met.groupBy("sig", "class").agg(F.count(F.lit(1)).alias("n"))
     sides = counts.groupBy("sig").agg(F.max(F.struct("n", "class")).alias("top"), F.sum("n").alias("all")).select("sig", F.col("top.class").alias("top"), F.ceil((F.col("all") - F.col("top.n")) / SIDE).alias("others"), F.ceil(F.col("top.n") / SIDE).alias("tops"))
     zero, is_top = F.lit(0).cast("long"), F.col("class") == F.col("top")
     dealt = met.join(sides, "sig").withColumn("side", F.when(is_top, F.col("others") + F.pmod(F.xxhash64("doc"), F.col("tops"))).otherwise(F.pmod(F.xxhash64("doc"), F.col("others"))))
     spread = dealt.withColumn("other", F.explode(F.sequence(zero, F.when(is_top, F.col("others")).otherwise(F.col("others") + F.col("tops")) - 1)))
-    tiles = spread.select("sig", F.least("side", "other").alias("x"), F.greatest("side", "other").alias("y"), "side", "doc", "leader", "class").join(maps, "doc")
+    tiles = spread.select("sig", F.least("side", "other").alias("x"), F.greatest("side", "other").alias("y"), "side", "doc", "class").join(maps, "doc")
 
     def check(rows: pa.Table) -> pa.Table:
         rows = rows.sort_by("size")
-        doc, leader, sizes, kind, side = (rows.column(c).to_numpy() for c in ("doc", "leader", "size", "class", "side"))
+        doc, sizes, kind, side = (rows.column(c).to_numpy() for c in ("doc", "size", "class", "side"))
         within = rows.column("x")[0].as_py() == rows.column("y")[0].as_py()
         held = alike([np.frombuffer(x, np.uint64) for x in rows.column("held").to_pylist()])
         a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for i in range(len(doc)):
             part = slice(i + 1, np.searchsorted(sizes, sizes[i] * 100 // percent, "right"))
-            new = (kind[part] != kind[i]) & (doc[part] != leader[i]) & (doc[i] != leader[part]) & (within | (side[part] != side[i]))
+            new = (kind[part] != kind[i]) & (within | (side[part] != side[i]))
             j = i + 1 + np.flatnonzero(new)
             bound = overlap_bound(sizes[j], held[j], sizes[i], held[i])
             j = j[100 * bound >= percent * (sizes[j] + sizes[i] - bound)]
+            if few and len(j):
+                j = j[np.unique(kind[j], return_index=True)[1]]  # one of each class
+                kind = np.where(np.isin(kind, kind[j]), kind[i], kind)
             a.append(doc[j])
             b.append(np.full(len(j), doc[i]))
         left, right = np.concatenate(a), np.concatenate(b)
