@@ -295,9 +295,9 @@ def exact_runs(s: Scratch, docs: DataFrame, met: DataFrame, open_: DataFrame, he
 
     around = s.write(docs.withColumn("bit", filter_bit("doc_id")).mapInArrow(runs, "doc long, key long, place int"), "runs")
     firsts = s.write(around.groupBy("key").agg(F.min(F.struct("doc", "place")).alias("s"), F.max("doc").alias("most")).filter("s.doc < most").select("key", "s"), "first-runs")
-    hits = around.join(firsts, "key").filter("doc <> s.doc").selectExpr("doc", "s.doc as source", "place - s.place as shift", "place").distinct()
-    hits = hits.join(copies.select(F.col("doc_id").alias("doc")), "doc", "left_anti")
-    hits = hits.join(held, (hits.doc == held.doc) & F.expr(f"start_word <= place and end_word >= place + {WORDS}"), "left_anti")
+    asked = around.join(copies.select(F.col("doc_id").alias("doc")).distinct(), "doc", "left_anti")
+    asked = s.write(asked.join(held, (asked.doc == held.doc) & F.expr(f"start_word <= place and end_word >= place + {WORDS}"), "left_anti"), "asked")
+    hits = asked.join(firsts, "key").filter("doc <> s.doc").selectExpr("doc", "s.doc as source", "place - s.place as shift", "place").distinct()
     stretch = hits.withColumn("k", F.col("place") - F.row_number().over(W.partitionBy("doc", "source", "shift").orderBy("place")))
     ends = stretch.groupBy("doc", "source", "shift", "k").agg(F.min("place").alias("low"), (F.max("place") + WORDS).alias("high"))
     return ends.selectExpr("doc as doc_id", "low as start_word", "high as end_word", "source as source_doc_id", "low - shift as source_start", "high - shift as source_end", "1.0D as similarity")
