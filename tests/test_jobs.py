@@ -56,6 +56,27 @@ def test_store_gives_each_request_its_id(spark):
     assert any(out["vectors"].filter("memory_id = 'k'").first().embedding)
 
 
+def test_duplicates_of_an_upsert_get_its_note_and_old_vectors_go(spark):
+    """Two equal requests on a topic that has a note: both results are that note; its vectors of any model are replaced."""
+    table = notes(spark, {"id": "m1", "topic_key": "t"}, {"id": "m2"})
+    vec = spark.createDataFrame([("m1", "old", [1.0]), ("m1", "older", [2.0]), ("m2", "old", [3.0])], "memory_id string, embed_model string, embedding array<float>")
+    rows = [(0, "n1", "t", "new text"), (1, "n2", "t", "new text"), (2, "n3", None, "plain"), (3, "n4", None, "plain")]
+    req = spark.createDataFrame(rows, "ord long, id string, topic_key string, content string").selectExpr("*", "timestamp_seconds(1704153600 + ord) as created_at", "'p' as project_id", "'fact' as type", "'T' as title", "'s' as session_id", "null as importance", "null as source", "cast(null as boolean) as pinned", "cast(array() as array<string>) as facts", "cast(array() as array<string>) as tags")
+    out = memory.store_memories(req, table, vec, vectors.HashedWords(), "2024-01-03 00:00:00")
+    stored = {r.id: r.content for r in out["memories"].collect()}
+    results = {r.ord: r.id for r in out["results"].collect()}
+    assert results == {0: "m1", 1: "m1", 2: "n3", 3: "n3"} and set(results.values()) <= set(stored)
+    assert stored["m1"] == "new text" and set(stored) == {"m1", "m2", "n3"}
+    assert sorted((r.memory_id, r.embed_model) for r in out["vectors"].collect()) == [("m1", "hashed-words-1"), ("m2", "old"), ("n3", "hashed-words-1")]
+
+
+def test_one_key_of_many_rows_is_judged_in_one_pass(spark):
+    n = 30_000
+    rows = spark.range(n).selectExpr("cast(id as string) as id", "'h' as content_hash", "cast(null as string) as session_id", "timestamp_seconds(id * 7) as created_at")
+    got = {int(r.id): r.kept for r in memory.dedup_window(rows, window_secs=30).collect()}
+    assert len(got) == n and all(got[i] == (i % 5 == 0) for i in range(n))  # every fifth row is 35 seconds on
+
+
 def test_projects_are_apart_in_every_update(spark):
     table = notes(spark, {"id": "a"}, {"id": "b", "status": "deleted"})
     other = asked(spark, "a", project="q", pin=True)

@@ -6,6 +6,9 @@ Times are `now` or columns; a note's row has the columns of plans.views.MEMORY_C
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -76,28 +79,35 @@ def dedup_window(df: DataFrame, existing: DataFrame | None = None, window_secs:
     """Adds kept and dup_of: in time order a row is kept if at least window_secs have passed since the last kept row of
     its keys; a dropped row doesn't move the window. Existing rows count as kept. Null keys are keys of their own.
 
-    Only (time, id) of each key is folded, in the JVM. Rows far from all others need no fold, which splits even hot keys:
-    a gap of window_secs after the row before always starts anew.
+    A key's (time, id) rows come to one task in order of time and are judged as they stream by, so memory is bounded for
+    hot keys too. Rows without a time are kept and don't move the window.
     """
-    rows = df.select(*keys, F.unix_micros(F.col(ts).cast("timestamp")).alias("_t"), F.col(id_col).alias("_id"), F.lit(False).alias("_old"))
+    key = lambda: F.to_json(F.struct(*keys)).alias("_key")
+    rows = df.select(key(), F.unix_micros(F.col(ts).cast("timestamp")).alias("_t"), F.col(id_col).alias("_id"), F.lit(False).alias("_old"))
     if existing is not None:
-        touched = existing.join(df.select(*(F.col(k).alias(f"_k{n}") for n, k in enumerate(keys))).distinct(), [F.col(k).eqNullSafe(F.col(f"_k{n}")) for n, k in enumerate(keys)], "left_semi")
-        rows = rows.union(touched.select(*keys, F.unix_micros(F.col(ts).cast("timestamp")), F.col(id_col), F.lit(True)))
-    order = W.partitionBy(*keys).orderBy("_t", F.desc("_old"), "_id")
-    gap = F.col("_t") - F.lag("_t").over(order) >= window_secs * 1_000_000
-    run = F.sum(F.when(F.coalesce(gap, F.lit(True)), 1).otherwise(0)).over(order.rowsBetween(W.unboundedPreceding, 0))
-    runs = rows.withColumn("_run", run).groupBy(*keys, "_run").agg(F.array_sort(F.collect_list(F.struct("_t", (~F.col("_old")).alias("_new"), "_id"))).alias("_all"))
-    empty = F.expr("cast(array() as array<struct<id:string,kept:boolean,dup:string>>)")
+        touched = existing.select(key(), F.unix_micros(F.col(ts).cast("timestamp")).alias("_t"), F.col(id_col), F.lit(True)).join(rows.select("_key").distinct(), "_key", "left_semi")
+        rows = rows.union(touched)
     kind = df.schema[id_col].dataType.simpleString()
-    start = F.struct(F.lit(None).cast("long").alias("t"), F.lit(None).cast(kind).alias("id"), empty.cast(f"array<struct<id:{kind},kept:boolean,dup:{kind}>>").alias("out"))
-
-    def step(s, x):
-        keep = ~x["_new"] | s["t"].isNull() | (x["_t"] - s["t"] >= window_secs * 1_000_000)
-        said = F.struct(x["_id"].alias("id"), keep.alias("kept"), F.when(~keep, s["id"]).alias("dup"))
-        return F.struct(F.when(keep, x["_t"]).otherwise(s["t"]).alias("t"), F.when(keep, x["_id"]).otherwise(s["id"]).alias("id"), F.when(x["_new"], F.array_append(s["out"], said)).otherwise(s["out"]).alias("out"))
 
-    folded = runs.select(F.explode(F.aggregate("_all", start, step)["out"]).alias("r")).select(F.col("r.id").alias(id_col), F.col("r.kept").alias("kept"), F.col("r.dup").alias("dup_of"))
-    return df.join(folded, id_col)
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = last = owner = None
+        for batch in batches:
+            new, kept, dup = [], [], []
+            for k, t, i, old in zip(*(batch.column(c).to_pylist() for c in ("_key", "_t", "_id", "_old")), strict=True):
+                if k != of:
+                    of, last, owner = k, None, None
+                keep = old or t is None or last is None or t - last >= window_secs * 1_000_000
+                if not old:
+                    new.append(i)
+                    kept.append(keep)
+                    dup.append(None if keep else owner)
+                if keep and t is not None:
+                    last, owner = t, i
+            of_id = batch.schema.field("_id").type
+            yield pa.RecordBatch.from_arrays([pa.array(new, of_id), pa.array(kept, pa.bool_()), pa.array(dup, of_id)], names=[id_col, "kept", "dup_of"])
+
+    ordered = rows.repartition("_key").sortWithinPartitions("_key", "_t", F.desc("_old"), "_id")
+    return df.join(ordered.mapInArrow(judge, f"`{id_col}` {kind}, kept boolean, dup_of {kind}"), id_col)
 
 
 def upsert_topics(existing: DataFrame, batch: DataFrame) -> DataFrame:
@@ -136,11 +146,13 @@ def store_memories(requests: DataFrame, memories: DataFrame, vectors: DataFrame,
     kept = judged.filter("kept").drop("kept", "dup_of")
     table = upsert_topics(memories, kept)
     owner = table.filter("topic_key is not null").select("project_id", "topic_key", F.col("id").alias("owner"), "upserted")
-    asked = judged.join(owner, ["project_id", "topic_key"], "left")
-    results = asked.select("ord", F.when(~F.col("kept"), F.col("dup_of")).otherwise(F.coalesce("owner", "id")).alias("id"), (F.col("kept") & F.coalesce("upserted", F.lit(False)) & (F.col("owner") != F.col("id"))).alias("upserted"))
-    changed = table.join(results.select("id").distinct(), "id", "left_semi").join(judged.filter("kept").select("content_hash").distinct(), "content_hash", "left_semi")
+    asked = judged.join(owner, ["project_id", "topic_key"], "left").withColumn("_own", F.coalesce("owner", "id"))
+    # A duplicate of a request that went to another note is that note.
+    went = asked.filter("kept").select(F.col("id").alias("dup_of"), F.col("_own").alias("_went"))
+    results = asked.join(went, "dup_of", "left").select("ord", F.when(~F.col("kept"), F.coalesce("_went", "dup_of")).otherwise(F.col("_own")).alias("id"), (F.col("kept") & F.coalesce("upserted", F.lit(False)) & (F.col("owner") != F.col("id"))).alias("upserted"))
+    changed = table.join(went.select(F.col("_went").alias("id")).distinct(), "id", "left_semi")
     fresh = embed_text(changed.select("id", F.concat_ws(" ", "title", "content").alias("_text")), "_text", embedder).select(F.col("id").alias("memory_id"), "embed_model", "embedding")
-    left = vectors.join(fresh.select("memory_id", "embed_model"), ["memory_id", "embed_model"], "left_anti")
+    left = vectors.join(changed.select(F.col("id").alias("memory_id")), "memory_id", "left_anti")  # of any model: the text is another
     return {"memories": table.drop("upserted"), "vectors": left.unionByName(fresh), "results": results}
 
 

@@ -26,7 +26,7 @@ def query(name: str, sql: str | None = None):
 
 # Sources
 
-LOG_SQL = "SELECT doc_id % 7 AS repo, doc_id AS pos, CASE doc_id % 5 WHEN 0 THEN substring(sha256(CAST(doc_id AS VARCHAR)), 1, 40) || '|' || CASE WHEN doc_id % 25 = 0 THEN 'x' ELSE CAST(1700000000 + doc_id AS VARCHAR) END || '|fix a|b ' || lang WHEN 3 THEN '-' || chr(9) || '7' || chr(9) || 'img/' || lang || '.png' WHEN 4 THEN 'noise' ELSE CAST(n_chars AS VARCHAR) || chr(9) || CAST(doc_id % 9 AS VARCHAR) || chr(9) || 'src/' || lang || '.rs' END AS line FROM (SELECT doc_id // 7 * 7 + doc_id % 7 AS doc_id, lang, n_chars FROM documents WHERE doc_id >= 2)"
+LOG_SQL = "SELECT doc_id % 7 AS repo, doc_id AS pos, CASE doc_id % 5 WHEN 0 THEN substring(sha256(CAST(doc_id AS VARCHAR)), 1, 40) || '|' || CASE WHEN doc_id % 25 = 0 THEN 'x' ELSE CAST(1700000000 + doc_id AS VARCHAR) END || '|fix a|b ' || lang WHEN 3 THEN '-' || chr(9) || '7' || chr(9) || 'img/' || lang || '.png' WHEN 4 THEN 'noise' ELSE CAST(n_chars AS VARCHAR) || chr(9) || CAST(doc_id % 9 AS VARCHAR) || chr(9) || 'src/' || lang || '.rs' END AS line FROM (SELECT doc_id // 7 * 7 + doc_id % 7 AS doc_id, lang, n_chars FROM documents)"
 
 
 @query("s2_parse_git_log", f"""
@@ -36,7 +36,7 @@ heads AS (SELECT repo, c, split_part(line, '|', 1) AS sha, coalesce(TRY_CAST(spl
 SELECT CAST(g.repo AS VARCHAR) AS repo, sha, secs, message, split_part(line, chr(9), 3) AS path, coalesce(TRY_CAST(split_part(line, chr(9), 1) AS BIGINT), 0) AS added, coalesce(TRY_CAST(split_part(line, chr(9), 2) AS BIGINT), 0) AS deleted
 FROM g JOIN heads ON g.repo = heads.repo AND g.c = heads.c WHERE NOT is_head AND len(string_split(line, chr(9))) = 3""")
 def s2(s, d):
-    doc = s.read.parquet(f"{d}/documents.parquet").filter("doc_id >= 2")
+    doc = s.read.parquet(f"{d}/documents.parquet")
     tab, text = F.lit("\t"), lambda c: F.col(c).cast("string")
     ts = F.when(F.col("doc_id") % 25 == 0, "x").otherwise((F.lit(1700000000) + F.col("doc_id")).cast("string"))
     line = (
@@ -175,11 +175,11 @@ def w1(s, d):
     return ranking.top_k(s.read.parquet(f"{d}/lineitem.parquet").select("l_suppkey", "l_orderkey", "l_linenumber", "l_extendedprice"), ["l_suppkey"], [F.desc("l_extendedprice"), F.asc("l_orderkey"), F.asc("l_linenumber")], 5).drop("l_extendedprice").withColumn("rank", F.col("rank").cast("long"))
 
 
-@query("w2_collapse_duplicates", with_views("chunks_v", f"SELECT id, symbol_kind, duplicate_count FROM (SELECT id, symbol_kind, row_number() OVER (PARTITION BY symbol_kind, h ORDER BY hotspot_score DESC, id) AS n, count(*) OVER (PARTITION BY symbol_kind, h) - 1 AS duplicate_count FROM (SELECT *, {BODY_HASH_SQL.replace('body_preview', 'substring(body_preview, 1, 8)')} AS h FROM chunks_v)) WHERE n = 1"))
+@query("w2_collapse_duplicates", with_views("chunks_v", f"SELECT id, symbol_kind, duplicate_count FROM (SELECT id, symbol_kind, row_number() OVER (PARTITION BY symbol_kind, h ORDER BY hotspot_score DESC, id) AS n, count(*) OVER (PARTITION BY symbol_kind, h) - 1 AS duplicate_count FROM (SELECT *, {BODY_HASH_SQL} AS h FROM chunks_v)) WHERE n = 1"))
 def w2(s, d):
     from tidemark.functions.scalars import body_hash
 
-    rows = view(s, d, "chunks_v").withColumn("h", body_hash(F.substring("body_preview", 1, 8)))
+    rows = view(s, d, "chunks_v").withColumn("h", body_hash("body_preview"))
     return ranking.collapse_duplicates(rows, ["symbol_kind"], "h", [F.desc("hotspot_score"), F.asc("id")]).select("id", "symbol_kind", "duplicate_count")
 
 
@@ -189,10 +189,10 @@ def w3(s, d):
     return ranking.pack_budget(rows, ["project_id"], [F.desc("created_at"), F.asc("id")], "n").select("id", "project_id", "included")
 
 
-@query("w4_apply_gates", "SELECT doc_id, source, score FROM (SELECT doc_id, source, (doc_id * 37 % 300) / 10000.0 AS score, max((doc_id * 37 % 300) / 10000.0) OVER (PARTITION BY source) AS top FROM documents WHERE doc_id % 40 < 21) WHERE top >= 0.02 AND score >= 0.01")
+@query("w4_apply_gates", "SELECT doc_id, source, score FROM (SELECT *, max(score) OVER (PARTITION BY source, m) AS top FROM (SELECT doc_id, source, doc_id % 7 AS m, (doc_id * 37 % 300) * (doc_id % 7) / 60000.0 AS score FROM documents)) WHERE top >= 0.02 AND score >= 0.01")
 def w4(s, d):
-    rows = s.read.parquet(f"{d}/documents.parquet").filter("doc_id % 40 < 21").select("doc_id", "source", (F.col("doc_id") * 37 % 300 / 10000.0).alias("score"))
-    return ranking.apply_gates(rows, ["source"], "score")
+    rows = s.read.parquet(f"{d}/documents.parquet").select("doc_id", "source", (F.col("doc_id") % 7).alias("m"), ((F.col("doc_id") * 37 % 300) * (F.col("doc_id") % 7) / 60000.0).alias("score"))
+    return ranking.apply_gates(rows, ["source", "m"], "score").drop("m")
 
 
 @query("w5_recent_commits", with_views("changes_v", "SELECT sha, path, rank FROM recent", RECENT_SQL))
@@ -321,7 +321,7 @@ def r3_meta(s, d):
 
 @query("r4_similar_to_memories")
 def r4(s, d):
-    ids = view(s, d, "ids_v").filter("ord % 2 = 0").select(F.concat(F.lit("r"), (F.col("ord") % 7).cast("string")).alias("request_id"), "project_id", "id", "ord")
+    ids = view(s, d, "ids_v").select(F.concat(F.lit("r"), (F.col("ord") % 7).cast("string")).alias("request_id"), "project_id", "id", "ord")
     return retrieval.similar_to_memories(ids, view(s, d, "memories_v"), view(s, d, "memory_vectors_v"), *code_tables(s, d), NOW)
 
 
@@ -484,13 +484,13 @@ def m13(s, d):
 
 def source_files(s, d):
     """Documents as files of several kinds: Markdown with a heading for each line, SQL, and plain code."""
-    doc = s.read.parquet(f"{d}/documents.parquet").filter("doc_id % 3 < 2")
+    doc = s.read.parquet(f"{d}/documents.parquet")
     text = F.when(F.col("doc_id") % 3 == 0, F.regexp_replace("text", r"(?m)^", "# ")).otherwise(F.replace("text", F.lit("."), F.lit(";")))
     path = F.concat(F.col("source"), F.lit("/d"), F.col("doc_id").cast("string"), F.when(F.col("doc_id") % 3 == 0, ".md").otherwise(".sql"))
     return doc.select(path.alias("path"), text.alias("text")).withColumn("content_hash", content_hash("text"))
 
 
-SECTIONS_SQL = """WITH f AS (SELECT source || '/d' || CAST(doc_id AS VARCHAR) || '.sql' AS path, string_split(regexp_replace(replace(text, '.', ';'), '\\r?\\n$', ''), chr(10)) AS ls FROM documents WHERE doc_id % 3 = 1),
+SECTIONS_SQL = """WITH f AS (SELECT source || '/d' || CAST(doc_id AS VARCHAR) || '.sql' AS path, string_split(regexp_replace(replace(text, '.', ';'), '\\r?\\n$', ''), chr(10)) AS ls FROM documents),
 l AS (SELECT path, unnest(ls) AS line, unnest(range(1, len(ls) + 1)) AS pos FROM f),
 g AS (SELECT *, sum(CASE WHEN regexp_matches(coalesce(p, ''), ';\\s*$') THEN 1 ELSE 0 END) OVER (PARTITION BY path ORDER BY pos ROWS UNBOUNDED PRECEDING) AS k FROM (SELECT *, lag(line) OVER (PARTITION BY path ORDER BY pos) AS p FROM l)),
 n AS (SELECT *, regexp_replace(line, '^[\\s\\p{Z}]+|[\\s\\p{Z}]+$', '', 'g') AS t FROM g)
@@ -499,7 +499,9 @@ SELECT path, substring(arg_min(t, pos) FILTER (WHERE t <> ''), 1, 120) AS symbol
 
 @query("c1_chunk_sections", SECTIONS_SQL)
 def c1(s, d):
-    return indexing.chunk_sections(source_files(s, d).filter("path like '%.sql'")).select("path", "symbol_name", "line_end")
+    path = F.concat(F.col("source"), F.lit("/d"), F.col("doc_id").cast("string"), F.lit(".sql"))
+    files = s.read.parquet(f"{d}/documents.parquet").select(path.alias("path"), F.replace("text", F.lit("."), F.lit(";")).alias("text"))
+    return indexing.chunk_sections(files).select("path", "symbol_name", "line_end")
 
 
 @query("c2_extract_symbols")
@@ -527,7 +529,7 @@ def c3(s, d):
     return out["chunks"].join(out["vectors"], F.col("id") == F.col("chunk_id")).select("id", "file_path", "symbol_name", "line_start", "line_end", "embed_model")
 
 
-@query("c4_update_index", "SELECT path FROM (SELECT source || '/d' || CAST(doc_id AS VARCHAR) || CASE doc_id % 3 WHEN 0 THEN '.md' ELSE '.sql' END AS path, doc_id FROM documents WHERE doc_id % 3 < 2) WHERE doc_id % 7 <> 3")
+@query("c4_update_index", "SELECT path FROM (SELECT source || '/d' || CAST(doc_id AS VARCHAR) || CASE doc_id % 3 WHEN 0 THEN '.md' ELSE '.sql' END AS path, doc_id FROM documents) WHERE doc_id % 7 <> 3")
 def c4(s, d):
     files, embedder = source_files(s, d), vectors.HashedWords()
     number = F.regexp_extract("path", r"/d(\d+)", 1).cast("long")

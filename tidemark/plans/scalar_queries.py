@@ -107,9 +107,9 @@ def p8(s, d):
     return view(s, d, "queries_v").select("query_id", "project_id", "keyword").join(held, "project_id").filter(S.keyword_match("keyword", "title", "content", "f")).groupBy("query_id").agg(F.count(F.lit(1)).alias("hits"))
 
 
-@query("p9_query_terms", "SELECT doc_id, list_filter(list_transform(regexp_split_to_array(substring(text, 1, 300), '[\\s\\p{Z}]+'), lambda w: regexp_replace(w, '[^\\p{L}\\p{N}_]', '', 'g')), lambda w: w <> '') AS terms FROM documents")
+@query("p9_query_terms", "SELECT doc_id, list_filter(list_transform(regexp_split_to_array(text, '[\\s\\p{Z}]+'), lambda w: regexp_replace(w, '[^\\p{L}\\p{N}_]', '', 'g')), lambda w: w <> '') AS terms FROM documents")
 def p9(s, d):
-    return s.read.parquet(f"{d}/documents.parquet").select("doc_id", S.query_terms(F.substring("text", 1, 300)).alias("terms"))
+    return s.read.parquet(f"{d}/documents.parquet").select("doc_id", S.query_terms("text").alias("terms"))
 
 
 @query("p10_body_hash", with_views("chunks_v", f"SELECT id, {BODY_HASH_SQL} AS body_hash FROM chunks_v"))

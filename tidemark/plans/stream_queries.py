@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -16,8 +17,13 @@ from tidemark.streaming import jobs
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder where the cluster shares files, below spark.checkpoint.dir; a temporary one only if that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='tidemark-')}"
+    """A new folder where the cluster shares files, below spark.checkpoint.dir; a temporary one only if that is
+    unset on a local master."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir names no folder that the cluster shares")
+        base = f"file://{tempfile.mkdtemp(prefix='tidemark-')}"
     return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
 
 
