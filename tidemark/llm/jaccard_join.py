@@ -16,7 +16,7 @@ The join is exact. It works in size bands and tiles:
    smallest among them, ROUNDS times in all. Where several classes are left, the documents of different classes are
    held against each other in tiles of bounded size, first by the bitmaps alone (the largest class's documents only
    against the others); pairs that these let pass go the way of 3. That happens twice: first a tile gives only as many
-   pairs as would join its classes, then, where not all of those linked, all pairs of classes still apart.
+   pairs as would join its classes, then, in meetings where one of those didn't link, all pairs of classes still apart.
 5. Classes are the connected components of the links.
 
 No pair inside a class is lost to a cap: pairs are left out only if both ends are known to be in one class. That
@@ -208,11 +208,14 @@ def linked_classes(s: Scratch, docs: DataFrame, met: DataFrame, k: int, percent:
         if not met.limit(1).count():
             return classes
         pairs = met.filter("doc <> leader and class <> leader_class")
-    for few in (True, False):
-        if not few:
-            met = open_meetings(s, met, classes, False)
-        classes = with_links(s, classes, s.write(rest_pairs(met, maps, percent, few), "rest"), docs, k, percent)
-    return classes
+    some = s.write(rest_pairs(met, maps, percent, True), "rest")
+    classes = with_links(s, classes, s.write(some.select("doc", "leader").distinct(), "near"), docs, k, percent)
+    # Where a pair didn't link, a tile may have left out others that do.
+    of = lambda c: classes.select(F.col("node").alias(c), F.col("component").alias(f"{c}_class"))
+    apart = some.join(of("doc"), "doc", "left").join(of("leader"), "leader", "left").filter("not coalesce(doc_class, doc) = coalesce(leader_class, leader)")
+    met = open_meetings(s, met.join(apart.select("sig").distinct(), "sig", "left_semi"), classes, False)
+    rest = rest_pairs(met, maps, percent, False).select("doc", "leader").distinct()
+    return with_links(s, classes, s.write(rest, "near"), docs, k, percent)
 
 
 def with_links(s: Scratch, classes: DataFrame | None, near: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
@@ -276,7 +279,7 @@ def bounded(sizes: np.ndarray, maps: list[np.ndarray], size: int, own: np.ndarra
 
 
 def rest_pairs(met: DataFrame, maps: DataFrame, percent: int, few: bool) -> DataFrame:
-    """(doc, leader): pairs of documents that met, of different classes so far, whose bitmaps let them link. A meeting's
+    """(sig, doc, leader): pairs of documents that met, of different classes so far, whose bitmaps let them link. A meeting's
     largest class is held against the others only, not against itself. With `few`, classes that one pair of a tile would
     join count as one in the rest of the tile."""
     counts = met.groupBy("sig", "class").agg(F.count(F.lit(1)).alias("n"))
@@ -304,9 +307,10 @@ def rest_pairs(met: DataFrame, maps: DataFrame, percent: int, few: bool) -> Data
             a.append(doc[j])
             b.append(np.full(len(j), doc[i]))
         left, right = np.concatenate(a), np.concatenate(b)
-        return pa.table({"doc": pa.array(np.maximum(left, right)), "leader": pa.array(np.minimum(left, right))})
+        sig = np.full(len(left), rows.column("sig")[0].as_py())
+        return pa.table({"sig": pa.array(sig, pa.int64()), "doc": pa.array(np.maximum(left, right)), "leader": pa.array(np.minimum(left, right))})
 
-    return tiles.groupBy("sig", "x", "y").applyInArrow(check, "doc long, leader long").distinct()
+    return tiles.groupBy("sig", "x", "y").applyInArrow(check, "sig long, doc long, leader long")
 
 
 def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
