@@ -10,6 +10,8 @@ from collections import Counter
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 from tidemark.llm import jaccard_join, language_id, linear, media_columns, packing, pieces, pii, quality, shingles, substring_dedup, token_counts, topk_search
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -205,6 +207,15 @@ def test_a_chain_of_near_copies_is_one_class(spark):
     assert [r.component_id for r in got] == plain_classes(sets, 85)
 
 
+def test_repeated_and_null_ids_fold_or_go(spark):
+    text, other = prose(40), prose(40)
+    rows = [(5, text), (5, other), (5, text), (7, min(text, other)), (8, None), (8, text), (None, text), (None, text), (9, max(text, other))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"bit": F.lit(0), "size": F.lit("x"), "component_id": F.lit(None).cast("int")})
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.jaccard_classes(docs).collect()}
+    # id 5 is its least text, so 7's class; id 8 its null one.
+    assert got == {5: (37, 5), 7: (37, 5), 8: (0, 8), 9: (37, 9)}
+
+
 def test_signatures_meet_whenever_sets_link():
     rng = np.random.default_rng(1)
     for size in (1, 2, 6, 7, 20, 99, 400):

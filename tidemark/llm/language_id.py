@@ -14,12 +14,12 @@ from; a null id isn't held out. Equal texts have equal predictions. Other column
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,7 +37,7 @@ FAMILIES = {
     "turkic": ["tr", "az", "kk", "uz"],
     "indic": ["hi", "ur", "bn", "mr", "ne", "pa", "gu"],
 }
-LETTER = re.compile(r"[^\W\d_]")
+LETTER = regex.compile(r"\p{L}")
 
 
 def held_out(doc_id: Column) -> Column:
