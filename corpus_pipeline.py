@@ -59,7 +59,7 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("repeated", repeated), ("private", private), ("packed", packed)]
 
-#: No SQL expresses the classifier, the surrogates or the boundaries; tests hold the stages against plain versions.
+#: No SQL expresses the classifier, the surrogates or the boundaries; tests/llm/test_pipeline.py holds the stages against plain versions.
 ORACLE_SQL = None
 
 
