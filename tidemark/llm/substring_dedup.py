@@ -260,7 +260,8 @@ def unsettled(windows: DataFrame, held: DataFrame) -> DataFrame:
 def by_context(s: Scratch, met: DataFrame, open_: DataFrame) -> DataFrame:
     """(doc, source, window, source_window): open windows with the smallest window of each of their contexts, where that
     isn't one that they met before."""
-    there = met.join(open_.select("sig").distinct(), "sig", "left_semi").select("doc", "window", F.explode("keys").alias("key")).filter("key <> 0")
+    sigs = s.write(open_.select("sig").distinct(), "open-sigs")  # written, so that Spark may split the join's hot keys
+    there = met.join(sigs, "sig", "left_semi").select("doc", "window", F.explode("keys").alias("key")).filter("key <> 0")
     first = s.write(there.groupBy("key").agg(F.min(F.struct("doc", "window")).alias("s"), F.max("doc").alias("most")).filter("s.doc < most").select("key", "s"), "contexts")
     asked = open_.select("doc", "window", "source", "source_window", F.explode("keys").alias("key")).filter("key <> 0")
     hits = asked.join(first, "key").filter("s.doc < doc and (s.doc <> source or s.window <> source_window)")
