@@ -42,7 +42,7 @@ def tokenizer_path():
 
 def test_token_counts_are_the_librarys(spark, tokenizer_path):
     tokenizers = pytest.importorskip("tokenizers")
-    texts = [*EDGES, *(prose(30) for _ in range(20)), "it's 're  \t x\r\n", "a" * 900]
+    texts = [*EDGES, *(prose(30) for _ in range(20)), "it's 're  \t x\r\n", "a" * 900, "".join(RNG.choice("etaoinshrdluABC") for _ in range(5000))]
     path = tokenizer_path("byte_bpe_50k.json")
     got = token_counts.count_tokens(documents(spark, texts, True), path, limit=10).orderBy("doc_id").collect()
     want = [len(x.ids) for x in tokenizers.Tokenizer.from_file(path).encode_batch([t or "" for t in texts], add_special_tokens=False)]
@@ -54,7 +54,7 @@ def test_pieces_are_the_librarys_and_spans_cover_the_text(spark, tokenizer_path)
     sentencepiece = pytest.importorskip("sentencepiece")
     path = tokenizer_path("piece_bpe_32k.model")
     lib = sentencepiece.SentencePieceProcessor(model_file=path)
-    texts = [*EDGES, "▁a", " a", "  ", "<s> </s>", "<0x0A>", *("".join(RNG.choice(" ▁\nabthe日🙂é.,0") for _ in range(RNG.randint(1, 40))) for _ in range(60))]
+    texts = [*EDGES, "▁a", " a", "  ", "<s> </s>", "<0x0A>", *("".join(RNG.choice(" ▁\nabthe日🙂é.,0") for _ in range(RNG.randint(1, 40))) for _ in range(60)), "thecompanyofthenations日本" * 300]
     got = pieces.encode_pieces(documents(spark, texts, True), path).orderBy("doc_id").collect()
     model = pieces.PieceModel(path)
     for text, row in zip(texts, got, strict=True):
