@@ -69,6 +69,9 @@ def test_pieces_are_the_librarys_and_spans_cover_the_text(spark, tokenizer_path)
                 joined += raw[a:b]
             last = (a, b) if b - a > 1 else None
         assert joined == raw
+        # A piece's bytes are its own text, but for spaces and byte pieces.
+        for i, a, b in zip(row.ids[:-1], row.starts, row.ends, strict=False):
+            assert i in model.byte_of or raw[a:b].decode().replace("▁", " ") in (text_of := model.pieces[i].replace("▁", " "), text_of[1:])
 
 
 def char_map(rules):

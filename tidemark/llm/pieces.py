@@ -116,8 +116,9 @@ class PieceModel:
         pairs = [(known[p[:k]], known[p[k:]], order[score[p]], i) for p, i in normal.items() for k in range(1, len(p)) if p[:k] in known and p[k:] in known]
         left, right, rank, made = np.array(pairs, np.int64).reshape(-1, 4).T
         self.symbols = len(parts) + len(letters) + 1
+        self.width = np.array([len(p) for p in self.pieces] or [0], np.int64)
         self.merges = Merges(left, right, rank, made, self.symbols)
-        self.kept: dict[str, tuple[str, int, str]] = {}
+        self.kept: dict[str, tuple[str, int, str, bytes, bytes, bytes]] = {}
         joined = any(re.search(f"[^{SPACE}]{SPACE}", p) for p in normal)
         alone = "\n" if not any("\n" in p and len(p) > 1 for p in normal) else ""
         self.segments = re.compile("(?s).+" if joined else f"{alone + '|' if alone else ''}{SPACE}*[^{SPACE}{alone}]+|{SPACE}+")
@@ -177,30 +178,39 @@ class PieceModel:
         flat = "".join(segments)
         codes = np.fromiter((get(c, outside) for c in flat), np.int32, len(flat))
         merged, counts = self.merges.merge(codes, np.fromiter(map(len, segments), np.int64, len(segments)))
-        ids, at = merged.tolist(), 0
         limit = len(self.pieces)
-        for text, n in zip(segments, counts.tolist(), strict=True):
-            own = ids[at : at + n]
-            at += n
-            if max(own) >= limit:
-                own = self.fall_back(own, text)
-            self.kept[text] = (" ".join(map(str, own)) + " ", len(own), self.surface(own))
-
-    def fall_back(self, own: list[int], text: str) -> list[int]:
-        """Byte pieces, or the unknown id, for symbols outside the vocabulary."""
+        width = np.where(merged < limit, self.width[np.minimum(merged, limit - 1)], 1)
+        last = np.cumsum(counts)
+        odd = np.logical_or.reduceat(merged >= limit, last - counts) if len(segments) else []
+        ends = np.cumsum(width)
+        starts = ends - width
+        ids = merged.tolist()
+        for text, n, stop, outside in zip(segments, counts.tolist(), last.tolist(), odd, strict=True):
+            at = stop - n
+            own, base = ids[at:stop], starts[at]
+            places = np.array([merged[at:stop], starts[at:stop] - base, ends[at:stop] - base], np.int32)
+            if outside:
+                places = self.fall_back(own, text)
+                own = places[0].tolist()
+            self.kept[text] = (" ".join(map(str, own)) + " ", len(own), self.surface(own), *(x.tobytes() for x in places))
+
+    def fall_back(self, own: list[int], text: str) -> np.ndarray:
+        """Byte pieces, or the unknown id, for symbols outside the vocabulary: ids, and where each starts and ends among
+        the segment's characters."""
         out, at = [], 0
         for i in own:
             if i < len(self.pieces):
-                out.append(i)
-                at += len(self.pieces[i])
+                out.append([i, at, at + len(self.pieces[i])])
+                at = out[-1][2]
                 continue
-            raw = text[at].encode()
-            at += 1
             if self.bytes:
-                out += [self.bytes[b] for b in raw]
-            elif not out or out[-1] != self.unknown:
-                out.append(self.unknown)
-        return out
+                out += [[self.bytes[b], at, at + 1] for b in text[at].encode()]
+            elif out and out[-1][0] == self.unknown:
+                out[-1][2] += 1
+            else:
+                out.append([self.unknown, at, at + 1])
+            at += 1
+        return np.array(out, np.int32).T
 
     def parts(self, texts: list[bytes]) -> list[tuple[list[str], list[int] | None, bytes]]:
         """Each text's segments, all of them learnt, its alignment and its bytes."""
@@ -215,24 +225,19 @@ class PieceModel:
             self.learn(list(new))
         return out
 
-    def spans(self, ids: list[int], segments: list[str], starts: list[int] | None, raw: bytes) -> list[tuple[int, int]]:
-        """The original bytes [start, end) of each id. Byte pieces of one character share that character's bytes; the
-        space put before a text has none."""
-        text = "".join(segments)
+    def spans(self, segments: list[str], starts: list[int] | None, raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids, and the original bytes [start, end) of each. Byte pieces of one character share that character's bytes;
+        the space put before a text has none."""
         if starts is None:
-            width = np.fromiter((len(c.encode()) for c in raw.decode()), np.int64)
-            starts = [*[0] * self.dummy_prefix, 0, *np.cumsum(width).tolist()] if len(raw) else [0]
-        out, at, k = [], 0, 0
-        while k < len(ids):
-            if ids[k] in self.byte_of:
-                n = len(text[at].encode())
-                out += [(starts[at], starts[at + 1])] * n
-                k, at = k + n, at + 1
-                continue
-            n = len(self.pieces[ids[k]]) if ids[k] != self.unknown else 1
-            out.append((starts[at], starts[at + n]))
-            k, at = k + 1, at + n
-        return out
+            heads = np.flatnonzero(np.frombuffer(raw, np.uint8) & 0xC0 != 0x80)
+            place = np.concatenate([[0] * self.dummy_prefix, heads, [len(raw)]]).astype(np.int32)
+        else:
+            place = np.array(starts, np.int32)
+        found = [self.kept[x] for x in segments]
+        ids, first, last = (np.frombuffer(b"".join([x[k] for x in found]), np.int32) for k in (3, 4, 5))
+        size = np.fromiter(map(len, segments), np.int64, len(segments))
+        base = np.repeat(np.cumsum(size) - size, np.fromiter((x[1] for x in found), np.int64, len(found)))
+        return ids, place[first + base], place[last + base]
 
 
 def utf8(raw: bytes) -> str:
@@ -266,20 +271,22 @@ def encode_pieces(docs: DataFrame, path: str, id_column: str = "doc_id", text_co
             raw = data.tobytes()
             texts = [raw[a:b] for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
             out: list[tuple] = []
+            lists: list[list[np.ndarray]] = [[], [], []]
             for segments, starts, text in model.parts(texts):
                 found = [model.kept[s] for s in segments]
                 said = "".join([x[2] for x in found])
                 if model.dummy_prefix and said.startswith(" "):
                     said = said[1:]
                 listed = "".join([x[0] for x in found]) + (str(model.end) if end else "")
-                row = (sum([x[1] for x in found]) + end, listed.rstrip(" "), said)
+                out.append((sum([x[1] for x in found]) + end, listed.rstrip(" "), said))
                 if arrays:
-                    ids = [int(x) for x in listed.split()]
-                    spans = model.spans(ids[:-1] if end else ids, segments, starts, text) + [(len(text), len(text))] * end
-                    row += (ids, [a for a, _ in spans], [b for _, b in spans])
-                out.append(row)
-            kinds = [pa.int64(), pa.string(), pa.string(), *[pa.list_(pa.int32())] * 3]
-            yield pa.RecordBatch.from_arrays([rows.column("id"), *(pa.array(x, t) for x, t in zip(zip(*out, strict=True), kinds, strict=False))], names=names)
+                    for into, part, last in zip(lists, model.spans(segments, starts, text), (model.end, len(text), len(text)), strict=True):
+                        into += [part, np.array([last] * end, np.int32)]
+            made = [pa.array(x, t) for x, t in zip(zip(*out, strict=True), [pa.int64(), pa.string(), pa.string()], strict=True)]
+            if arrays:
+                ends = pa.array(np.cumsum([0, *(n for n, _, _ in out)]), pa.int32())
+                made += [pa.ListArray.from_arrays(ends, pa.array(np.concatenate(x), pa.int32())) for x in lists]
+            yield pa.RecordBatch.from_arrays([rows.column("id"), *made], names=names)
 
     chosen = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))
     kind = chosen.schema["id"].dataType.simpleString()
@@ -291,5 +298,6 @@ def encode_pieces(docs: DataFrame, path: str, id_column: str = "doc_id", text_co
 def op4_piece_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    coded = encode_pieces(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), arrays=False)
-    return coded.select("doc_id", "n_tokens", F.sha2("ids_text", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    coded = encode_pieces(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+    digests = [F.sha2("ids_text", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")]
+    return coded.select("doc_id", "n_tokens", *digests, F.xxhash64("starts", "ends").alias("spans_xxhash64"))
