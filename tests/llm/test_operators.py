@@ -122,6 +122,14 @@ def test_media_round_trip_and_cases(spark):
         assert (kind, rate, data) == (media_columns.MULAW, 8000, padded)
         assert (row.n_bytes, row.payload_bytes, row.tail_crc32) == (len(raw), len(padded), zlib.crc32(padded[-64:]))
         assert row.payload_sha256 == hashlib.sha256(padded).hexdigest() and row.media_sha256 == hashlib.sha256(bytes(row.media)).hexdigest() and row.media_bytes == len(row.media)
+        # The same payload lies in the A-law file and in the ADPCM blocks, and each stored PCM is what its file decodes to.
+        assert media_columns.read_wav(bytes(row.alaw))[3] == padded
+        kind, _, block, data = media_columns.read_wav(bytes(row.adpcm))
+        assert kind == media_columns.IMA_ADPCM and b"".join(data[n + 4 : n + block] for n in range(0, len(data), block)) == padded
+        for file, pcm, digest in ((row.media, row.pcm, row.pcm_sha256), (row.alaw, row.alaw_pcm, row.alaw_pcm_sha256), (row.adpcm, row.adpcm_pcm, row.adpcm_pcm_sha256)):
+            samples, _ = media_columns.expand(bytes(file))
+            assert media_columns.read_wav(bytes(pcm))[:2] == (media_columns.PCM, 16000) and hashlib.sha256(bytes(pcm)).hexdigest() == digest
+            assert media_columns.expand(bytes(pcm))[0].tolist() == media_columns.resample(samples, 8000, 16000, 100).tolist()
 
 
 def test_companding_tables_and_adpcm():

@@ -4,6 +4,10 @@ Mu-law and A-law samples expand by lookup tables, IMA ADPCM blocks decode with n
 block at a time), and results are stored as 16-bit PCM, resampled where asked. Samples live in WAV containers: format
 7 is mu-law, 6 A-law, 17 IMA ADPCM, 1 PCM.
 
+A payload is stored in each of the three telephony forms, losslessly: as mu-law samples (the stored form that the query
+reports on), as A-law samples, and as the nibbles of IMA ADPCM blocks of one unit after a header of zeros. Each stored file is
+read back, decoded (the blocks of all files of a slice together) and stored as 16-bit PCM at 16 kHz.
+
 Cases: a null container gives null; a container of no samples gives empty PCM; one that isn't a WAV of these formats
 raises ValueError, so that a corrupt column is noticed. Other columns of the input pass through unchanged.
 """
@@ -26,6 +30,8 @@ from tidemark.llm.common import table, text_slices
 PCM, ALAW, MULAW, IMA_ADPCM = 1, 6, 7, 17
 #: Telephony's sample rate, and the unit to which a payload is padded.
 RATE, UNIT = 8000, 64
+#: Bytes of a mono ADPCM block before its nibbles.
+HEADER = 4
 
 
 def mulaw_table() -> np.ndarray:
@@ -98,15 +104,18 @@ def ima_encode(samples: np.ndarray, block: int) -> bytes:
     return raw.tobytes()
 
 
-def resample(samples: np.ndarray, rate: int, to: int) -> np.ndarray:
-    """Linear interpolation at the new rate's instants; whole numbers, so that every machine gives the same."""
+def resample(samples: np.ndarray, rate: int, to: int, most: int = 1 << 20) -> np.ndarray:
+    """Linear interpolation at the new rate's instants; whole numbers, so that every machine gives the same. Some `most`
+    instants are computed at a time, so that a long file needs little memory besides its result."""
     if rate == to or not len(samples):
         return samples.astype(np.int16)
-    at = np.arange(len(samples) * to // rate, dtype=np.int64) * rate
-    left, part = at // to, at % to
-    x = samples.astype(np.int64)
-    right = x[np.minimum(left + 1, len(x) - 1)]
-    return ((x[left] * (to - part) + right * part) // to).astype(np.int16)
+    out = np.empty(len(samples) * to // rate, np.int16)
+    for begin in range(0, len(out), most):
+        at = np.arange(begin, min(begin + most, len(out)), dtype=np.int64) * rate
+        left, part = at // to, at % to
+        x, y = samples[left].astype(np.int64), samples[np.minimum(left + 1, len(samples) - 1)].astype(np.int64)
+        out[begin : begin + most] = (x * (to - part) + y * part) // to
+    return out
 
 
 def wav(kind: int, data: bytes, rate: int = RATE, block: int = 1, bits: int = 8) -> bytes:
@@ -145,52 +154,77 @@ def expand(stored: bytes) -> tuple[np.ndarray, int]:
     return (MULAW_TABLE if kind == MULAW else ALAW_TABLE)[np.frombuffer(data, np.uint8)], rate
 
 
-def to_pcm(df: DataFrame, column: str, out: str = "pcm", rate: int = 16000) -> DataFrame:
+def stored_pcm(samples: np.ndarray, rate: int, to: int = 2 * RATE) -> bytes:
+    """Samples, resampled, as a WAV file of 16-bit PCM."""
+    return wav(PCM, resample(samples, rate, to).astype("<i2").tobytes(), to, 2, 16)
+
+
+def to_pcm(df: DataFrame, column: str, out: str = "pcm", rate: int = 2 * RATE) -> DataFrame:
     """Adds the column `out`: each stored file as 16-bit PCM in a WAV file at `rate`. Null stays null."""
 
     @F.pandas_udf("binary")
     def convert(stored: pd.Series) -> pd.Series:
-        def one(x):
-            samples, at = expand(bytes(x))
-            return wav(PCM, resample(samples, at, rate).astype("<i2").tobytes(), rate, 2, 16)
-
-        return stored.map(one, na_action="ignore").astype(object)
+        return stored.map(lambda x: stored_pcm(*expand(bytes(x)), rate), na_action="ignore").astype(object)
 
     return df.withColumn(out, convert(F.col(column)))
 
 
-def features(stored: bytes) -> str:
+def features(samples: np.ndarray, rate: int, pcm: bytes) -> str:
     """Duration, level, peak, sign changes and a checksum of the PCM at 16 kHz, in whole numbers."""
-    samples, rate = expand(stored)
-    wide = resample(samples, rate, 2 * rate)
     x = samples.astype(np.int64)
     energy = int((x * x).sum()) // max(1, len(x))
     turns = int(np.count_nonzero(np.diff(x < 0)))
-    return f"rate={rate};samples={len(x)};energy={energy};peak={int(np.abs(x).max(initial=0))};mean={int(x.sum()) // max(1, len(x))};turns={turns};pcm16k={zlib.crc32(wide.astype('<i2').tobytes())}"
+    return f"rate={rate};samples={len(x)};energy={energy};peak={int(np.abs(x).max(initial=0))};mean={int(x.sum()) // max(1, len(x))};turns={turns};pcm16k={zlib.crc32(read_wav(pcm)[3])}"
+
+
+def adpcm_file(payload: bytes) -> bytes:
+    """A payload of whole units as the nibbles of ADPCM blocks, whose headers are zeros."""
+    units = np.frombuffer(payload, np.uint8).reshape(-1, UNIT)
+    return wav(IMA_ADPCM, np.pad(units, ((0, 0), (HEADER, 0))).tobytes(), RATE, UNIT + HEADER, 4)
+
+
+def decoded_blocks(files: list[bytes]) -> list[np.ndarray]:
+    """The samples of each adpcm_file, the blocks of all of them decoded together."""
+    data = [read_wav(x)[3] for x in files]
+    per = 2 * UNIT + 1
+    ends = np.cumsum([len(x) // (UNIT + HEADER) * per for x in data])
+    return np.split(ima_decode(b"".join(data), UNIT + HEADER), ends[:-1])
+
+
+#: The columns of telephony_payloads after the id, and those that keep_media adds.
+DIGESTS = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, pcm_bytes long, pcm_sha256 string, alaw_sha256 string, alaw_pcm_sha256 string, adpcm_sha256 string, adpcm_pcm_sha256 string"
+FILES = "media binary, pcm binary, alaw binary, alaw_pcm binary, adpcm binary, adpcm_pcm binary"
 
 
 def telephony_payloads(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", keep_media: bool = False) -> DataFrame:
-    """Stores every text's bytes, padded with zeros to a positive multiple of UNIT, as the 8-bit samples of a mu-law
-    WAV file, reads them back from it and computes features of the expanded audio. With `keep_media` the stored file
-    comes along as `media`. A null or empty text is one unit of zeros; a null id stays null; repeated rows give
-    repeated rows."""
+    """Stores every text's bytes, padded with zeros to a positive multiple of UNIT, as mu-law, A-law and ADPCM files,
+    reads them back, decodes each to stored PCM and computes features of the mu-law audio. With `keep_media` the stored
+    files come along. A null or empty text is one unit of zeros; a null id stays null; repeated rows give repeated rows."""
+
+    def digest(x: bytes) -> str:
+        return hashlib.sha256(x).hexdigest()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, data, offsets in text_slices(batches, "text"):
+        for rows, data, offsets in text_slices(batches, "text", 1 << 18):
+            texts = [data[a:b].tobytes() for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+            padded = [t.ljust(max(1, -(-len(t) // UNIT)) * UNIT, b"\0") for t in texts]
+            blocks = [adpcm_file(p) for p in padded]
             out: list[tuple] = []
-            for k in range(len(offsets) - 1):
-                text = data[offsets[k] : offsets[k + 1]].tobytes()
-                stored = wav(MULAW, text.ljust(max(1, -(-len(text) // UNIT)) * UNIT, b"\0"))
-                payload = read_wav(stored)[3]
-                out.append((len(text), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-UNIT:]), len(stored), hashlib.sha256(stored).hexdigest(), features(stored), *([stored] * keep_media)))
-            columns = [pa.array(x, t) for x, t in zip(zip(*out, strict=True), [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary()], strict=False)]
-            yield pa.RecordBatch.from_arrays([rows.column("id"), *columns], names=["id", *names])
-
-    names = ["n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", *["media"] * keep_media]
+            for text, payload, adpcm, decoded in zip(texts, padded, blocks, decoded_blocks(blocks), strict=True):
+                media, alaw = wav(MULAW, payload), wav(ALAW, payload)
+                back, (samples, rate) = read_wav(media)[3], expand(media)
+                pcm, alaw_pcm, adpcm_pcm = stored_pcm(samples, rate), stored_pcm(*expand(alaw)), stored_pcm(decoded, RATE)
+                row = (len(text), len(back), digest(back), zlib.crc32(back[-UNIT:]), len(media), digest(media), features(samples, rate, pcm), len(pcm), digest(pcm), digest(alaw), digest(alaw_pcm), digest(adpcm), digest(adpcm_pcm))
+                out.append(row + (media, pcm, alaw, alaw_pcm, adpcm, adpcm_pcm) * keep_media)
+            columns = [pa.array(x, kinds[t]) for x, (_, t) in zip(zip(*out, strict=True), named, strict=True)]
+            yield pa.RecordBatch.from_arrays([rows.column("id"), *columns], names=["id", *(n for n, _ in named)])
+
+    kinds = {"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}
+    columns = DIGESTS + (", " + FILES) * keep_media
+    named = [x.split() for x in columns.split(", ")]
     chosen = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))
     kind = chosen.schema["id"].dataType.simpleString()
-    schema = f"id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string" + ", media binary" * keep_media
-    return chosen.mapInArrow(work, schema).withColumnRenamed("id", id_column)
+    return chosen.mapInArrow(work, f"id {kind}, {columns}").withColumnRenamed("id", id_column)
 
 
 def op9_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
