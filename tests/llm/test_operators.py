@@ -304,7 +304,7 @@ def test_word_hashes_split_like_the_pattern():
 # Top-k, packing
 
 
-def test_top_k_equals_brute_force(spark):
+def test_top_k_equals_brute_force(spark, monkeypatch):
     rng = np.random.default_rng(4)
     rows = [(int(i), [float(x) for x in rng.integers(-3, 4, 6) / 8]) for i in range(150)]
     rows += [(1000, None), (1001, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (1002, [float("nan")] * 6), (1003, [float("inf")] * 6), (None, [1.0] * 6), rows[3], (1004, [])]
@@ -316,6 +316,13 @@ def test_top_k_equals_brute_force(spark):
     for q in range(0, 150, 10):
         want = sorted(((i, int(vectors[q] @ v)) for i, v in vectors.items() if i != q), key=lambda x: (-x[1], x[0]))[:7]
         assert got[q] == want
+    # Small blocks: cells whose bound doesn't reach a query's cutoff don't see it.
+    monkeypatch.setattr(topk_search, "ROWS", 8)
+    monkeypatch.setattr(topk_search, "QUERIES", 4)
+    again = {}
+    for r in topk_search.exact_top_k(df, lambda i: i % 10 == 0, 7).orderBy("query_id", "rank").collect():
+        again.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    assert again == got
     few = spark.createDataFrame(rows[:3], "vec_id long, embedding array<float>")
     assert topk_search.exact_top_k(few, lambda i: i == 0, 7).count() == 2
 

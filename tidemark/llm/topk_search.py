@@ -4,16 +4,18 @@ A vector's dimensions are cut into slices; for a query, a slice gives every cand
 list, and a candidate's score is the sum over the lists. Candidates and queries are dealt into blocks by hash, and a
 cell is a block of each.
 
-1. Every cell gathers, from the heads of its local lists, the exact totals of the best entries. The k-th best total
-   of a query over all cells is a safe cutoff: k candidates reach it.
-2. The cutoff goes to all cells. With each list shifted by its least score in the cell, an entry whose total reaches
+1. Every cell gathers, from the heads of its local lists, the exact totals of the best entries, and the sum of its
+   lists' highest scores, which bounds every total in the cell. The k-th best total of a query over all cells is a safe
+   cutoff: k candidates reach it.
+2. The cutoff goes with the query to the cells whose bound reaches it; the others hold nothing of use and see neither
+   the query nor a product with it. With each list shifted by its least score in the cell, an entry whose total reaches
    the cutoff has some list in which it reaches an equal share of the shifted cutoff, so the entries at or above that
    share suffice; all others are left unresolved.
 3. For these the remaining partial scores are resolved exactly, and those at or above the cutoff are ranked.
 
-Data move once a phase: each candidate block to every query block and the reverse, so the work is that of the stated
-queries against all rows; only entries of a cell's top k and those that reach the cutoff leave it. Nothing is
-broadcast.
+Data move once a phase: in the first each candidate block to every query block and the reverse, since the work is that
+of the stated queries against all rows, in the second only blocks with a query left, and queries to their cells; only
+entries of a cell's top k and those that reach the cutoff leave it. Nothing is broadcast by request.
 
 Cases: a vector that is null, empty or has null or non-finite components takes no part, neither as query nor as
 candidate; nor does a null id. Rows of one id fold into the least vector. Vectors of several lengths only meet those
@@ -25,7 +27,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -64,36 +66,46 @@ def slices_of(q: np.ndarray, x: np.ndarray) -> list[tuple[np.ndarray, np.ndarray
     return [(q[:, c], x[:, c].T) for c in cuts]
 
 
-def cells(vectors: DataFrame, queries: DataFrame, n_vectors: int, n_queries: int) -> tuple:
-    """Both sides dealt into cells, grouped by cell and vector length."""
-    nx, nq = -(-n_vectors // ROWS) or 1, -(-n_queries // QUERIES) or 1
-    block = lambda n: F.pmod(F.xxhash64("id"), F.lit(n))
+def block(n: int) -> Column:
+    """A row's block of n, by its id."""
+    return F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
+
+
+def dealt(vectors: DataFrame, queries: DataFrame, nx: int, nq: int) -> tuple:
+    """Both sides of phase 1 in cells: (xb, qb, dims, id, v) and (q_xb, q_qb, q_dims, query_id, q)."""
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    x = vectors.withColumns({"xb": block(nx).cast("int"), "dims": F.size("v")}).withColumn("qb", every(nq))
-    q = queries.withColumns({"q_qb": block(nq).cast("int"), "q_dims": F.size("v")}).withColumn("q_xb", every(nx)).withColumnsRenamed({"id": "query_id", "v": "q"})
-    return x.groupBy("xb", "qb", "dims"), q.groupBy("q_xb", "q_qb", "q_dims")
+    x = vectors.withColumns({"xb": block(nx), "dims": F.size("v")}).withColumn("qb", every(nq))
+    q = queries.withColumns({"q_qb": block(nq), "q_dims": F.size("v")}).withColumn("q_xb", every(nx)).withColumnsRenamed({"id": "query_id", "v": "q"})
+    return x, q
+
+
+def in_cells(x: DataFrame, q: DataFrame, work, schema: str) -> DataFrame:
+    return x.groupBy("xb", "qb", "dims").cogroup(q.groupBy("q_xb", "q_qb", "q_dims")).applyInArrow(work, schema)
 
 
 def top_totals(k: int):
-    """Phase 1 in a cell: of each query, the k best totals among the heads of its local lists."""
+    """Phase 1 in a cell: of each query, the k best totals among the heads of its local lists, each with the cell's block
+    of candidates and the bound of its totals."""
 
     def gather(xs: pa.Table, qs: pa.Table) -> pa.Table:
-        ids, totals = [], []
+        ids, totals, bounds = [], [], []
         if xs.num_rows and qs.num_rows:
             own, query = xs.column("id").to_numpy(), qs.column("query_id").to_numpy()
             parts = slices_of(matrix(qs.column("q")), matrix(xs.column("v")))
             place = {int(i): n for n, i in enumerate(own)}
             for at in range(0, len(query), AT_ONCE):
                 lists = [q[at : at + AT_ONCE] @ x for q, x in parts]
-                total = sum(lists)
+                bound = sum(s.max(1) for s in lists).astype(np.int64).tolist()
                 take = min(k + 1, len(own))
                 heads = np.concatenate([np.argpartition(-s, take - 1, axis=1)[:, :take] for s in lists], axis=1)
                 for n, i in enumerate(query[at : at + AT_ONCE].tolist()):
-                    mine = np.setdiff1d(heads[n], [place[i]] if i in place else [])
-                    best = np.sort(total[n, mine])[::-1][:k]
+                    mine = np.setdiff1d(heads[n], [place[i]] if i in place else []).astype(np.int64)
+                    best = np.sort(sum(s[n, mine] for s in lists))[::-1][:k]
                     ids += [i] * len(best)
+                    bounds += [bound[n]] * len(best)
                     totals += best.astype(np.int64).tolist()
-        return pa.table({"query_id": pa.array(ids, pa.int64()), "total": pa.array(totals, pa.int64())})
+        xb = xs.column("xb")[0].as_py() if ids else 0
+        return pa.table({"query_id": pa.array(ids, pa.int64()), "xb": pa.array([xb] * len(ids), pa.int32()), "bound": pa.array(bounds, pa.int64()), "total": pa.array(totals, pa.int64())})
 
     return gather
 
@@ -133,17 +145,20 @@ def exact_top_k(df: DataFrame, is_query, k: int = 20, scale: float = 64.0, id_co
     of all other rows."""
     vectors = written(integer_vectors(df, id_column, vector_column, scale), "topk-vectors")
     queries = vectors.filter(is_query(F.col("id")))
-    n, m = vectors.count(), queries.count()
-    x, q = cells(vectors, queries, n, m)
-    gathered = x.cogroup(q).applyInArrow(top_totals(k), "query_id long, total long")
+    nx, nq = -(-vectors.count() // ROWS) or 1, -(-queries.count() // QUERIES) or 1
+    x, q = dealt(vectors, queries, nx, nq)
+    gathered = written(in_cells(x, q, top_totals(k), "query_id long, xb int, bound long, total long"), "topk-heads")
     best = W.partitionBy("query_id").orderBy(F.desc("total"))
     kth = gathered.withColumn("r", F.row_number().over(best)).filter(F.col("r") <= k).groupBy("query_id").agg(F.min("total").alias("low"), F.count(F.lit(1)).alias("n"))
     # With fewer than k candidates known, nothing is safe to leave out.
-    cutoffs = kth.select(F.col("query_id").alias("id"), F.when(F.col("n") == k, F.col("low")).alias("cutoff"))
-    lowest = F.lit(-(2**62))
-    cut = written(queries.join(cutoffs, "id", "left").withColumn("cutoff", F.coalesce("cutoff", lowest)), "topk-cutoffs")
-    x, q = cells(vectors, cut, n, m)
-    found = x.cogroup(q).applyInArrow(sufficient(k), "query_id long, vec_id long, score long")
+    cutoffs = kth.select("query_id", F.when(F.col("n") == k, F.col("low")).otherwise(-(2**62)).alias("cutoff"))
+    bounds = gathered.groupBy("query_id", F.col("xb").alias("q_xb")).agg(F.max("bound").alias("bound"))
+    alive = bounds.join(cutoffs, "query_id").filter(F.col("bound") >= F.col("cutoff")).select("query_id", "q_xb", "cutoff")
+    own = queries.select(F.col("id").alias("query_id"), block(nq).alias("q_qb"), F.size("v").alias("q_dims"), F.col("v").alias("q"))
+    q = written(own.join(alive, "query_id"), "topk-cutoffs")
+    meet = q.select(F.col("q_xb").alias("xb"), F.col("q_qb").alias("qb"), F.col("q_dims").alias("dims")).distinct()
+    x = vectors.withColumns({"xb": block(nx), "dims": F.size("v")}).join(meet, ["xb", "dims"])
+    found = in_cells(x, q, sufficient(k), "query_id long, vec_id long, score long")
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), F.asc("vec_id")))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
