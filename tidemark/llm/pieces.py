@@ -116,6 +116,10 @@ class PieceModel:
         pairs = [(known[p[:k]], known[p[k:]], order[score[p]], i) for p, i in normal.items() for k in range(1, len(p)) if p[:k] in known and p[k:] in known]
         left, right, rank, made = np.array(pairs, np.int64).reshape(-1, 4).T
         self.symbols = len(parts) + len(letters) + 1
+        self.named = [str(i) for i in range(len(parts))]
+        self.code = np.full(0x110000, self.symbols - 1, np.int32)  # the symbol of every character
+        for c, i in self.letter.items():
+            self.code[ord(c)] = i
         self.width = np.array([len(p) for p in self.pieces] or [0], np.int64)
         self.merges = Merges(left, right, rank, made, self.symbols)
         self.kept: dict[str, tuple[str, int, str, bytes, bytes, bytes]] = {}
@@ -173,26 +177,26 @@ class PieceModel:
 
     def learn(self, segments: list[str]) -> None:
         """Encodes segments not seen before, all at once."""
-        outside = self.symbols - 1
-        get = self.letter.get
-        flat = "".join(segments)
-        codes = np.fromiter((get(c, outside) for c in flat), np.int32, len(flat))
+        codes = self.code[np.frombuffer("".join(segments).encode("utf-32-le"), np.uint32)]
         merged, counts = self.merges.merge(codes, np.fromiter(map(len, segments), np.int64, len(segments)))
         limit = len(self.pieces)
         width = np.where(merged < limit, self.width[np.minimum(merged, limit - 1)], 1)
         last = np.cumsum(counts)
-        odd = np.logical_or.reduceat(merged >= limit, last - counts) if len(segments) else []
+        odd = np.logical_or.reduceat(merged >= limit, last - counts).tolist()
         ends = np.cumsum(width)
         starts = ends - width
-        ids = merged.tolist()
-        for text, n, stop, outside in zip(segments, counts.tolist(), last.tolist(), odd, strict=True):
-            at = stop - n
-            own, base = ids[at:stop], starts[at]
-            places = np.array([merged[at:stop], starts[at:stop] - base, ends[at:stop] - base], np.int32)
+        base = np.repeat(starts[last - counts], counts)
+        places = [x.astype(np.int32).tobytes() for x in (merged, starts - base, ends - base)]
+        ids, named = merged.tolist(), self.named.__getitem__
+        at = 0
+        for text, stop, outside in zip(segments, last.tolist(), odd, strict=True):
+            own, spans = ids[at:stop], [x[4 * at : 4 * stop] for x in places]
+            at = stop
             if outside:
-                places = self.fall_back(own, text)
-                own = places[0].tolist()
-            self.kept[text] = (" ".join(map(str, own)) + " ", len(own), self.surface(own), *(x.tobytes() for x in places))
+                changed = self.fall_back(own, text)
+                own, spans = changed[0].tolist(), [x.tobytes() for x in changed]
+            said = self.surface(own) if outside else text.replace(SPACE, " ")
+            self.kept[text] = (" ".join(map(named, own)) + " ", len(own), said, *spans)
 
     def fall_back(self, own: list[int], text: str) -> np.ndarray:
         """Byte pieces, or the unknown id, for symbols outside the vocabulary: ids, and where each starts and ends among
