@@ -183,10 +183,7 @@ class PieceModel:
         width = np.where(merged < limit, self.width[np.minimum(merged, limit - 1)], 1)
         last = np.cumsum(counts)
         odd = np.logical_or.reduceat(merged >= limit, last - counts).tolist()
-        ends = np.cumsum(width)
-        starts = ends - width
-        base = np.repeat(starts[last - counts], counts)
-        places = [x.astype(np.int32).tobytes() for x in (merged, starts - base, ends - base)]
+        places = [x.astype(np.int32).tobytes() for x in (merged, width, np.zeros_like(width))]
         ids, named = merged.tolist(), self.named.__getitem__
         at = 0
         for text, stop, outside in zip(segments, last.tolist(), odd, strict=True):
@@ -199,20 +196,21 @@ class PieceModel:
             self.kept[text] = (" ".join(map(named, own)) + " ", len(own), said, *spans)
 
     def fall_back(self, own: list[int], text: str) -> np.ndarray:
-        """Byte pieces, or the unknown id, for symbols outside the vocabulary: ids, and where each starts and ends among
-        the segment's characters."""
+        """Byte pieces, or the unknown id, for symbols outside the vocabulary: ids, the segment's characters that each
+        leaves behind, and those beyond that it stands for (a character is left behind by its last byte)."""
         out, at = [], 0
         for i in own:
             if i < len(self.pieces):
-                out.append([i, at, at + len(self.pieces[i])])
-                at = out[-1][2]
+                out.append([i, len(self.pieces[i]), 0])
+                at += len(self.pieces[i])
                 continue
             if self.bytes:
-                out += [[self.bytes[b], at, at + 1] for b in text[at].encode()]
+                out += [[self.bytes[b], 0, 1] for b in text[at].encode()]
+                out[-1][1:] = [1, 0]
             elif out and out[-1][0] == self.unknown:
-                out[-1][2] += 1
+                out[-1][1] += 1
             else:
-                out.append([self.unknown, at, at + 1])
+                out.append([self.unknown, 1, 0])
             at += 1
         return np.array(out, np.int32).T
 
@@ -229,19 +227,17 @@ class PieceModel:
             self.learn(list(new))
         return out
 
-    def spans(self, segments: list[str], starts: list[int] | None, raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Ids, and the original bytes [start, end) of each. Byte pieces of one character share that character's bytes;
+    def spans(self, found: list[tuple], starts: list[int] | None, raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of learnt segments, and the original bytes [start, end) of each. Byte pieces of one character share that character's bytes;
         the space put before a text has none."""
         if starts is None:
             heads = np.flatnonzero(np.frombuffer(raw, np.uint8) & 0xC0 != 0x80)
             place = np.concatenate([[0] * self.dummy_prefix, heads, [len(raw)]]).astype(np.int32)
         else:
             place = np.array(starts, np.int32)
-        found = [self.kept[x] for x in segments]
-        ids, first, last = (np.frombuffer(b"".join([x[k] for x in found]), np.int32) for k in (3, 4, 5))
-        size = np.fromiter(map(len, segments), np.int64, len(segments))
-        base = np.repeat(np.cumsum(size) - size, np.fromiter((x[1] for x in found), np.int64, len(found)))
-        return ids, place[first + base], place[last + base]
+        ids, width, beyond = (np.frombuffer(b"".join([x[k] for x in found]), np.int32) for k in (3, 4, 5))
+        last = np.cumsum(width)
+        return ids, place[last - width], place[last + beyond]
 
 
 def utf8(raw: bytes) -> str:
@@ -284,7 +280,7 @@ def encode_pieces(docs: DataFrame, path: str, id_column: str = "doc_id", text_co
                 listed = "".join([x[0] for x in found]) + (str(model.end) if end else "")
                 out.append((sum([x[1] for x in found]) + end, listed.rstrip(" "), said))
                 if arrays:
-                    for into, part, last in zip(lists, model.spans(segments, starts, text), (model.end, len(text), len(text)), strict=True):
+                    for into, part, last in zip(lists, model.spans(found, starts, text), (model.end, len(text), len(text)), strict=True):
                         into += [part, np.array([last] * end, np.int32)]
             made = [pa.array(x, t) for x, t in zip(zip(*out, strict=True), [pa.int64(), pa.string(), pa.string()], strict=True)]
             if arrays:
