@@ -61,14 +61,23 @@ def test_collisions_are_counted_exactly():
     rng = np.random.default_rng(2)
     for values in (2, 3, 6, 40):
         items = rng.integers(0, values, (60, minhash_join.K))
-        sizes, kind, side = np.sort(rng.integers(80, 110, 60)), rng.integers(0, 50, 60), rng.integers(0, 2, 60)
+        sizes, kind, home, side = np.sort(rng.integers(80, 110, 60)), rng.integers(0, 50, 60), rng.integers(0, 9, 60), rng.integers(0, 2, 60)
         least = minhash_join.threshold(80)
         for within in (True, False):
-            want = {(i, j) for i in range(60) for j in range(i + 1, 60) if 100 * sizes[i] >= 80 * sizes[j] and kind[i] != kind[j] and (within or side[i] != side[j]) and (items[i] == items[j]).sum() >= least}
-            i, j = minhash_join.tile_pairs(items, sizes, kind, side, within, 80)
+            want = {(i, j) for i in range(60) for j in range(i + 1, 60) if 100 * sizes[i] >= 80 * sizes[j] and kind[i] != kind[j] and home[i] != home[j] and (within or side[i] != side[j]) and (items[i] == items[j]).sum() >= least}
+            i, j = minhash_join.tile_pairs(items, sizes, kind, home, side, within, 80)
             assert set(zip(i.tolist(), j.tolist(), strict=True)) == want
 
 
+def test_bitmaps_bound_from_above():
+    sets = [shingle_sets(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t.encode())]), 2)[0] for base in (prose(40, RNG), prose(400, RNG)) for t in [base, *(edited(base, n) for n in (1, 2, 4, 9, 30))]]
+    sizes, bits = np.array([len(x) for x in sets]), [minhash_join.bitmap(x) for x in sets]
+    i, j = (np.array(x) for x in zip(*((a, b) for a in range(12) for b in range(12) if a != b), strict=True))
+    near = np.array([100 * len(np.intersect1d(sets[a], sets[b])) >= 80 * len(np.union1d(sets[a], sets[b])) for a, b in zip(i, j, strict=True)])
+    may = minhash_join.within_bound(sizes, bits, i, j, 80)
+    assert (may | ~near).all() and near.any() and not may.all()
+
+
 def test_signatures_estimate_similarity():
     a, b = prose(2000, RNG), None
     words = a.split(" ")

@@ -9,9 +9,11 @@
    of which fewer than T items are frequent isn't in a frequent list at all.
 4. Merging, in lists of two documents or more: each document is first held against the smallest of its list, in tiles
    of a leader and some members; documents of a list that are not of the leader's class then meet a new leader, ROUNDS
-   times; what is still apart is held against each other in tiles of bounded size. A tile counts collisions coordinate by
-   coordinate, rarest first: after K - T + 1 of them, pairs without a collision are skipped, and later those that can't
-   reach T any more. Pairs of T collisions or more are candidates.
+   times; what is still apart is held against each other in tiles of bounded size. A group of copies shares many lists,
+   so that happens first in one list of each document, its home (the longest), and then in the others between documents
+   of different homes. A tile counts collisions coordinate by coordinate, rarest first: after K - T + 1 of them, pairs
+   without a collision are skipped, and later those that can't reach T any more. Pairs of T collisions or more, whose
+   overlap the bit counts of hashed bitmaps of their sets don't bound below what is asked, are candidates.
 5. Candidates are confirmed on their whole sets, made again from the texts: 100 * shared >= percent * union.
 6. Classes are the connected components of the links. A pair is left out only if both ends are in one class by then, so
    a group of copies costs about one row for a copy, not all its pairs.
@@ -34,7 +36,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import Scratch, one_row_each, table
-from tidemark.llm.jaccard_join import digest, map_sets, open_meetings, with_links
+from tidemark.llm.jaccard_join import alike, digest, map_sets, open_meetings, overlap_bound, with_links
 from tidemark.llm.shingles import mix
 
 #: Coordinates of a signature, and how many of them have to collide for every percent of similarity asked for.
@@ -43,6 +45,8 @@ K, SHARE = 48, 0.625
 TILE, SIDE = 2000, 400
 #: Rounds in which the documents of a list that are in no leader's class meet a new leader.
 ROUNDS = 3
+#: A bitmap's bits for each shingle, before rounding up to a power of two; and its fewest and most.
+BITS_EACH, FEWEST_BITS, MOST_BITS = 2, 256, 1 << 16
 #: Shingles whose hashes are made at once.
 AT_ONCE = 1 << 15
 
@@ -64,8 +68,15 @@ def signature(own: np.ndarray) -> np.ndarray:
     return mix(least ^ mix(PLUS)).view(np.int64)
 
 
+def bitmap(own: np.ndarray) -> bytes:
+    bits = min(MOST_BITS, max(FEWEST_BITS, 1 << (BITS_EACH * len(own)).bit_length()))
+    flags = np.zeros(bits, np.uint8)
+    flags[(own >> np.uint64(7)).astype(np.int64) & bits - 1] = 1
+    return np.packbits(flags, bitorder="little").tobytes()
+
+
 def signed(docs: DataFrame, k: int) -> DataFrame:
-    """(doc_id, n_shingles, set_key, items); no key and no items for an empty set."""
+    """(doc_id, n_shingles, set_key, items, bits); the last three are null for an empty set."""
 
     def emit(rows: pa.RecordBatch, sets: list[np.ndarray]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays(
@@ -74,11 +85,12 @@ def signed(docs: DataFrame, k: int) -> DataFrame:
                 pa.array([len(x) for x in sets], pa.int64()),
                 pa.array([digest(x) if len(x) else None for x in sets], pa.binary()),
                 pa.array([signature(x) if len(x) else None for x in sets], pa.list_(pa.int64())),
+                pa.array([bitmap(x) if len(x) else None for x in sets], pa.binary()),
             ],
-            names=["doc_id", "n_shingles", "set_key", "items"],
+            names=["doc_id", "n_shingles", "set_key", "items", "bits"],
         )
 
-    return map_sets(docs, emit, "doc_id long, n_shingles long, set_key binary, items array<long>", k)
+    return map_sets(docs, emit, "doc_id long, n_shingles long, set_key binary, items array<long>, bits binary", k)
 
 
 def posted(s: Scratch, signs: DataFrame, least: int) -> DataFrame:
@@ -121,16 +133,28 @@ def collisions(items: np.ndarray, i: np.ndarray, j: np.ndarray, least: int, orde
     return keep
 
 
-def tile_pairs(items: np.ndarray, sizes: np.ndarray, kind: np.ndarray, side: np.ndarray, within: bool, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of a tile's rows (in order of size) that are of different classes, of different sides unless the tile is one
-    side against itself, near enough in size, and collide in the first coordinates or later ones often enough."""
+def within_bound(sizes: np.ndarray, bits: list[bytes], i: np.ndarray, j: np.ndarray, percent: int) -> np.ndarray:
+    """Which of the pairs (those of one i in a row) may be similar enough, by their bitmaps."""
+    maps, keep = [np.frombuffer(b, np.uint64) for b in bits], np.zeros(len(i), bool)
+    starts = np.flatnonzero(np.concatenate([[True], i[1:] != i[:-1]])) if len(i) else np.zeros(0, int)
+    for at, end in zip(starts.tolist(), [*starts[1:].tolist(), len(i)], strict=False):
+        own, others = int(i[at]), j[at:end]
+        same = alike([maps[own], *(maps[n] for n in others.tolist())])
+        bound = overlap_bound(sizes[others], same[1:], int(sizes[own]), same[0])
+        keep[at:end] = 100 * bound >= percent * (sizes[others] + sizes[own] - bound)
+    return keep
+
+
+def tile_pairs(items: np.ndarray, sizes: np.ndarray, kind: np.ndarray, home: np.ndarray, side: np.ndarray, within: bool, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of a tile's rows (in order of size) that are of different classes and homes, of different sides unless the
+    tile is one side against itself, near enough in size, and collide in the first coordinates or later ones often enough."""
     least = threshold(percent)
     order = rarest_first(items)
     first = items[:, order[: K - least + 1]]
     a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for i in range(len(items)):
         part = slice(i + 1, np.searchsorted(sizes, sizes[i] * 100 // percent, "right"))
-        hit = (first[part] == first[i]).any(1) & (kind[part] != kind[i]) & (within | (side[part] != side[i]))
+        hit = (first[part] == first[i]).any(1) & (kind[part] != kind[i]) & (home[part] != home[i]) & (within | (side[part] != side[i]))
         j = i + 1 + np.flatnonzero(hit)
         a.append(np.full(len(j), i))
         b.append(j)
@@ -157,8 +181,8 @@ def one_of_each(i: np.ndarray, j: np.ndarray, kind: np.ndarray) -> np.ndarray:
     return np.array(kept, np.int64)
 
 
-def matrix(rows: pa.Table) -> np.ndarray:
-    return rows.column("items").combine_chunks().flatten().to_numpy().reshape(rows.num_rows, K)
+def matrix(rows: pa.Table, column: str = "items") -> np.ndarray:
+    return rows.column(column).combine_chunks().flatten().to_numpy().reshape(rows.num_rows, K)
 
 
 def with_leaders(pairs: DataFrame, signs: DataFrame, percent: int) -> DataFrame:
@@ -166,40 +190,46 @@ def with_leaders(pairs: DataFrame, signs: DataFrame, percent: int) -> DataFrame:
     members comes in several."""
     many = pairs.groupBy("leader").agg(F.ceil(F.count(F.lit(1)) / TILE).alias("tiles")).filter("tiles > 1")
     dealt = pairs.join(many, "leader", "left").select("leader", F.coalesce(F.pmod(F.xxhash64("doc"), F.col("tiles")), F.lit(0).cast("long")).alias("tile"), "doc")
-    own = signs.select(F.col("doc_id").alias("doc"), "n_shingles", "items")
-    leaders = dealt.select(F.col("leader").alias("lead"), F.col("tile").alias("lead_tile")).distinct().join(own.toDF("lead", "n_shingles", "items"), "lead")
+    own = signs.select(F.col("doc_id").alias("doc"), "n_shingles", "items", "bits")
+    leaders = dealt.select(F.col("leader").alias("lead"), F.col("tile").alias("lead_tile")).distinct().join(signs.select(F.col("doc_id").alias("lead"), F.col("n_shingles").alias("lead_n_shingles"), F.col("items").alias("lead_items"), F.col("bits").alias("lead_bits")), "lead")
     least = threshold(percent)
 
     def check(left: pa.Table, right: pa.Table) -> pa.Table:
         doc, leader = np.zeros(0, np.int64), np.zeros(0, np.int64)
         if left.num_rows and right.num_rows:
-            items = np.concatenate([matrix(left), matrix(right)])
-            near = np.flatnonzero(may_link(right.column("n_shingles").to_numpy(), left.column("n_shingles")[0].as_py(), percent)) + 1
-            alike = (items[near] == items[0]).sum(0)
-            kept = collisions(items, near, np.zeros(len(near), np.int64), least, np.argsort(alike, kind="stable"))
-            doc = right.column("doc").to_numpy()[near[kept] - 1]
+            items = np.concatenate([matrix(left, "lead_items"), matrix(right)])
+            sizes = np.concatenate([left.column("lead_n_shingles").to_numpy(), right.column("n_shingles").to_numpy()])
+            near = np.flatnonzero(may_link(sizes[1:], sizes[0], percent)) + 1
+            hits = (items[near] == items[0]).sum(0)
+            near = near[collisions(items, near, np.zeros(len(near), np.int64), least, np.argsort(hits, kind="stable"))]
+            bits = left.column("lead_bits").to_pylist() + right.column("bits").to_pylist()
+            near = near[within_bound(sizes, bits, np.zeros(len(near), np.int64), near, percent)]
+            doc = right.column("doc").to_numpy()[near - 1]
             leader = np.full(len(doc), left.column("lead")[0].as_py())
         return pa.table({"doc": pa.array(doc, pa.int64()), "leader": pa.array(leader, pa.int64())})
 
     return leaders.groupBy("lead", "lead_tile").cogroup(dealt.join(own, "doc").groupBy("leader", "tile")).applyInArrow(check, "doc long, leader long")
 
 
-def with_each_other(met: DataFrame, signs: DataFrame, percent: int, few: bool) -> DataFrame:
-    """(sig, doc, leader): pairs of documents of a list, of different classes so far, that collide often enough. A list's
-    largest class is held against the others only. With `few`, a tile gives only as many pairs as would join its classes."""
-    counts = met.groupBy("sig", "class").agg(F.count(F.lit(1)).alias("n"))
-    sides = counts.groupBy("sig").agg(F.max(F.struct("n", "class")).alias("top"), F.sum("n").alias("all"))
-    sides = sides.select("sig", F.col("top.class").alias("top"), F.ceil((F.col("all") - F.col("top.n")) / SIDE).alias("others"), F.ceil(F.col("top.n") / SIDE).alias("tops"))
-    zero, is_top, turn = F.lit(0).cast("long"), F.col("class") == F.col("top"), lambda n: F.pmod(F.xxhash64("doc"), F.col(n))
+def with_each_other(met: DataFrame, signs: DataFrame, percent: int, by: str, few: bool) -> DataFrame:
+    """(sig, doc, leader): pairs of documents of a list, of different classes so far and of different homes, that may link.
+    A list's largest group of one `by` (class or home) is held against the others only. With `few`, a tile gives only as
+    many pairs as would join its classes."""
+    counts = met.groupBy("sig", by).agg(F.count(F.lit(1)).alias("n"))
+    sides = counts.groupBy("sig").agg(F.max(F.struct("n", by)).alias("top"), F.sum("n").alias("all"))
+    sides = sides.select("sig", F.col(f"top.{by}").alias("top"), F.ceil((F.col("all") - F.col("top.n")) / SIDE).alias("others"), F.ceil(F.col("top.n") / SIDE).alias("tops"))
+    zero, is_top, turn = F.lit(0).cast("long"), F.col(by) == F.col("top"), lambda n: F.pmod(F.xxhash64("doc"), F.col(n))
     dealt = met.join(sides, "sig").withColumn("side", F.when(is_top, F.col("others") + turn("tops")).otherwise(turn("others")))
     opposite = F.sequence(zero, F.when(is_top, F.col("others")).otherwise(F.col("others") + F.col("tops")) - 1)
-    spread = dealt.withColumn("other", F.explode(opposite)).select("sig", F.least("side", "other").alias("x"), F.greatest("side", "other").alias("y"), "side", "doc", "class")
-    tiles = spread.join(signs.select(F.col("doc_id").alias("doc"), "n_shingles", "items"), "doc")
+    spread = dealt.withColumn("other", F.explode(opposite)).select("sig", F.least("side", "other").alias("x"), F.greatest("side", "other").alias("y"), "side", "doc", "class", "home")
+    tiles = spread.join(signs.select(F.col("doc_id").alias("doc"), "n_shingles", "items", "bits"), "doc")
 
     def check(rows: pa.Table) -> pa.Table:
         rows = rows.sort_by([("n_shingles", "ascending"), ("doc", "ascending")])
-        doc, sizes, kind, side = (rows.column(c).to_numpy() for c in ("doc", "n_shingles", "class", "side"))
-        i, j = tile_pairs(matrix(rows), sizes, kind, side, rows.column("x")[0].as_py() == rows.column("y")[0].as_py(), percent)
+        doc, sizes, kind, home, side = (rows.column(c).to_numpy() for c in ("doc", "n_shingles", "class", "home", "side"))
+        i, j = tile_pairs(matrix(rows), sizes, kind, home, side, rows.column("x")[0].as_py() == rows.column("y")[0].as_py(), percent)
+        kept = within_bound(sizes, rows.column("bits").to_pylist(), i, j, percent)
+        i, j = i[kept], j[kept]
         if few:
             kept = one_of_each(i, j, kind)
             i, j = i[kept], j[kept]
@@ -219,13 +249,32 @@ def confirmed_classes(s: Scratch, docs: DataFrame, signs: DataFrame, met: DataFr
         if not met.limit(1).count():
             return classes
         pairs = met.filter("doc <> leader and class <> leader_class")
-    some = s.write(with_each_other(met, signs, percent, True), "some")
+    sizes = met.groupBy("sig").agg(F.count(F.lit(1)).alias("n"))
+    homes = s.write(met.select("sig", "doc").join(sizes, "sig").groupBy("doc").agg(F.max(F.struct("n", "sig")).alias("top")).select("doc", F.col("top.sig").alias("home")), "homes")
+    lists = s.write(met.select("sig", "doc").join(homes, "doc"), "open")
+    s.drop(met, homes)
+    classes = settled(s, classes, lists.filter("sig = home").select("sig", "doc", F.col("doc").alias("home")), "class", docs, signs, k, percent)
+    return settled(s, classes, lists, "home", docs, signs, k, percent)
+
+
+def with_classes(s: Scratch, lists: DataFrame, classes: DataFrame) -> DataFrame:
+    """Lists (sig, doc, home) with each document's class so far; only those of several classes and homes, and of several
+    lists of the same documents one."""
+    rows = s.write(lists.join(classes.withColumnRenamed("node", "doc"), "doc", "left").select("sig", "doc", "home", F.coalesce("component", "doc").alias("class")), "classed")
+    several = rows.groupBy("sig").agg(F.count(F.lit(1)).alias("n"), F.expr("bit_xor(xxhash64(doc))").alias("who"), F.min("class").alias("c"), F.max("class").alias("d"), F.min("home").alias("h"), F.max("home").alias("i"))
+    once = several.filter("c < d and h < i").groupBy("who", "n").agg(F.min("sig").alias("sig")).select("sig")
+    return s.write(rows.join(once, "sig", "left_semi"), "apart")
+
+
+def settled(s: Scratch, classes: DataFrame, lists: DataFrame, by: str, docs: DataFrame, signs: DataFrame, k: int, percent: int) -> DataFrame:
+    """The classes after all documents of a list (sig, doc, home), of different homes, have met."""
+    some = s.write(with_each_other(with_classes(s, lists, classes), signs, percent, by, True), "some")
     classes = with_links(s, classes, s.write(some.select("doc", "leader").distinct(), "near"), docs, k, percent)
     # Where a pair didn't link, its tile may have left out others that do.
     of = lambda c: classes.select(F.col("node").alias(c), F.col("component").alias(f"{c}_class"))
     apart = some.join(of("doc"), "doc", "left").join(of("leader"), "leader", "left").filter("not coalesce(doc_class, doc) = coalesce(leader_class, leader)")
-    met = open_meetings(s, met.join(apart.select("sig").distinct(), "sig", "left_semi"), classes, False)
-    rest = with_each_other(met, signs, percent, False).select("doc", "leader").distinct()
+    lists = lists.join(s.write(apart.select("sig").distinct(), "unsettled"), "sig", "left_semi")
+    rest = with_each_other(with_classes(s, lists, classes), signs, percent, by, False).select("doc", "leader").distinct()
     return with_links(s, classes, s.write(rest, "near"), docs, k, percent)
 
 
@@ -238,7 +287,7 @@ def minhash_classes(docs: DataFrame, k: int = 5, percent: int = 80, id_column: s
         shared = s.write(signs.filter("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("set_key", "first"), "shared")
         named = signs.select("doc_id", "n_shingles", "set_key").join(shared, "set_key", "left").withColumn("node", F.coalesce("first", "doc_id"))
         copies = named.filter("node <> doc_id").select("doc_id")
-        single = s.write(signs.filter("items is not null").join(copies, "doc_id", "left_anti").select("doc_id", "n_shingles", "items"), "single")
+        single = s.write(signs.filter("items is not null").join(copies, "doc_id", "left_anti").select("doc_id", "n_shingles", "items", "bits"), "single")
         classes = confirmed_classes(s, docs, single, posted(s, single, threshold(percent)), k, percent)
         found = named.join(classes, "node", "left").select("doc_id", "n_shingles", F.coalesce("component", "node").alias("component_id"))
         return s.finish(found.withColumn("kept", F.col("doc_id") == F.col("component_id")))
