@@ -194,7 +194,7 @@ def test_refresh_equals_rebuild_and_touches_only_changes(spark):
     a = full["chunks"].filter("file_path = 'a.py'").first()
     assert (a.churn_count, a.hotspot_score) == (1, 1.0) and full["chunks"].filter("file_path like 'target%'").count() == 0
     assert {r.path: r.change for r in indexing.diff_manifest(after, index["files"]).collect()} == {"a.py": "changed", "b.rs": "unchanged", "c.md": "deleted", "d.md": "new"}
-    later = history.apply_commits(full, changes(spark, ("s4", "yet another change", "b.rs")), log.union(changes(spark, ("s4", "yet another change", "b.rs"))), now)
+    later = history.apply_commits(full, changes(spark, ("s4", "yet another change", "b.rs")), now)
     assert {r.file_path: r.churn_count for r in later["chunks"].collect()} == {"a.py": 1, "b.rs": 2, "d.md": 0}
 
 

@@ -2,8 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from tidemark.operators import history, indexing, memory, vectors
-from tidemark.sources import snapshots
+from tidemark.operators import history, index_store, indexing, memory, vectors
 from tidemark.streaming import jobs
 
 from .test_jobs import MD, PY, RS, changes, files, ids
@@ -39,16 +38,16 @@ def test_index_follows_files_and_commits(spark, tmp_path):
     embedder, root = vectors.HashedWords(8), f"file://{tmp_path}/index"
     log = changes(spark, ("s1", "a change worth a note", "a.py"))
     before, after = files(spark, a_py=PY, b_rs=RS, c_md=MD), files(spark, a_py=PY + "\n\ndef g():\n    pass\n", b_rs=RS, d_md=MD)
-    jobs.save_index(indexing.build_index(before, log, embedder, NOW), root)
+    index_store.create_index(spark, indexing.build_index(before, log, embedder, NOW), root)
     events = spark.createDataFrame([("a.py", "modify"), ("a.py", "modify"), ("c.md", "remove"), ("d.md", "create"), ("target/x.py", "create"), ("x.bin", "create")], "path string, kind string")
     save(events, f"{tmp_path}/events")
     stream = spark.readStream.schema(events.schema).parquet(f"{tmp_path}/events")
-    jobs.run_incremental_index(stream, root, lambda paths: after.join(paths, "path", "left_semi"), lambda: log, embedder, NOW, f"{tmp_path}/cp1", once=True).awaitTermination()
-    got, want = jobs.load_index(spark, root), indexing.build_index(after, log, embedder, NOW)
+    jobs.run_incremental_index(stream, root, lambda paths: after.join(paths, "path", "left_semi"), embedder, NOW, f"{tmp_path}/cp1", once=True).awaitTermination()
+    got, want = index_store.load_index(spark, root), indexing.build_index(after, log, embedder, NOW)
     assert ids(got["chunks"]) == ids(want["chunks"]) and ids(got["files"], "path") == ["a.py", "b.rs", "d.md"] and ids(got["vectors"], "chunk_id") == ids(want["vectors"], "chunk_id")
     more = changes(spark, ("s2", "another good change", "b.rs"))
     save(more, f"{tmp_path}/commits")
     every = log.union(more)
-    jobs.run_commit_updates(spark.readStream.schema(more.schema).parquet(f"{tmp_path}/commits"), root, lambda: every, NOW, f"{tmp_path}/cp2", once=True).awaitTermination()
-    churn = {r.file_path: r.churn_count for r in jobs.load_index(spark, root)["chunks"].collect()}
+    jobs.run_commit_updates(spark.readStream.schema(more.schema).parquet(f"{tmp_path}/commits"), root, NOW, f"{tmp_path}/cp2", once=True).awaitTermination()
+    churn = {r.file_path: r.churn_count for r in index_store.load_index(spark, root)["chunks"].collect()}
     assert churn == {"a.py": 1, "b.rs": 1, "d.md": 0} and history.file_hotspots(history.commit_file_stats(every), NOW).count() == 2

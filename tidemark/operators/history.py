@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.scalars import commit_weight
+from tidemark.functions.scalars import commit_weight, is_significant
 from tidemark.operators.ranking import recent_commits, top_k
 
 LIMIT, UPDATE_LIMIT = 10, 50
+#: Newest commits of a file that its history keeps: what both limits need.
+KEPT = 3 * UPDATE_LIMIT
 EXACT = 9
 
 
@@ -52,22 +54,58 @@ def symbol_history(symbols: DataFrame, hunks: DataFrame, n: int = 8) -> DataFram
     return top_k(over, ["id"], [F.desc("ts"), F.asc("sha")], n).select("id", "rank", text.alias("text"))
 
 
-def apply_commits(index: dict[str, DataFrame], changes: DataFrame, all_changes: DataFrame, now, limit: int = UPDATE_LIMIT) -> dict[str, DataFrame]:
-    """The index after new commits: files in them get churn and hotspot anew from all changes, their chunks links to the
-    files' recent commits. Nothing is parsed or embedded."""
-    paths = changes.select("path").distinct()
-    files = commit_file_stats(all_changes.join(paths, "path", "left_semi"))
-    recent = recent_commits(files, limit)
-    fresh = recent.groupBy("path").agg(F.count(F.lit(1)).alias("new_churn"), F.round(F.sum(commit_weight("ts", "lines", now)), EXACT).alias("new_score"))
-    hit = paths.join(fresh, "path", "left").select(F.col("path").alias("file_path"), F.coalesce("new_churn", F.lit(0)).cast("long").alias("new_churn"), F.coalesce("new_score", F.lit(0.0)).alias("new_score"))
+def file_history(changes: DataFrame, keep: int = KEPT) -> DataFrame:
+    """(path, newest): each file's newest commits, an array of (age, sha, ts, message, lines) from the newest on. Such
+    histories merge, so churn, hotspots and links follow from them and a batch of commits alone."""
+    zone_less = dict(changes.dtypes)["ts"] == "timestamp_ntz"
+    micros = F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts)") if zone_less else F.unix_micros("ts")
+    newest = top_k(commit_file_stats(changes), ["path"], [F.desc("ts"), F.asc("sha")], keep, "_r")
+    entry = F.struct(F.coalesce(-micros, F.lit(2**63 - 1)).alias("age"), "sha", "ts", "message", "lines")
+    return newest.groupBy("path").agg(F.array_sort(F.collect_list(entry)).alias("newest"))
+
+
+def merged_history(old: DataFrame, new: DataFrame, keep: int = KEPT) -> DataFrame:
+    """The history of both; a commit that comes again counts once, as in new."""
+    both = old.select("path", F.col("newest").alias("_old")).join(new.select("path", F.col("newest").alias("_new")), "path", "full_outer")
+    none = F.array().cast(old.schema["newest"].dataType)
+    fresh = F.coalesce(F.col("_new").cast(old.schema["newest"].dataType), none)
+    rest = F.filter(F.coalesce("_old", none), lambda x: ~F.exists(fresh, lambda y: y["sha"] == x["sha"]))
+    return both.select("path", F.slice(F.array_sort(F.concat(fresh, rest)), 1, keep).alias("newest"))
+
+
+def recent_of(history: DataFrame, limit: int) -> DataFrame:
+    """(path, recent): as recent_commits, the newest `limit` significant ones among the newest 3 * limit."""
+    near = F.filter(F.slice("newest", 1, 3 * limit), lambda x: is_significant(x["message"]))
+    return history.select("path", F.slice(near, 1, limit).alias("recent"))
+
+
+def history_scores(history: DataFrame, now, limit: int = LIMIT) -> DataFrame:
+    """(path, churn_count, hotspot_score) as file_hotspots has them; 0 for files without significant commits."""
+    score = F.aggregate("recent", F.lit(0.0), lambda total, x: total + commit_weight(x["ts"], x["lines"], now))
+    return recent_of(history, limit).select("path", F.size("recent").cast("long").alias("churn_count"), F.round(score, EXACT).alias("hotspot_score"))
+
+
+def history_commits(history: DataFrame, limit: int) -> DataFrame:
+    """(path, sha, message, ts) of each file's recent commits."""
+    return recent_of(history, limit).select("path", F.explode("recent").alias("c")).select("path", "c.sha", "c.message", "c.ts")
+
+
+def apply_commits(index: dict[str, DataFrame], changes: DataFrame, now, limit: int = UPDATE_LIMIT) -> dict[str, DataFrame]:
+    """The index after new commits: files in them get churn and hotspot anew from their history merged with the batch,
+    their chunks links to the files' recent commits. Nothing is parsed or embedded, and no older change is read."""
+    batch = file_history(changes)
+    old = index["history"]
+    touched = merged_history(old.join(batch.select("path"), "path", "left_semi"), batch)
+    history = old.join(batch.select("path"), "path", "left_anti").unionByName(touched)
+    hit = history_scores(touched, now, limit).select(F.col("path").alias("file_path"), F.col("churn_count").alias("new_churn"), F.col("hotspot_score").alias("new_score"))
     chunks = index["chunks"].join(hit, "file_path", "left")
-    chunks = chunks.withColumns({"churn_count": F.coalesce("new_churn", "churn_count"), "hotspot_score": F.coalesce("new_score", "hotspot_score")}).drop("new_churn", "new_score").select(*index["chunks"].columns)
-    links = link_chunks(index["chunks"], recent)
-    commits = recent.select("sha", "message", "ts").distinct()
+    chunks = chunks.withColumns({"churn_count": F.coalesce("new_churn", "churn_count"), "hotspot_score": F.coalesce("new_score", "hotspot_score")}).select(*index["chunks"].columns)
+    recent = history_commits(touched, limit)
     return index | {
         "chunks": chunks,
-        "bridge": index["bridge"].unionByName(links).distinct(),
-        "commits": index["commits"].select("sha", "message", "ts").unionByName(commits).dropDuplicates(["sha"]),
+        "bridge": index["bridge"].unionByName(link_chunks(index["chunks"], recent)).distinct(),
+        "commits": index["commits"].select("sha", "message", "ts").unionByName(recent.select("sha", "message", "ts")).dropDuplicates(["sha"]),
+        "history": history,
     }
 
 

@@ -16,8 +16,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalars import BLANK_ENDS, build_embed_text, chunk_strategy, is_excluded, language_of, lines_of
-from tidemark.operators.history import commit_file_stats, file_hotspots, link_chunks, with_hotspots
-from tidemark.operators.ranking import recent_commits
+from tidemark.operators.history import LIMIT, file_history, history_commits, history_scores, link_chunks, merged_history, with_hotspots
 from tidemark.operators.vectors import Embedder, embed_text
 
 PREVIEW_LINES, NAME_CHARS = 8, 120
@@ -178,30 +177,37 @@ def chunk_vectors(chunks: DataFrame, embedder: Embedder) -> DataFrame:
     return embed_text(chunks.select(F.col("id").alias("chunk_id"), text.alias("_text")), "_text", embedder).select("chunk_id", "embed_model", "embedding")
 
 
-def history_tables(chunks: DataFrame, changes: DataFrame, now, limit: int = 10) -> dict[str, DataFrame]:
-    files = commit_file_stats(changes)
-    recent = recent_commits(files, limit)
+def tables_of(chunks: DataFrame, history: DataFrame, now, limit: int = LIMIT) -> dict[str, DataFrame]:
+    """Chunks with churn and hotspot, their links and the commits of these, from the files' histories."""
+    recent = history_commits(history, limit)
     return {
-        "chunks": with_hotspots(chunks.withColumns({"churn_count": F.lit(0), "hotspot_score": F.lit(0.0)}), file_hotspots(files, now, limit)),
+        "chunks": with_hotspots(chunks.withColumns({"churn_count": F.lit(0), "hotspot_score": F.lit(0.0)}), history_scores(history, now, limit)),
         "bridge": link_chunks(chunks, recent),
         "commits": recent.select("sha", "message", "ts").distinct(),
     }
 
 
+def history_tables(chunks: DataFrame, changes: DataFrame, now, limit: int = LIMIT) -> dict[str, DataFrame]:
+    history = file_history(changes)
+    return tables_of(chunks, history, now, limit) | {"history": history}
+
+
 def build_index(files: DataFrame, changes: DataFrame, embedder: Embedder, now) -> dict[str, DataFrame]:
     """All index tables of a tree of files and its history. A file without chunks is in the manifest too."""
     chunks = chunks_of(files)
     return history_tables(chunks, changes, now) | {"vectors": chunk_vectors(chunks, embedder), "files": files.filter(~is_excluded("path")).select("path", "content_hash")}
 
 
-def update_index(index: dict[str, DataFrame], files: DataFrame, changes: DataFrame, embedder: Embedder, now, partial: bool = False) -> dict[str, DataFrame]:
+def update_index(index: dict[str, DataFrame], files: DataFrame, changes: DataFrame | None, embedder: Embedder, now, partial: bool = False) -> dict[str, DataFrame]:
     """The index after files changed: new and changed ones have their chunks, vectors and links replaced, deleted ones lose
-    them, others keep theirs. partial: files holds only some paths; absent ones aren't deleted."""
+    them, others keep theirs. Churn and links follow from the index's own history, merged with changes if there are any.
+    partial: files holds only some paths; absent ones aren't deleted."""
+    history = index["history"] if changes is None else merged_history(index["history"], file_history(changes))
     diff = diff_manifest(files.filter(~is_excluded("path")), index["files"])
     gone = diff.filter(F.col("change").isin("changed", *([] if partial else ["deleted"]))).select(F.col("path").alias("file_path"))
     fresh = files.join(diff.filter("change in ('new', 'changed')").select("path"), "path", "left_semi")
     chunks = chunks_of(fresh)
-    more = history_tables(chunks, changes, now)
+    more = tables_of(chunks, history.join(fresh.select("path"), "path", "left_semi"), now)
     old = index["chunks"].join(gone, "file_path", "left_semi").select(F.col("id").alias("chunk_id"))
     keep = lambda t: index[t].join(old, "chunk_id", "left_anti")
     columns = index["chunks"].columns
@@ -211,4 +217,5 @@ def update_index(index: dict[str, DataFrame], files: DataFrame, changes: DataFra
         "vectors": keep("vectors").unionByName(chunk_vectors(chunks, embedder)),
         "commits": index["commits"].unionByName(more["commits"]).dropDuplicates(["sha"]),
         "files": index["files"].join(gone.withColumnRenamed("file_path", "path"), "path", "left_anti").unionByName(fresh.filter(~is_excluded("path")).select("path", "content_hash")),
+        "history": history,
     }

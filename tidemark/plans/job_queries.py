@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from tidemark.functions.scalars import content_hash
 from tidemark.operators import history, indexing, lexical, memory, ranking, retrieval, vectors
 from tidemark.plans.scalar_queries import AGE_SQL, BODY_HASH_SQL, BOOST_SQL, COSINE_SQL, RETENTION_SQL, SIGNIFICANT_SQL, commit_weight_sql, low, sanitize_sql
-from tidemark.plans.views import HISTORY_NOW, MODEL, NOW, view, with_views
-from tidemark.sources import git_log, requests, snapshots
+from tidemark.plans.views import HISTORY_NOW, MODEL, NOW, scratch, view, with_views
+from tidemark.sources import git_log, requests, snapshots, trees
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -479,15 +479,60 @@ def m13(s, d):
     return memory.session_context(view(s, d, "memories_v"), view(s, d, "captures_v"), NOW)["notes"].select("project_id", "id", F.col("rank").cast("long").alias("rank"), "included")
 
 
+# Source trees and snapshots
+
+TREE_SQL = "CASE WHEN doc_id % 11 = 0 THEN 'node_modules/' WHEN doc_id % 13 = 0 THEN 'gen/' ELSE '' END || 's' || CAST(doc_id % 5 AS {STR}) || '/d' || CAST(doc_id AS {STR}) || CASE doc_id % 4 WHEN 0 THEN '.md' WHEN 1 THEN '.rs' WHEN 2 THEN '.lock' ELSE '.bin' END"
+
+
+@query("s1_read_source_tree", f"""
+SELECT path, content_hash, language, n_bytes FROM (
+  SELECT doc_id, {TREE_SQL.replace("{STR}", "VARCHAR")} AS path, sha256(coalesce(text, '')) AS content_hash, CASE doc_id % 4 WHEN 0 THEN 'markdown' ELSE 'rust' END AS language, strlen(coalesce(text, '')) AS n_bytes FROM documents
+) WHERE doc_id % 4 < 2 AND doc_id % 11 <> 0 AND doc_id % 13 <> 0""")
+def s1(s, d):
+    """Documents written as a tree of files, and read again without what is excluded."""
+    root = f"{scratch(s)}/tree"
+    trees.write_source_tree(s.read.parquet(f"{d}/documents.parquet").selectExpr(f"{TREE_SQL.replace('{STR}', 'string')} as path", "text"), root)
+    return trees.read_source_tree(s, root, ("gen/**",)).select("path", "content_hash", "language", F.octet_length("text").cast("long").alias("n_bytes"))
+
+
+@query("s4_snapshot_tables", with_views("memories_v", "SELECT id, project_id, CASE WHEN id IN (SELECT id FROM memories_v WHERE id LIKE '%7') THEN 'changed' ELSE title END AS title, access_count FROM memories_v"))
+def s4(s, d):
+    """Notes as a snapshot, replaced by a version that is made from it; the newest is read."""
+    root, rows = scratch(s), view(s, d, "memories_v").select("id", "project_id", "title", "access_count")
+    snapshots.write_table(rows, root)
+    first = snapshots.read_table(s, root)
+    snapshots.write_table(first.withColumn("title", F.when(F.col("id").endswith("7"), "changed").otherwise(F.col("title"))), root, keep=1)
+    return snapshots.read_table(s, root)
+
+
 # The code index
 
 
+def document_path():
+    return F.concat(F.col("source"), F.lit("/d"), F.col("doc_id").cast("string"), F.when(F.col("doc_id") % 3 == 0, ".md").otherwise(".sql"))
+
+
 def source_files(s, d):
-    """Documents as files of several kinds: Markdown with a heading for each line, SQL, and plain code."""
+    """Documents as files of two kinds: Markdown with a heading for each line, and SQL."""
     doc = s.read.parquet(f"{d}/documents.parquet")
     text = F.when(F.col("doc_id") % 3 == 0, F.regexp_replace("text", r"(?m)^", "# ")).otherwise(F.replace("text", F.lit("."), F.lit(";")))
-    path = F.concat(F.col("source"), F.lit("/d"), F.col("doc_id").cast("string"), F.when(F.col("doc_id") % 3 == 0, ".md").otherwise(".sql"))
-    return doc.select(path.alias("path"), text.alias("text")).withColumn("content_hash", content_hash("text"))
+    return doc.select(document_path().alias("path"), text.alias("text")).withColumn("content_hash", content_hash("text"))
+
+
+def document_changes(s, d):
+    """Commits of documents' files: one that counts for every fourth, one that doesn't for every eighth."""
+    doc = s.read.parquet(f"{d}/documents.parquet").filter("doc_id % 4 = 1").select("doc_id", document_path().alias("path"), F.col("n_chars").cast("long").alias("added"), F.lit(0).cast("long").alias("deleted"))
+    sha = lambda c: F.substring(F.sha2(c, 256), 1, 40).alias("sha")
+    at = F.expr("timestampadd(DAY, doc_id % 97, timestamp_ntz'2001-01-01 00:00:00')").alias("ts")
+    one = doc.select(sha((F.col("doc_id") % 97).cast("string")), at, F.lit("a change to remember").alias("message"), "path", "added", "deleted")
+    return one.unionByName(doc.filter("doc_id % 8 = 1").select(sha(F.concat(F.lit("b"), F.col("doc_id").cast("string"))), at, F.lit("bump the version again").alias("message"), "path", "added", "deleted"))
+
+
+def index_rows(index):
+    """Every chunk with its vectors and links, as one table to compare."""
+    links, held = index["bridge"].groupBy("chunk_id").agg(F.count(F.lit(1)).alias("links"), F.min("commit_sha").alias("first_commit")), index["vectors"].groupBy("chunk_id", "embed_model").agg(F.count(F.lit(1)).alias("vectors"))
+    rows = index["chunks"].withColumnRenamed("id", "chunk_id").join(links, "chunk_id", "left").join(held, "chunk_id", "left").join(index["files"].withColumnRenamed("path", "file_path"), "file_path")
+    return rows.select("file_path", "content_hash", "symbol_name", "line_start", "line_end", "churn_count", F.coalesce("links", F.lit(0)).alias("links"), "first_commit", "embed_model", "vectors")
 
 
 SECTIONS_SQL = """WITH f AS (SELECT source || '/d' || CAST(doc_id AS VARCHAR) || '.sql' AS path, string_split(regexp_replace(replace(text, '.', ';'), '\\r?\\n$', ''), chr(10)) AS ls FROM documents),
@@ -515,8 +560,8 @@ def c2(s, d):
     return indexing.extract_symbols(both)
 
 
-def index_of(s, d):
-    changes = view(s, d, "changes_v")
+def index_of(s, d, changes=None):
+    changes = view(s, d, "changes_v") if changes is None else changes
     chunks = view(s, d, "chunks_v")
     tables = indexing.history_tables(chunks, changes, HISTORY_NOW)
     own = view(s, d, "chunk_vectors_v")
@@ -529,14 +574,24 @@ def c3(s, d):
     return out["chunks"].join(out["vectors"], F.col("id") == F.col("chunk_id")).select("id", "file_path", "symbol_name", "line_start", "line_end", "embed_model")
 
 
-@query("c4_update_index", "SELECT path FROM (SELECT source || '/d' || CAST(doc_id AS VARCHAR) || CASE doc_id % 3 WHEN 0 THEN '.md' ELSE '.sql' END AS path, doc_id FROM documents) WHERE doc_id % 7 <> 3")
+C4_SQL = """WITH f AS (SELECT doc_id, source || '/d' || CAST(doc_id AS VARCHAR) || CASE doc_id % 3 WHEN 0 THEN '.md' ELSE '.sql' END AS path, doc_id % 3 = 0 AS md,
+  CASE doc_id % 3 WHEN 0 THEN regexp_replace(text, '(?m)^', '# ', 'g') ELSE replace(text, '.', ';') END AS text FROM documents WHERE doc_id % 7 <> 3),
+s AS (SELECT *, string_split(regexp_replace(text, '\\r?\\n$', ''), chr(10)) AS ls FROM f),
+l AS (SELECT doc_id, path, md, text, unnest(ls) AS line, unnest(range(1, len(ls) + 1)) AS pos FROM s),
+g AS (SELECT *, sum(CASE WHEN md OR regexp_matches(coalesce(p, ''), ';\\s*$') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS k FROM (SELECT *, lag(line) OVER (PARTITION BY doc_id ORDER BY pos) AS p FROM l)),
+n AS (SELECT *, regexp_replace(line, '^[\\s\\p{Z}]+|[\\s\\p{Z}]+$', '', 'g') AS t FROM g),
+c AS (SELECT doc_id, path, any_value(text) AS text, substring(arg_min(t, pos) FILTER (WHERE t <> ''), 1, 120) AS symbol_name, min(pos) AS line_start, max(pos) FILTER (WHERE t <> '') AS line_end FROM n GROUP BY doc_id, path, k HAVING count(*) FILTER (WHERE t <> '') > 0)
+SELECT path AS file_path, sha256(text) AS content_hash, symbol_name, line_start, line_end, CASE WHEN doc_id % 4 = 1 THEN 1 ELSE 0 END AS churn_count, CASE WHEN doc_id % 4 = 1 THEN 1 ELSE 0 END AS links,
+  CASE WHEN doc_id % 4 = 1 THEN substring(sha256(CAST(doc_id % 97 AS VARCHAR)), 1, 40) END AS first_commit, 'hashed-words-1' AS embed_model, 1 AS vectors FROM c"""
+
+
+@query("c4_update_index", C4_SQL)
 def c4(s, d):
-    files, embedder = source_files(s, d), vectors.HashedWords()
+    files, embedder, changes = source_files(s, d), vectors.HashedWords(), document_changes(s, d)
     number = F.regexp_extract("path", r"/d(\d+)", 1).cast("long")
-    before = files.filter(number % 7 != 5).withColumn("content_hash", F.when(number % 7 == 2, "old").otherwise(F.col("content_hash")))
-    index = indexing.build_index(before, view(s, d, "changes_v"), embedder, HISTORY_NOW)
-    after = indexing.update_index(index, files.filter(number % 7 != 3), view(s, d, "changes_v"), embedder, HISTORY_NOW)
-    return after["files"].select("path")
+    before = files.filter(number % 7 != 5).withColumn("text", F.when(number % 7 == 2, F.lit("# old\n")).otherwise(F.col("text"))).withColumn("content_hash", content_hash("text"))
+    index = indexing.build_index(before, changes, embedder, HISTORY_NOW)
+    return index_rows(indexing.update_index(index, files.filter(number % 7 != 3), None, embedder, HISTORY_NOW))
 
 
 @query("c5_apply_commits", with_views("changes_v chunks_v", f"""
@@ -545,6 +600,6 @@ FROM chunks_v c LEFT JOIN hot ON hot.path = c.file_path LEFT JOIN h2 ON h2.path
 "new AS (SELECT DISTINCT path FROM changes_v WHERE ts >= TIMESTAMP '2001-07-30 00:00:00')",
 f"h2 AS (SELECT path, count(*) AS n, round(sum({commit_weight_sql(HISTORY_NOW)}), 9) AS w FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY ts DESC, sha) AS k FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY ts DESC, sha) AS r FROM f) WHERE r <= 150 AND {SIGNIFICANT_SQL}) WHERE k <= 50 GROUP BY path)"))
 def c5(s, d):
-    changes = view(s, d, "changes_v")
-    out = history.apply_commits(index_of(s, d), changes.filter("ts >= timestamp_ntz'2001-07-30 00:00:00'"), changes, HISTORY_NOW)
+    changes, recent = view(s, d, "changes_v"), "timestamp_ntz'2001-07-30 00:00:00'"
+    out = history.apply_commits(index_of(s, d, changes.filter(f"ts < {recent}")), changes.filter(f"ts >= {recent}"), HISTORY_NOW)
     return out["chunks"].select("id", "churn_count", "hotspot_score")

@@ -2,31 +2,16 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.operators import index_store, indexing, vectors
 from tidemark.plans import job_queries as J
 from tidemark.plans.scalar_queries import EXCLUDED_SQL, LANGUAGE_SQL, PATHS_SQL
-from tidemark.plans.views import HISTORY_NOW, view
-from tidemark.sources.snapshots import read_table, write_table
+from tidemark.plans.views import HISTORY_NOW, scratch, view
 from tidemark.streaming import jobs
 
 
-def scratch(spark: SparkSession) -> str:
-    """A new folder where the cluster shares files, below spark.checkpoint.dir; a temporary one only if that is
-    unset on a local master."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-            raise ValueError("spark.checkpoint.dir names no folder that the cluster shares")
-        base = f"file://{tempfile.mkdtemp(prefix='tidemark-')}"
-    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
-
-
 def streamed(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     # As a pattern, since a stream's own path must be a folder and a table may be one file.
     return spark.readStream.schema(spark.read.parquet(f"{sf_dir}/{table}.parquet").schema).parquet(f"{sf_dir}/{table}[.]parquet")
@@ -47,16 +32,26 @@ def t1_stream_dirty_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
 T1_SQL = f"SELECT DISTINCT path FROM ({PATHS_SQL}) WHERE doc_id % 9 <> 0 AND NOT ({EXCLUDED_SQL}) AND ({LANGUAGE_SQL}) IS NOT NULL"
 
 
+def t1_incremental_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of documents that came, changed or went reach the index as a stream of events, in several batches' files."""
+    files, root = J.source_files(spark, sf_dir), scratch(spark)
+    number = F.regexp_extract("path", r"/d(\d+)", 1).cast("long")
+    before = files.filter(number % 7 != 5).withColumn("text", F.when(number % 7 == 2, F.lit("# old\n")).otherwise(F.col("text"))).withColumn("content_hash", F.sha2("text", 256))
+    after = files.filter(number % 7 != 3)
+    index_store.create_index(spark, indexing.build_index(before, J.document_changes(spark, sf_dir), vectors.HashedWords(), HISTORY_NOW), root)
+    events = streamed(spark, sf_dir, "documents").filter("doc_id % 7 in (2, 3, 5)").select(J.document_path().alias("path"), F.lit("modify").alias("kind"))
+    jobs.run_incremental_index(events, root, lambda paths: after.join(paths, "path", "left_semi"), vectors.HashedWords(), HISTORY_NOW, f"{root}/checkpoint", once=True).awaitTermination()
+    return J.index_rows(index_store.load_index(spark, root))
+
+
 def t2_commit_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders of the last days arrive as commits."""
+    """Orders of the last days arrive as commits; the index knows those before."""
     root, changes = scratch(spark), view(spark, sf_dir, "changes_v")
-    index = J.index_of(spark, sf_dir)
-    for name in jobs.INDEX_TABLES:
-        write_table(index[name], f"{root}/{name}")
-    orders = streamed(spark, sf_dir, "orders").filter("o_orderdate >= timestamp_ntz'2001-07-30 00:00:00'").select(F.substring(F.sha2(F.col("o_orderkey").cast("string"), 256), 1, 40).alias("sha"))
-    stream = orders.join(changes, "sha")
-    jobs.run_commit_updates(stream, root, lambda: view(spark, sf_dir, "changes_v"), HISTORY_NOW, f"{root}/checkpoint", once=True).awaitTermination()
-    return read_table(spark, f"{root}/chunks").select("id", "churn_count", "hotspot_score")
+    recent = "timestamp_ntz'2001-07-30 00:00:00'"
+    index_store.create_index(spark, J.index_of(spark, sf_dir, changes.filter(f"ts < {recent}")), root)
+    orders = streamed(spark, sf_dir, "orders").filter(f"o_orderdate >= {recent}").select(F.substring(F.sha2(F.col("o_orderkey").cast("string"), 256), 1, 40).alias("sha"))
+    jobs.run_commit_updates(orders.join(changes, "sha"), root, HISTORY_NOW, f"{root}/checkpoint", once=True).awaitTermination()
+    return index_store.load_index(spark, root)["chunks"].select("id", "churn_count", "hotspot_score")
 
 
 def t3_stream_store(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,9 +71,10 @@ def t4_stream_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{home}/out").select("id", "tool_name", "raw_data")
 
 
-QUERIES = {"t1_stream_dirty_paths": t1_stream_dirty_paths, "t2_commit_updates": t2_commit_updates, "t3_stream_store": t3_stream_store, "t4_stream_captures": t4_stream_captures}
+QUERIES = {"t1_stream_dirty_paths": t1_stream_dirty_paths, "t1_incremental_index": t1_incremental_index, "t2_commit_updates": t2_commit_updates, "t3_stream_store": t3_stream_store, "t4_stream_captures": t4_stream_captures}
 SQL = {
     "t1_stream_dirty_paths": T1_SQL,
+    "t1_incremental_index": J.SQL["c4_update_index"],
     "t2_commit_updates": J.SQL["c5_apply_commits"],
     "t3_stream_store": J.dedup_sql(21600),
     "t4_stream_captures": "SELECT CAST(page_id AS VARCHAR) AS id, CASE WHEN page_id % 2 = 0 THEN 'web' ELSE 'note' END AS tool_name, url AS raw_data FROM pages",

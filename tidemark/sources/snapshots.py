@@ -8,24 +8,50 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def write_table(df: DataFrame, path: str, partition_by: tuple[str, ...] = ()) -> str:
-    """Writes a new version below path and gives its place. Its name sorts after all before it."""
+def write_table(df: DataFrame, path: str, partition_by: tuple[str, ...] | None = None, keep: int | None = None) -> str:
+    """Writes a new version below path and gives its place. Its name sorts after all before it. A table with a project
+    is partitioned by it unless told otherwise; with `keep`, versions before the last `keep` are removed."""
     spark = df.sparkSession
+    by = partition_by if partition_by is not None else tuple(c for c in ("project_id",) if c in df.columns and len(df.columns) > 1)
     row = spark.range(1).select(F.unix_micros(F.current_timestamp()).alias("t")).first()
     version = f"{path.rstrip('/')}/v={row.t:020d}-{uuid.uuid4().hex[:8]}"
-    df.write.partitionBy(*partition_by).parquet(version) if partition_by else df.write.parquet(version)
+    (df.repartition(*by).write.partitionBy(*by) if by else df.write).parquet(version)
+    if keep is not None:
+        remove_old(spark, path, keep)
     return version
 
 
+def file_system(spark: SparkSession, path: str):
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
+
+
+def files_below(spark: SparkSession, path: str) -> list[str]:
+    """Folders right below a path, by name."""
+    fs, where = file_system(spark, path)
+    return sorted(x.getPath().toString() for x in fs.listStatus(where) if x.isDirectory()) if fs.exists(where) else []
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    fs, where = file_system(spark, path)
+    fs.delete(where, True)
+
+
 def versions(spark: SparkSession, path: str) -> list[str]:
     """All whole versions, oldest first."""
-    jvm = spark.sparkContext._jvm
-    place = jvm.org.apache.hadoop.fs.Path(path)
-    fs = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(place):
-        return []
-    found = [x.getPath().toString() for x in fs.listStatus(place) if x.isDirectory()]
-    return sorted(x for x in found if fs.exists(jvm.org.apache.hadoop.fs.Path(f"{x}/_SUCCESS")))
+    found = files_below(spark, path)
+    fs, _ = file_system(spark, path)
+    return [x for x in found if fs.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{x}/_SUCCESS"))]
+
+
+def remove_old(spark: SparkSession, path: str, keep: int) -> list[str]:
+    """Removes all but the last `keep` whole versions, and what was left unfinished before them; gives those kept."""
+    kept = versions(spark, path)[-max(1, keep) :]
+    for x in files_below(spark, path):
+        if kept and x < kept[0]:
+            remove(spark, x)
+    return kept
 
 
 def read_table(spark: SparkSession, path: str) -> DataFrame:

@@ -1,7 +1,7 @@
 """Structured Streaming jobs: files and commits that change, requests to store, captures.
 
-Index tables live as snapshots (sources.snapshots): a batch reads the newest and writes the next, so a batch that is run
-again after a failure starts from what it did before and ends the same.
+An index lives in buckets that are published together (operators.index_store): a batch reads and writes those of its
+paths only, readers see whole batches, and a batch that is run again after a failure ends the same.
 """
 
 from __future__ import annotations
@@ -14,14 +14,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tidemark.functions.scalars import at_time, is_excluded, language_of
-from tidemark.operators.history import apply_commits
-from tidemark.operators.indexing import update_index
+from tidemark.operators.index_store import refresh_commits, refresh_files
 from tidemark.operators.memory import DEDUP_WINDOW, prepare_memories
 from tidemark.operators.vectors import Embedder
-from tidemark.sources.snapshots import read_table, write_table
 
 DRAIN = "500 milliseconds"
-INDEX_TABLES = ("chunks", "bridge", "vectors", "commits", "files")
 STORE_SCHEMA = "id string, project_id string, session_id string, content_hash string, title string, content string, created_at timestamp, kept boolean, dup_of string"
 
 
@@ -36,39 +33,21 @@ def started(stream: DataFrame, each: Callable[[DataFrame, int], None], checkpoin
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=DRAIN)).start()
 
 
-def load_index(spark, root: str) -> dict[str, DataFrame]:
-    return {t: read_table(spark, f"{root}/{t}") for t in INDEX_TABLES}
-
-
-def save_index(index: dict[str, DataFrame], root: str) -> None:
-    for t in INDEX_TABLES:
-        write_table(index[t], f"{root}/{t}")
-
-
-def run_incremental_index(stream: DataFrame, root: str, read_files: Callable[[DataFrame], DataFrame], changes: Callable[[], DataFrame], embedder: Embedder, now, checkpoint: str, once: bool = False) -> StreamingQuery:
-    """Keeps an index fresh: each batch's distinct dirty paths go to read_files, which gives (path, text, content_hash) of
-    those that still are; the others are dropped from the index."""
+def run_incremental_index(stream: DataFrame, root: str, read_files: Callable[[DataFrame], DataFrame], embedder: Embedder, now, checkpoint: str, once: bool = False) -> StreamingQuery:
+    """Keeps the index at root fresh: each batch's distinct dirty paths go to read_files, which gives (path, text,
+    content_hash) of those that still are; the others are dropped from the index."""
 
     def each(batch: DataFrame, _: int) -> None:
-        paths = batch.select("path").distinct()
-        if not paths.limit(1).count():
-            return
-        index = load_index(batch.sparkSession, root)
-        files = read_files(paths)
-        rest = index["files"].join(paths, "path", "left_anti")
-        keep = {"files": rest.unionByName(index["files"].join(paths, "path", "left_semi"))}
-        untouched = rest.withColumn("text", F.lit(None).cast("string")).select("path", "text", "content_hash")
-        save_index(update_index(index | keep, files.select("path", "text", "content_hash").unionByName(untouched), changes(), embedder, now), root)
+        refresh_files(batch.sparkSession, root, batch.select("path").distinct(), read_files, embedder, now)
 
     return started(stream_dirty_paths(stream), each, checkpoint, once)
 
 
-def run_commit_updates(stream: DataFrame, root: str, all_changes: Callable[[], DataFrame], now, checkpoint: str, once: bool = False) -> StreamingQuery:
+def run_commit_updates(stream: DataFrame, root: str, now, checkpoint: str, once: bool = False) -> StreamingQuery:
     """Each batch of new changes renews churn, hotspots and links of the files in it."""
 
     def each(batch: DataFrame, _: int) -> None:
-        if batch.limit(1).count():
-            save_index(apply_commits(load_index(batch.sparkSession, root), batch, all_changes(), now), root)
+        refresh_commits(batch.sparkSession, root, batch, now)
 
     return started(stream, each, checkpoint, once)
 
