@@ -204,3 +204,108 @@ def test_source_tree(spark, tmp_path):
         (tmp_path / name).write_bytes(raw)
     got = trees.read_source_tree(spark, str(tmp_path), ("gen/**",)).collect()
     assert {(r.path, r.language) for r in got} == {("src/a.rs", "rust"), ("docs/c.md", "markdown")}
+
+
+def test_keywords_of_every_length(spark):
+    """Posting lists give what a scan of all notes gives, for keywords of any length, case and script."""
+    texts = ["The quick brown Fox", "fox", "FO", "a%b_c \\ d", "tab\tand\nline", "日本語のテキスト", "ﬁn 😀😀x", "", "aaa", "aa", None]
+    table = notes(spark, *({"id": f"n{i:02}", "title": t, "content": f"c {t}" if i % 2 and t is not None else "-", "facts": [t] if t and i % 3 == 0 else None} for i, t in enumerate(texts)), {"id": "gone", "title": "fox", "status": "deleted"}, {"id": "far", "title": "fox", "project_id": "other"})
+    words = ["fox", "FOX", "fo", "f", "", "%b_", "\\", "b\n", "d\na", "本語", "日本語の", "😀x", "😀😀x", "aaaa", "aaa", "zzz", "c t", "k brown fox", '"fo', None, "\x01"]
+    queries = spark.createDataFrame([(f"q{i:02}", "p", w) for i, w in enumerate(words)], "query_id string, project_id string, keyword string")
+    from tidemark.functions.scalars import keyword_match
+    from tidemark.operators import lexical
+
+    held = table.filter("status = 'active'").withColumn("facts_json", F.to_json("facts"))
+    plain = queries.join(held, "project_id").filter(keyword_match("keyword", "title", "content", "facts_json"))
+    want = sorted((r.query_id, r.id) for r in plain.collect())
+    for grams in (None, lexical.build_gram_index(table)):
+        got = lexical.keyword_top_k(queries, table, 100, grams)
+        assert sorted((r.query_id, r.id) for r in got.collect()) == want and len(want) > 25
+    joins = lexical.keyword_top_k(queries, table, 100)._jdf.queryExecution().optimizedPlan().toString()
+    assert all("gram" in x or "(id#" in x or "query_id" in x for x in joins.split("\n") if "Join" in x)
+
+
+def test_terms_find_their_tokens_by_equality(spark):
+    from tidemark.operators import lexical
+
+    rows = spark.createDataFrame([("a", "alpha alphabet beta"), ("b", "alp ALPHA"), ("c", "βήτα beta_2"), ("d", "")], "id string, text string")
+    index = lexical.build_inverted_index(rows, ["text"])
+    asked = spark.createDataFrame([("1", "alph"), ("2", "be bet"), ("3", "βή x"), ("4", "")], "query_id string, query_text string")
+    got = {(r.query_id, r.id): r.score for r in lexical.bm25_top_k(asked, index, 9).collect()}
+    assert set(got) == {("1", "a"), ("1", "b"), ("2", "a"), ("2", "c"), ("3", "c")}
+    kept = lexical.build_prefix_dictionary(index)
+    assert {(r.query_id, r.id): r.score for r in lexical.bm25_top_k(asked, index, 9, kept).collect()} == got
+    assert {r.token for r in kept.filter("prefix = 'alp'").collect()} == {"alp", "alpha", "alphabet"}
+
+
+def test_a_refresh_writes_its_buckets_only(spark, tmp_path):
+    """Files of ten paths touch ten buckets at most; readers see whole versions; what no version names goes."""
+    from tidemark.operators import index_store
+    from tidemark.sources import bucketed
+
+    embedder, root, now = vectors.HashedWords(8), f"file://{tmp_path}/index", "2024-01-01 00:00:00"
+    source = lambda rows: spark.createDataFrame(sorted(rows.items()), "path string, text string").withColumn("content_hash", F.sha2("text", 256))
+    tree = {f"m{i}.md": f"# {i}\ntext {i}\n" for i in range(60)}
+    before = source(tree)
+    log = changes(spark, *((f"s{i:02}", "a change worth a note", f"m{i}.md") for i in range(60)))
+    index_store.build(spark, root, before, log, embedder, now, 32)
+    old = index_store.load_index(spark, root)
+    held = {t: [tuple(r) for r in old[t].collect()] for t in old}
+    new = {f"m{i}.md": "# new\n\n## more\n" for i in range(8)}
+    after = source({**{k: v for k, v in tree.items() if k not in ("m8.md", "m9.md")}, **new})
+    dirty = spark.createDataFrame([(f"m{i}.md",) for i in range(10)], "path string")
+    written = index_store.refresh_files(spark, root, dirty, lambda p: after.join(p, "path", "left_semi"), embedder, now)
+    assert 0 < len(written) <= 10
+    pointers = bucketed.pointer(spark, root).collect()
+    fresh = {r.version for r in pointers if r.name == "chunks" and r.bucket in written}
+    assert len(fresh - {None}) == 1 and not fresh & {r.version for r in pointers if r.bucket not in written}
+    want = indexing.build_index(after, log, embedder, now)
+    keys = {"chunks": ["id", "churn_count", "hotspot_score", "line_end"], "vectors": ["chunk_id", "embed_model"], "bridge": ["chunk_id", "commit_sha"], "files": ["path", "content_hash"]}
+    rows = lambda index, t: sorted(map(tuple, index[t].select(*keys[t]).collect()))
+    assert all(rows(index_store.load_index(spark, root), t) == rows(want, t) for t in keys)
+    # A reader of the version before still reads all of it.
+    assert all(sorted(map(str, held[t])) == sorted(str(tuple(r)) for r in old[t].collect()) for t in ("files", "chunks"))
+    more = changes(spark, ("t1", "another change to see", "m3.md"), ("t2", "another change to see", "m4.md"))
+    assert len(index_store.refresh_commits(spark, root, more, now)) <= 2
+    index_store.refresh_commits(spark, root, more, now)  # the batch comes again
+    now_there = {r.file_path: r.churn_count for r in index_store.load_index(spark, root)["chunks"].collect()}
+    assert now_there["m3.md"] == 2 and now_there["m5.md"] == 1 and "m9.md" not in now_there
+    kept = {f"v={r.version}"[2:] for r in bucketed.pointer(spark, root).collect() if r.version} | {r.version for p in bucketed.files_below(spark, f"{root}/pointer") for r in spark.read.schema(bucketed.POINTER).parquet(p).collect()}
+    assert len(bucketed.files_below(spark, f"{root}/pointer")) == 2
+    assert all(p.rsplit("/", 1)[1] in kept for p in bucketed.files_below(spark, f"{root}/chunks"))
+    # A refresh that never published is not seen.
+    index_store.load_index(spark, root)["chunks"].limit(1).withColumn("bucket", F.lit(1)).write.partitionBy("bucket").parquet(f"{root}/chunks/v=lost")
+    assert rows(index_store.load_index(spark, root), "files") == rows(want, "files")
+
+
+def test_histories_merge(spark):
+    from tidemark.operators import ranking as r
+
+    rows = [(f"c{i:03}", f"2024-01-{1 + i % 28:02}", "bump it up once more" if i % 3 == 0 else f"a change number {i}", f"f{i % 2}", i, 1) for i in range(120)]
+    every = spark.createDataFrame(rows, "sha string, day string, message string, path string, added long, deleted long").withColumn("ts", F.col("day").cast("timestamp_ntz"))
+    now, (a, b) = "2024-03-01", (every.filter("sha < 'c070'"), every.filter("sha >= 'c050'"))  # some come twice
+    merged, whole = history.merged_history(history.file_history(a, 30), history.file_history(b, 30), 30), history.file_history(every, 30)
+    assert sorted(map(str, merged.collect())) == sorted(map(str, whole.collect()))
+    stats = history.commit_file_stats(every)
+    assert sorted(map(tuple, history.history_scores(merged, now).collect())) == sorted(map(tuple, history.file_hotspots(stats, now).collect()))
+    assert sorted((x.path, x.sha) for x in history.history_commits(merged, 10).collect()) == sorted((x.path, x.sha) for x in r.recent_commits(stats, 10).collect())
+
+
+def test_source_tree_prunes_and_pushes(spark, tmp_path):
+    rows = [(f"src/d{i % 5}/e{i % 3}/f{i}.rs", f"fn f{i}() {{}}") for i in range(200)] + [("node_modules/x/a.js", "x"), ("gen/deep/b.rs", "y"), ("src/empty.md", None)]
+    trees.write_source_tree(spark.createDataFrame(rows, "path string, text string"), f"{tmp_path}/t")
+    want = sorted(p for p, _ in rows[:200] + rows[202:])
+    for folders in (1, 3, 64):
+        assert sorted(r.path for r in trees.read_source_tree(spark, f"file://{tmp_path}/t", ("gen/",), folders).collect()) == want
+    seen = []
+    reader = trees.TreeReader(f"file://{tmp_path}/t", ("gen/**",), 64)
+    listed = reader.listed
+    reader.listed = lambda folder: (seen.append(folder), listed(folder))[1]
+    rest = list(reader.pushFilters([trees.StringStartsWith(("path",), "src/d3/"), trees.EqualTo(("language",), "rust")]))
+    got = sorted(r for p in reader.partitions() for b in reader.read(p) for r in b.column("path").to_pylist())
+    assert got == sorted(p for p, _ in rows if p.startswith("src/d3/")) and [f.attribute for f in rest] == [("language",)]
+    assert set(seen) <= {"", "src", "src/d3", "src/d3/e0", "src/d3/e1", "src/d3/e2"}
+    one = trees.read_source_tree(spark, f"{tmp_path}/t").filter(F.col("path").isin("src/d1/e1/f1.rs", "none"))
+    assert [r.language for r in one.collect()] == ["rust"]
+    with pytest.raises(Exception, match="not a path below"):
+        trees.write_source_tree(spark.createDataFrame([("../x.rs", "")], "path string, text string"), f"{tmp_path}/u")

@@ -7,15 +7,18 @@ at most n of them. Commits that files of several buckets share lie in each; read
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators.history import UPDATE_LIMIT, apply_commits
-from tidemark.operators.indexing import update_index
+from tidemark.operators.indexing import build_index, update_index
 from tidemark.operators.vectors import Embedder
 from tidemark.sources.bucketed import BUCKETS, bucket_count, bucket_of, publish, read_tables
+from tidemark.sources.snapshots import remove
 
 
 def dealt(index: dict[str, DataFrame], buckets: int) -> dict[str, DataFrame]:
@@ -28,6 +31,27 @@ def dealt(index: dict[str, DataFrame], buckets: int) -> dict[str, DataFrame]:
     return tables | {"commits": index["commits"].join(named, "sha")}
 
 
+@contextmanager
+def staging(spark: SparkSession, root: str) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Writes rows below root and reads them again, until all that is made of them is published."""
+    path = f"{root}/staging-{uuid.uuid4().hex}"
+
+    def held(df: DataFrame) -> DataFrame:
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+
+    try:
+        yield held
+    finally:
+        remove(spark, path)
+
+
+def build(spark: SparkSession, root: str, files: DataFrame, changes: DataFrame, embedder: Embedder, now, buckets: int = BUCKETS) -> None:
+    """A full build of the index at root."""
+    with staging(spark, root) as held:
+        create_index(spark, build_index(files, changes, embedder, now, held), root, buckets)
+
+
 def create_index(spark: SparkSession, index: dict[str, DataFrame], root: str, buckets: int = BUCKETS) -> None:
     publish(spark, root, dealt(index, buckets), buckets)
 
@@ -53,8 +77,9 @@ def refresh_files(spark: SparkSession, root: str, paths: DataFrame, read_files:
     index = load_index(spark, root, touched)
     files = read_files(paths).select("path", "text", "content_hash")
     rest = index["files"].join(paths, "path", "left_anti").select("path", F.lit(None).cast("string").alias("text"), "content_hash")
-    fresh = update_index(index, files.unionByName(rest), None, embedder, now)
-    publish(spark, root, dealt(fresh, buckets), buckets, touched)
+    with staging(spark, root) as held:
+        fresh = update_index(index, files.unionByName(rest), None, embedder, now, held=held)
+        publish(spark, root, dealt(fresh, buckets), buckets, touched)
     return touched
 
 

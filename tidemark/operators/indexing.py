@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import ast
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -192,21 +192,22 @@ def history_tables(chunks: DataFrame, changes: DataFrame, now, limit: int = LIMI
     return tables_of(chunks, history, now, limit) | {"history": history}
 
 
-def build_index(files: DataFrame, changes: DataFrame, embedder: Embedder, now) -> dict[str, DataFrame]:
-    """All index tables of a tree of files and its history. A file without chunks is in the manifest too."""
-    chunks = chunks_of(files)
+def build_index(files: DataFrame, changes: DataFrame, embedder: Embedder, now, held: Callable[[DataFrame], DataFrame] = lambda df: df) -> dict[str, DataFrame]:
+    """All index tables of a tree of files and its history. A file without chunks is in the manifest too. held may write
+    the new chunks and read them again, so that files are parsed once for all tables."""
+    chunks = held(chunks_of(files))
     return history_tables(chunks, changes, now) | {"vectors": chunk_vectors(chunks, embedder), "files": files.filter(~is_excluded("path")).select("path", "content_hash")}
 
 
-def update_index(index: dict[str, DataFrame], files: DataFrame, changes: DataFrame | None, embedder: Embedder, now, partial: bool = False) -> dict[str, DataFrame]:
+def update_index(index: dict[str, DataFrame], files: DataFrame, changes: DataFrame | None, embedder: Embedder, now, partial: bool = False, held: Callable[[DataFrame], DataFrame] = lambda df: df) -> dict[str, DataFrame]:
     """The index after files changed: new and changed ones have their chunks, vectors and links replaced, deleted ones lose
     them, others keep theirs. Churn and links follow from the index's own history, merged with changes if there are any.
-    partial: files holds only some paths; absent ones aren't deleted."""
+    partial: files holds only some paths; absent ones aren't deleted. held is as in build_index."""
     history = index["history"] if changes is None else merged_history(index["history"], file_history(changes))
     diff = diff_manifest(files.filter(~is_excluded("path")), index["files"])
     gone = diff.filter(F.col("change").isin("changed", *([] if partial else ["deleted"]))).select(F.col("path").alias("file_path"))
     fresh = files.join(diff.filter("change in ('new', 'changed')").select("path"), "path", "left_semi")
-    chunks = chunks_of(fresh)
+    chunks = held(chunks_of(fresh))
     more = tables_of(chunks, history.join(fresh.select("path"), "path", "left_semi"), now)
     old = index["chunks"].join(gone, "file_path", "left_semi").select(F.col("id").alias("chunk_id"))
     keep = lambda t: index[t].join(old, "chunk_id", "left_anti")

@@ -2,22 +2,110 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
-from tidemark.functions.scalars import keyword_match, query_terms
+from tidemark.functions.scalars import lower_ascii, query_terms
 from tidemark.operators.ranking import top_k
 
+#: Bytes of a keyword's runs, and of a text that are looked at at once.
+GRAM, WINDOW = 3, 1 << 20
 K1, B = 1.2, 0.75
 #: Decimals of a score; ranks go by the rounded value, then by id.
 EXACT = 9
 
 
-def keyword_top_k(queries: DataFrame, memories: DataFrame, k: int) -> DataFrame:
+# A gram is a number: three bytes of UTF-8, or two, or one, or none, one kind after the other.
+PAIRS, ONES, NONE = 1 << 24, (1 << 24) + (1 << 16), (1 << 24) + (1 << 16) + (1 << 8)
+BITS = NONE + 1
+
+
+def distinct_grams(text: bytes, among: np.ndarray | None = None) -> np.ndarray:
+    """All grams of a text, once each; with `among` (a flag for each gram) those flagged."""
+    raw, out = np.frombuffer(text, np.uint8), [np.array([NONE], np.int32)]
+    for at in range(0, len(raw), WINDOW):
+        b = raw[at : at + WINDOW + GRAM - 1].astype(np.int32)
+        every = np.concatenate([b[:-2] << 16 | b[1:-1] << 8 | b[2:], PAIRS + (b[:-1] << 8 | b[1:]), ONES + b])
+        out.append(np.unique(every if among is None else every[among[every]]))
+    found = np.unique(np.concatenate(out))
+    return found if among is None else found[among[found]]
+
+
+def own_grams(keyword: bytes) -> np.ndarray:
+    """Grams of which a text that holds the keyword has all: runs of three bytes, or the keyword if it is shorter."""
+    every = distinct_grams(keyword)
+    return every[(every < PAIRS) if len(keyword) >= GRAM else (every >= PAIRS) & (every < ONES) if len(keyword) == 2 else (every >= ONES) & (every < NONE) if keyword else every == NONE]
+
+
+def with_grams(df: DataFrame, text: str, grams_of: Callable[[bytes], np.ndarray]) -> DataFrame:
+    """The other columns with each gram of the text."""
+    kept = [c for c in df.columns if c != text]
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [grams_of(value.as_py() or b"") for value in batch.column(text).cast(pa.large_binary())]
+            rows = np.repeat(np.arange(batch.num_rows), [len(x) for x in found])
+            columns = [batch.column(c).take(pa.array(rows)) for c in kept]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(np.concatenate([*found, np.zeros(0, np.int32)]).astype(np.int32))], names=[*kept, "gram"])
+
+    return df.mapInArrow(work, StructType([*(df.schema[c] for c in kept), StructField("gram", IntegerType())]))
+
+
+def bits_of(grams: DataFrame) -> bytes:
+    """The bit of every gram of a table, 2 MB whatever its size."""
+    size = 4096 * 8  # what bitmap_construct_agg makes
+    rows = grams.select((F.col("gram") / size).cast("int").alias("k"), (F.col("gram") % size).cast("long").alias("p")).groupBy("k").agg(F.expr("bitmap_construct_agg(p)").alias("bits")).collect()
+    out = bytearray(-(-BITS // size) * 4096)
+    for r in rows:
+        out[r.k * 4096 : (r.k + 1) * 4096] = bytes(r.bits).ljust(4096, b"\0")
+    return bytes(out)
+
+
+def lowered(memories: DataFrame) -> DataFrame:
+    """(project_id, id, created_at, title, content, facts_json): what the keyword match reads of active memories, in lower
+    case once for all queries."""
+    facts = F.to_json("facts").alias("facts_json")
+    held = memories.filter("status = 'active'").select("project_id", "id", "created_at", "title", "content", facts)
+    return held.withColumns({c: lower_ascii(c) for c in ("title", "content", "facts_json")})
+
+
+def build_gram_index(memories: DataFrame, among: bytes | None = None) -> DataFrame:
+    """(project_id, id, gram): posting lists of the grams of active memories (of some grams). A table of all may be kept
+    and given to keyword_top_k."""
+    text = F.concat_ws("\n", "title", "content", "facts_json")
+    flags: list[np.ndarray] = []  # made once in a worker
+
+    def grams(raw: bytes) -> np.ndarray:
+        if among is not None and not flags:
+            flags.append(np.unpackbits(np.frombuffer(among, np.uint8), bitorder="little").view(bool))
+        return distinct_grams(raw, flags[0] if flags else None)
+
+    return with_grams(lowered(memories).select("project_id", "id", text.alias("text")), "text", grams)
+
+
+def keyword_top_k(queries: DataFrame, memories: DataFrame, k: int, grams: DataFrame | None = None) -> DataFrame:
     """(query_id, project_id, id, rank): active memories of the query's project that hold its keyword literally, in
-    order of creation. One equi-join on the project; of each memory only what the match reads is shuffled."""
-    held = memories.filter("status = 'active'").select("project_id", "id", "created_at", "title", "content", F.to_json("facts").alias("facts_json"))
-    found = queries.select("query_id", "project_id", "keyword").join(held, "project_id").filter(keyword_match("keyword", "title", "content", "facts_json"))
+    order of creation.
+
+    Memories are found by posting lists of trigrams (grams, an index kept from before, or made here of the keywords' own
+    grams): how many memories of the project hold each trigram of a keyword is counted, and only the list of its rarest
+    one is joined; then the match is checked on the texts, which move once, by id. Keywords of one or two bytes have
+    lists of their own, and the empty keyword that of all. A null keyword finds nothing.
+    """
+    asked = queries.select("query_id", "project_id", lower_ascii("keyword").alias("keyword")).filter("keyword is not null")
+    parts = with_grams(asked.withColumn("_text", F.col("keyword")), "_text", own_grams)
+    index = build_gram_index(memories, bits_of(parts)) if grams is None else grams
+    lists = index.join(parts.select("project_id", "gram").distinct(), ["project_id", "gram"], "left_semi").groupBy("project_id", "gram").agg(F.count(F.lit(1)).alias("n"))
+    # A gram that no memory holds has no list, and then the keyword isn't found either.
+    rarest = parts.join(lists, ["project_id", "gram"], "left").groupBy("query_id", "project_id", "keyword").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("least"))
+    near = index.join(rarest.select("query_id", "project_id", "keyword", F.col("least.gram").alias("gram")), ["project_id", "gram"]).select("query_id", "project_id", "keyword", "id")
+    text = [F.coalesce(F.col(c).contains(F.col("keyword")), F.lit(False)) for c in ("title", "content", "facts_json")]
+    found = near.join(lowered(memories), ["project_id", "id"]).filter(text[0] | text[1] | text[2])
     return top_k(found.select("query_id", "project_id", "id", "created_at"), ["query_id"], [F.asc("created_at"), F.asc("id")], k).select("query_id", "project_id", "id", "rank")
 
 
@@ -28,14 +116,22 @@ def build_inverted_index(chunks: DataFrame, cols: list[str], id_col: str = "id")
     return tokens.select("id", F.size("tokens").alias("length"), F.explode("tokens").alias("token")).groupBy("token", "id", "length").agg(F.count(F.lit(1)).alias("tf")).select("token", "id", "tf", "length")
 
 
-def bm25_top_k(queries: DataFrame, index: DataFrame, k: int, n_rows: int | None = None) -> DataFrame:
+def build_prefix_dictionary(index: DataFrame) -> DataFrame:
+    """(prefix, token, df): every prefix of every token of an index, and how many rows hold the token. A term finds the
+    tokens that it begins by equality; the dictionary is as large as the vocabulary's letters, whatever the number of rows."""
+    words = index.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+    ends = F.sequence(F.lit(1), F.char_length("token"))
+    return words.select(F.explode(F.transform(ends, lambda n: F.substring("token", F.lit(1), n))).alias("prefix"), "token", "df")
+
+
+def bm25_top_k(queries: DataFrame, index: DataFrame, k: int, dictionary: DataFrame | None = None) -> DataFrame:
     """(query_id, id, score, rank): rows with a token that a term of the query begins. A row's score sums BM25 over all
-    pairs of a term and such a token. Terms are resolved on the vocabulary, by a join on the terms' first letter."""
+    pairs of a term and such a token. Terms are looked up in the prefix dictionary (one kept from before, or made here),
+    by equality, so that only their own tokens' postings are joined."""
     stats = index.select("id", "length").distinct().agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("mean"))
-    words = index.groupBy("token").agg(F.count(F.lit(1)).alias("df")).withColumn("head", F.substring("token", 1, 1))
-    terms = queries.select("query_id", F.explode(F.array_distinct(F.transform(query_terms("query_text"), F.lower))).alias("term")).withColumn("head", F.substring("term", 1, 1))
-    # A hot first letter only meets as many terms as begin with it; terms are few against tokens.
-    matched = words.join(terms, "head").filter(F.col("token").startswith(F.col("term"))).groupBy("query_id", "token", "df").agg(F.count(F.lit(1)).alias("times"))
+    terms = queries.select("query_id", F.explode(F.array_distinct(F.transform(query_terms("query_text"), F.lower))).alias("prefix"))
+    words = build_prefix_dictionary(index) if dictionary is None else dictionary
+    matched = words.join(terms, "prefix").groupBy("query_id", "token", "df").agg(F.count(F.lit(1)).alias("times"))
     hits = index.join(matched, "token").crossJoin(F.broadcast(stats))  # stats is one row
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean")))

@@ -49,10 +49,10 @@ def pending_captures(captures: DataFrame) -> DataFrame:
     return captures.filter("presented_at is null").withColumn("rank", place)
 
 
-def fuse_rrf(a: DataFrame, b: DataFrame, by: list[str], id_col: str, k: int = RRF_K) -> DataFrame:
+def fuse_rrf(a: DataFrame, b: DataFrame, by: list[str], id_col: str, k: int = RRF_K, keep: tuple[str, ...] = ()) -> DataFrame:
     """Each id of either ranked list once, with rank_a, rank_b and rrf = 1/(k+rank_a) + 1/(k+rank_b), a missing rank
-    giving 0."""
-    left, right = a.select(*by, id_col, F.col("rank").alias("rank_a")), b.select(*by, id_col, F.col("rank").alias("rank_b"))
+    giving 0. keep: further columns of the first list."""
+    left, right = a.select(*by, id_col, F.col("rank").alias("rank_a"), *keep), b.select(*by, id_col, F.col("rank").alias("rank_b"))
     part = lambda r: F.coalesce(1.0 / (F.lit(k) + F.col(r)), F.lit(0.0))
     return left.join(right, [*by, id_col], "full_outer").withColumn("rrf", part("rank_a") + part("rank_b"))
 

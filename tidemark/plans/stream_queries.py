@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.operators import index_store, indexing, vectors
+from tidemark.operators import index_store, vectors
 from tidemark.plans import job_queries as J
 from tidemark.plans.scalar_queries import EXCLUDED_SQL, LANGUAGE_SQL, PATHS_SQL
 from tidemark.plans.views import HISTORY_NOW, scratch, view
@@ -38,7 +38,7 @@ def t1_incremental_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     number = F.regexp_extract("path", r"/d(\d+)", 1).cast("long")
     before = files.filter(number % 7 != 5).withColumn("text", F.when(number % 7 == 2, F.lit("# old\n")).otherwise(F.col("text"))).withColumn("content_hash", F.sha2("text", 256))
     after = files.filter(number % 7 != 3)
-    index_store.create_index(spark, indexing.build_index(before, J.document_changes(spark, sf_dir), vectors.HashedWords(), HISTORY_NOW), root)
+    index_store.build(spark, root, before, J.document_changes(spark, sf_dir), vectors.HashedWords(), HISTORY_NOW)
     events = streamed(spark, sf_dir, "documents").filter("doc_id % 7 in (2, 3, 5)").select(J.document_path().alias("path"), F.lit("modify").alias("kind"))
     jobs.run_incremental_index(events, root, lambda paths: after.join(paths, "path", "left_semi"), vectors.HashedWords(), HISTORY_NOW, f"{root}/checkpoint", once=True).awaitTermination()
     return J.index_rows(index_store.load_index(spark, root))

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import json
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -58,14 +59,19 @@ def publish(spark: SparkSession, root: str, tables: dict[str, DataFrame], bucket
     publishes them together; other buckets and tables stay as they are."""
     old = [] if touched is None else pointer(spark, root).collect()
     version = f"v={uuid.uuid4().hex}"
-    new = []
-    for name, df in tables.items():
+
+    def write(name: str) -> list[tuple]:
+        df = tables[name]
         schema = StructType([f for f in df.schema.fields if f.name != "bucket"])
         path = f"{root}/{name}/{version}"
         # A bucket's rows lie together, so that a version has about one file for each bucket.
         df.select(*schema.names, "bucket").repartition("bucket").write.partitionBy("bucket").parquet(path)
         there = {int(p.rsplit("=", 1)[1]) for p in files_below(spark, path) if "bucket=" in p}
-        new += [(name, b, version if b in there else None, schema.json(), buckets) for b in (range(buckets) if touched is None else touched)]
+        return [(name, b, version if b in there else None, schema.json(), buckets) for b in (range(buckets) if touched is None else touched)]
+
+    # The tables' jobs run side by side; most are small.
+    with ThreadPoolExecutor(len(tables)) as pool:
+        new = [row for rows in pool.map(write, tables) for row in rows]
     fresh = {(r[0], r[1]) for r in new}
     rows = [tuple(r) for r in old if (r.name, r.bucket) not in fresh] + new
     write_table(spark.createDataFrame(rows, POINTER).coalesce(1), f"{root}/pointer")
