@@ -69,6 +69,29 @@ def test_repeats_hidden_by_fragments_in_smaller_documents(spark):
     assert not [r for r in found if r.doc_id in (1, 7, 8)]
 
 
+def test_near_repeats_behind_fragments_at_every_fifth_word(spark):
+    """Smaller documents hold, for every passage, each run of 44 words that begins at a fifth word: no context of the
+    passage is without one. 60 passages of each kind: 70 words with an edit, 100 with two, 150 with three."""
+    kinds = {70: 1, 100: 2, 150: 3}
+    passages = [prose(size) for size in kinds for _ in range(60)]
+    copies = []
+    for p in passages:
+        while True:  # edits that leave the passage similar
+            q = edited(p, kinds[len(p)])
+            a, b = ({tuple(x[i : i + 5]) for i in range(len(x) - 4)} for x in (p, q))
+            if len(a & b) >= 0.8 * len(a | b):
+                break
+        copies.append(q)
+    rows = [(j, " ".join(" ".join([*p[5 * j : 5 * j + 44], *prose(30)]) for p in passages if 5 * j + 44 <= len(p))) for j in range(22)]
+    rows += [(100 + n // 20, " ".join(" ".join([*p, *prose(30)]) for p in passages[n : n + 20])) for n in range(0, 180, 20)]
+    rows += [(200 + n, " ".join([*prose(30), *q, *prose(30)])) for n, q in enumerate(copies)]
+    found = sd.repeated_passages(spark.createDataFrame([(i, t, "x") for i, t in rows], SCHEMA)).collect()
+    for kind, size in enumerate(kinds):
+        share = np.mean([covered(found, 200 + n, 30, 30 + size) > 0.8 for n in range(60 * kind, 60 * kind + 60)])
+        assert share >= 0.9, (size, share)
+    assert not [r for r in found if r.doc_id < 200 and r.end_word - r.start_word >= 50]
+
+
 def test_near_repeats_against_brute_force(spark):
     """Pairs of passages of 50 to 120 words, edited, are judged by their token sets; of those of similarity 0.8 or more
     at least 0.9 are found, and clean documents have none."""

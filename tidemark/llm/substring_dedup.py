@@ -12,8 +12,9 @@ too short for a passage are left out, so about 2/46 of the tokens head one. Then
    length come again are cut out (where they are too unlike, those of 8 in 9), and kept if the token sets' Jaccard
    similarity is 0.8 or more.
 5. The smallest document may hold a token in another context than later documents share. Windows that lie in no verified
-   passage meet again by wider contexts: the words from the least token on, and those up to it, CONTEXTS tokens wide. Each
-   is joined to the smallest document (and place) of every such context, and verified as in 4.
+   passage meet again by wider contexts: the words from the least token on, and those up to it, CONTEXTS tokens wide; and
+   the least token together with the one APART tokens after or before it, which a fragment shorter than a passage
+   can't hold. Each is joined to the smallest document (and place) of every such key, and verified as in 4.
 6. Where a window of the first function still lies in no verified passage, every run of 50 words around its least token
    is hashed, in all documents with such a window and the same 28 words before or after that token, and joined to the
    smallest document with the same run. A run of 50 words has its least token in exactly one window, so this finds all
@@ -51,6 +52,9 @@ SPAN = WORDS - K + 1
 HALF = SPAN // 2 + 1
 #: Tokens of the contexts by which unverified windows meet again; the last serves the exact runs too.
 CONTEXTS = (12, HALF)
+#: They meet again by pairs of tokens so far apart too, which only a document that holds (nearly) a passage's length of
+#: both can share: shorter fragments can't. Neighbours let a word put in or left out between them pass.
+APART = (41, 42, 45, 46)
 SIMILARITY = 0.8
 #: Of the tokens of every passage length in a run, how many must come again.
 LOOSE, DENSE = 3 / 4, 8 / 9
@@ -130,6 +134,19 @@ def contexts(words: np.ndarray, at: np.ndarray, c: np.ndarray) -> list[np.ndarra
     return out
 
 
+def partners(tokens: np.ndarray, at: np.ndarray, c: np.ndarray) -> list[np.ndarray]:
+    """For each distance of APART, keys of a token with the one so far after it and before it; 0 where a text ends first."""
+    text = np.searchsorted(at, c, "right") - 1
+    out = []
+    for n in APART:
+        far, back = c + n + K <= at[text + 1], c - n >= at[text]
+        after, before = np.zeros(len(c), np.uint64), np.zeros(len(c), np.uint64)
+        after[far] = mix(mix(tokens[c[far]]) + tokens[c[far] + n])
+        before[back] = mix(mix(tokens[c[back] - n] ^ np.uint64(1)) + tokens[c[back]])
+        out += [after.view(np.int64), before.view(np.int64)]
+    return out
+
+
 def short(tokens: np.ndarray) -> bytes:
     return np.ascontiguousarray(tokens).view(np.uint8).reshape(-1, 8)[:, :TOKEN_BYTES].tobytes()
 
@@ -187,7 +204,7 @@ def whole_copies(s: Scratch, docs: DataFrame) -> DataFrame:
 def meetings(s: Scratch, docs: DataFrame, copies: DataFrame) -> DataFrame:
     """(sig, doc, window, keys, source, source_window): windows whose least token another document has at the head of one
     too, with the group's smallest window. window packs the least token's place, the tokens before and after it, and
-    the function; keys are its contexts."""
+    the function; keys are its contexts and its pairs with tokens further off."""
     gone = copies.select(F.col("doc_id").alias("doc")).distinct()
     doubtful = id_filter(gone, "doc")
     marked = docs.withColumn("bit", filter_bit("doc_id"))
@@ -207,8 +224,8 @@ def meetings(s: Scratch, docs: DataFrame, copies: DataFrame) -> DataFrame:
                     window = (c - at[text]) << 22 | np.minimum(c - low, REACH) << 12 | np.minimum(high - c, REACH) << 2 | f
                     columns = [rows.column("doc_id").take(pa.array(text)), pa.array(sig), pa.array(window)]
                     if wanted is not None:
-                        flat = np.stack(contexts(words, at, c), axis=1).reshape(-1)
-                        columns.append(pa.ListArray.from_arrays(pa.array(np.arange(len(c) + 1, dtype=np.int32) * 2 * len(CONTEXTS)), pa.array(flat)))
+                        keys = np.stack([*contexts(words, at, c), *partners(tokens, at, c)], axis=1)
+                        columns.append(pa.ListArray.from_arrays(pa.array(np.arange(len(c) + 1, dtype=np.int32) * keys.shape[1]), pa.array(keys.reshape(-1))))
                     yield pa.RecordBatch.from_arrays(columns, names=["doc", "sig", "window", "keys"][: len(columns)])
 
             return windows
