@@ -50,8 +50,8 @@ K, WORDS, FUNCTIONS, ENOUGH, DRIFT = 5, 50, 3, 2, 8
 SPAN = WORDS - K + 1
 #: Tokens from a run's least one to its farther end, at least.
 HALF = SPAN // 2 + 1
-#: Tokens of the contexts by which unverified windows meet again; the last serves the exact runs too.
-CONTEXTS = (12, HALF)
+#: Tokens of the contexts by which unverified windows meet again; they serve the exact runs too.
+CONTEXTS = (HALF,)
 #: They meet again by pairs of tokens so far apart too, which only a document that holds (nearly) a passage's length of
 #: both can share: shorter fragments can't. Neighbours let a word put in or left out between them pass.
 APART = (41, 42, 45, 46)
