@@ -309,3 +309,27 @@ def test_source_tree_prunes_and_pushes(spark, tmp_path):
     assert [r.language for r in one.collect()] == ["rust"]
     with pytest.raises(Exception, match="not a path below"):
         trees.write_source_tree(spark.createDataFrame([("../x.rs", "")], "path string, text string"), f"{tmp_path}/u")
+
+
+def test_symbol_history_by_line_buckets_equals_all_pairs(spark):
+    """Most changes are of one file; some are longer than a bucket, empty (they end before they start) or without lines."""
+    import random
+
+    from tidemark.operators import history
+
+    rng = random.Random(5)
+    symbols = [(f"s{n}", "hot" if n % 4 else "cold", (a := rng.randrange(3000)), a + rng.choice([0, 5, 40, 255, 256, 900])) for n in range(60)] + [("none", "hot", None, 5)]
+    hunks = [("hot" if n % 10 else "cold", (a := rng.randrange(3000)), a + rng.choice([-1, 0, 3, 30, 256, 700]), f"{n:07d}", n // 3) for n in range(300)] + [("hot", 1, None, "x", 1)]
+    got = history.symbol_history(
+        spark.createDataFrame(symbols, "id string, file_path string, line_start int, line_end int"),
+        spark.createDataFrame([(*h[:4], h[4], "me", "m") for h in hunks], "path string, start int, end int, sha string, t long, author string, message string").selectExpr("*", "timestamp_seconds(t) as ts"),
+    )
+    want = {}
+    for i, path, first, last in symbols:
+        if first is not None:
+            over = [h for h in hunks if h[0] == path and h[2] is not None and h[1] <= last and h[2] >= first]
+            want[i] = [h[3] for h in sorted(over, key=lambda h: (-h[4], h[3]))[:8]]
+    found = {}
+    for r in sorted(got.collect(), key=lambda r: (r.id, r["rank"])):
+        found.setdefault(r.id, []).append(r.text[:7])
+    assert found == {i: shas for i, shas in want.items() if shas}

@@ -12,6 +12,8 @@ LIMIT, UPDATE_LIMIT = 10, 50
 #: Newest commits of a file that its history keeps: what both limits need.
 KEPT = 3 * UPDATE_LIMIT
 EXACT = 9
+#: Lines of a bucket by which changes meet symbols.
+LINES = 256
 
 
 def commit_file_stats(changes: DataFrame, repo: bool = False) -> DataFrame:
@@ -46,10 +48,21 @@ def link_chunks(chunks: DataFrame, file_commits: DataFrame) -> DataFrame:
     return chunks.select(F.col("id").alias("chunk_id"), "file_path").join(file_commits.select(F.col("path").alias("file_path"), F.col("sha").alias("commit_sha")).distinct(), "file_path").select("chunk_id", "commit_sha").distinct()
 
 
+def by_lines(rows: DataFrame, first: str, last: str, name: str) -> DataFrame:
+    """Each row once for every bucket of its lines, with its first one as `name`."""
+    low, high = (F.floor(of(first, last) / LINES) for of in (F.least, F.greatest))
+    lines = rows.filter(F.col(first).isNotNull() & F.col(last).isNotNull())
+    return lines.withColumn(name, low).withColumn("_bucket", F.explode(F.sequence(low, high)))
+
+
 def symbol_history(symbols: DataFrame, hunks: DataFrame, n: int = 8) -> DataFrame:
-    """(id, rank, text): the newest n changes whose lines overlap a symbol's, `sha7 message (author, date)`."""
-    own = symbols.select("id", F.col("file_path").alias("path"), "line_start", "line_end")
-    over = hunks.join(own, "path").filter("start <= line_end and `end` >= line_start").select("id", "sha", "ts", "author", "message").distinct()
+    """(id, rank, text): the newest n changes whose lines overlap a symbol's, `sha7 message (author, date)`. They meet by
+    path and bucket of lines, a pair in its first common bucket only, so a file of most changes is many keys. Rows
+    without lines overlap nothing."""
+    own = by_lines(symbols.select("id", F.col("file_path").alias("path"), "line_start", "line_end"), "line_start", "line_end", "_own")
+    changed = by_lines(hunks.select("path", "start", "end", "sha", "ts", "author", "message"), "start", "end", "_first")
+    near = changed.join(own, ["path", "_bucket"]).filter(F.col("_bucket") == F.greatest("_own", "_first"))
+    over = near.filter("start <= line_end and `end` >= line_start").select("id", "sha", "ts", "author", "message").distinct()
     text = F.concat(F.substring("sha", 1, 7), F.lit(" "), F.col("message"), F.lit(" ("), F.col("author"), F.lit(", "), F.substring(F.col("ts").cast("string"), 1, 10), F.lit(")"))
     return top_k(over, ["id"], [F.desc("ts"), F.asc("sha")], n).select("id", "rank", text.alias("text"))
 
