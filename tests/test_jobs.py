@@ -333,3 +333,15 @@ def test_symbol_history_by_line_buckets_equals_all_pairs(spark):
     for r in sorted(got.collect(), key=lambda r: (r.id, r["rank"])):
         found.setdefault(r.id, []).append(r.text[:7])
     assert found == {i: shas for i, shas in want.items() if shas}
+
+
+def test_symbols_of_odd_files(spark):
+    """Nulls, empty and unbalanced files, marks in the text, strings that never end, a very long file."""
+    texts = [
+        ("null.c", None), ("empty.go", ""), ("open.java", "class A {\n  int f() {\n"), ("shut.rs", "}}}\nfn f() {\n}\n"), ("mark.js", "function a\x01b() {}\nfunction c() { return '\x02' }\n"),
+        ("string.kt", 'fun f() {\n  val s = "never ends\n}\n'), ("long.c", "int f(int a)\n{\n" + '  s = "}\\\\";\n' * 20_000 + "}\nint g(void) { }\n"), ("x.unknown", "fn f() {}"),
+    ]
+    got = {(r.path, r.qualified_name): (r.line_start, r.line_end) for r in indexing.extract_symbols(spark.createDataFrame(texts, "path string, text string")).collect()}
+    assert got == {("open.java", "A"): (1, 2), ("open.java", "A.f"): (2, 2), ("shut.rs", "f"): (2, 3), ("mark.js", "c"): (2, 2), ("string.kt", "f"): (1, 3), ("long.c", "f"): (1, 20_003), ("long.c", "g"): (20_004, 20_004)}
+    none = indexing.extract_symbols(spark.createDataFrame([], "path string, text string"))
+    assert none.count() == 0

@@ -1,7 +1,7 @@
 """The code index: what changed, sections and symbols of files, a full build and a refresh.
 
 files: path, text, content_hash. Sections are cut with SQL functions; symbols of Python come from its own parser, those
-of Rust, TypeScript, JavaScript, Go and Java from the shape of declarations and matching braces.
+of other languages from their tokens and scopes (operators.symbols).
 """
 
 from __future__ import annotations
@@ -17,9 +17,10 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.scalars import BLANK_ENDS, build_embed_text, chunk_strategy, is_excluded, language_of, lines_of
 from tidemark.operators.history import LIMIT, file_history, history_commits, history_scores, link_chunks, merged_history, with_hotspots
+from tidemark.operators.symbols import PREVIEW_LINES, code_symbols
 from tidemark.operators.vectors import Embedder, embed_text
 
-PREVIEW_LINES, NAME_CHARS = 8, 120
+NAME_CHARS = 120
 #: Where a section begins, by language.
 BOUNDARIES = {
     "markdown": r"^#{1,6}\s",
@@ -64,15 +65,6 @@ def chunk_sections(files: DataFrame) -> DataFrame:
     )
 
 
-DECLARATIONS = {
-    "rust": [("function", r"^\s*(?:pub(?:\([^)]*\))?\s+)?(?:const\s+|async\s+|unsafe\s+|extern\s+\"[^\"]*\"\s+)*fn\s+(\w+)"), ("struct", r"^\s*(?:pub(?:\([^)]*\))?\s+)?struct\s+(\w+)"), ("enum", r"^\s*(?:pub(?:\([^)]*\))?\s+)?enum\s+(\w+)"), ("interface", r"^\s*(?:pub(?:\([^)]*\))?\s+)?trait\s+(\w+)"), ("scope", r"^\s*impl(?:<[^>]*>)?\s+(?:[\w:<>, ]+\s+for\s+)?(\w+)")],
-    "typescript": [("function", r"^\s*(?:export\s+)?(?:default\s+)?(?:async\s+)?function\*?\s+(\w+)"), ("class", r"^\s*(?:export\s+)?(?:default\s+)?(?:abstract\s+)?class\s+(\w+)"), ("interface", r"^\s*(?:export\s+)?interface\s+(\w+)"), ("enum", r"^\s*(?:export\s+)?(?:const\s+)?enum\s+(\w+)"), ("type", r"^\s*(?:export\s+)?type\s+(\w+)"), ("function", r"^\s*(?:export\s+)?const\s+(\w+)\s*(?::[^=]+)?=\s*(?:async\s*)?\([^)]*\)[^=]*=>"), ("method", r"^\s+(?:(?:public|private|protected|static|async|readonly)\s+)*(?!if|for|while|switch|return|catch|function)(\w+)\s*\([^)]*\)\s*(?::[^{]+)?\{")],
-    "go": [("method", r"^func\s+\(\w*\s*\*?(\w+)[^)]*\)\s+(\w+)"), ("function", r"^func\s+(\w+)"), ("struct", r"^type\s+(\w+)\s+struct"), ("interface", r"^type\s+(\w+)\s+interface"), ("type", r"^type\s+(\w+)")],
-    "java": [("class", r"^\s*(?:(?:public|private|protected|static|final|abstract)\s+)*class\s+(\w+)"), ("interface", r"^\s*(?:(?:public|private|protected|static)\s+)*interface\s+(\w+)"), ("enum", r"^\s*(?:(?:public|private|protected|static)\s+)*enum\s+(\w+)"), ("method", r"^\s+(?:(?:public|private|protected|static|final|abstract|synchronized)\s+)+[\w<>\[\], ]+\s+(\w+)\s*\([^)]*\)[^;]*\{?$")],
-}
-DECLARATIONS["javascript"] = DECLARATIONS["tsx"] = DECLARATIONS["typescript"]
-
-
 def preview_of(lines: list[str]) -> str | None:
     return "\n".join([x for x in lines if x.strip()][:PREVIEW_LINES]) or None
 
@@ -102,66 +94,17 @@ def python_symbols(text: str) -> list[tuple]:
     return out
 
 
-def block_end(lines: list[str], start: int) -> int:
-    """The line on which the braces that a declaration opens are closed; the declaration's own end if it opens none."""
-    depth, opened = 0, False
-    for n in range(start, len(lines)):
-        code = re.sub(r"\"(?:\\.|[^\"\\])*\"|'(?:\\.|[^'\\])'|//.*$", "", lines[n])
-        for c in code:
-            depth += (c == "{") - (c == "}")
-            opened = opened or c == "{"
-        if opened and depth <= 0 or not opened and code.rstrip().endswith(";"):
-            return n
-    return len(lines) - 1 if opened else start
-
-
-def brace_symbols(text: str, language: str) -> list[tuple]:
-    lines, out, scopes = text.split("\n"), [], []
-    rules = [(kind, re.compile(p)) for kind, p in DECLARATIONS[language]]
-    between = "::" if language == "rust" else "."
-    for n, line in enumerate(lines):
-        scopes = [s for s in scopes if s[1] >= n]
-        for kind, rule in rules:
-            m = rule.match(line)
-            if not m:
-                continue
-            end, owner, name = block_end(lines, n), scopes[-1][0] if scopes else None, m.group(m.lastindex)
-            if language == "go" and kind == "method":
-                owner = m.group(1)
-            if kind == "scope":
-                scopes.append((name, end))
-                break
-            if kind == "method" and not owner:
-                break
-            doc = []
-            for above in reversed(lines[:n]):
-                if not re.match(r"\s*(///|//|/\*|\*|#\[|@)", above):
-                    break
-                if not re.match(r"\s*(#\[|@)", above):
-                    doc.insert(0, above.strip())
-            head = re.split(r"\{", "\n".join(lines[n : end + 1]), maxsplit=1)[0]
-            kind = "method" if owner and kind == "function" and language in ("rust", "go") else kind
-            out.append((name, f"{owner}{between}{name}" if owner else name, kind, re.sub(r"[\s{:;]+$", "", " ".join(head.split())), "\n".join(doc) or None, preview_of(lines[n + 1 : end + 1]), n + 1, end + 1))
-            if kind in ("class", "interface", "struct") and end > n:
-                scopes.append((name, end))
-            break
-    return out
-
-
 def extract_symbols(files: DataFrame) -> DataFrame:
-    """Symbols of code files of the languages known here; other files give none. Lines count from 1."""
+    """Symbols of code files; other files give none. Lines count from 1."""
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         columns = [x.split()[0] for x in CHUNK_SCHEMA.split(", ")]
         for rows in batches:
-            out = []
-            for path, text, language in zip(rows["path"], rows["text"], rows["language"], strict=True):
-                found = python_symbols(text) if language == "python" else brace_symbols(text, language)
-                out += [(path, *x) for x in found]
+            out = [(path, *x) for path, text in zip(rows["path"], rows["text"], strict=True) for x in python_symbols(text)]
             yield pd.DataFrame(out, columns=columns)
 
-    known = files.select("path", F.coalesce("text", F.lit("")).alias("text"), language_of("path").alias("language")).filter(F.col("language").isin("python", *DECLARATIONS))
-    return known.mapInPandas(work, CHUNK_SCHEMA)
+    known = files.select("path", F.coalesce("text", F.lit("")).alias("text"), language_of("path").alias("language"))
+    return known.filter("language = 'python'").mapInPandas(work, CHUNK_SCHEMA).unionByName(code_symbols(known))
 
 
 def chunks_of(files: DataFrame) -> DataFrame:

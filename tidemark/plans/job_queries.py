@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.scalars import content_hash
 from tidemark.operators import history, indexing, lexical, memory, ranking, retrieval, vectors
 from tidemark.plans.scalar_queries import AGE_SQL, BODY_HASH_SQL, BOOST_SQL, COSINE_SQL, RETENTION_SQL, SIGNIFICANT_SQL, commit_weight_sql, low, sanitize_sql
+from tidemark.plans.symbol_samples import SAMPLES, found_sql
 from tidemark.plans.views import HISTORY_NOW, MODEL, NOW, scratch, view, with_views
 from tidemark.sources import git_log, requests, snapshots, trees
 
@@ -560,6 +561,21 @@ def c2(s, d):
     return indexing.extract_symbols(both)
 
 
+SYMBOLS_SQL = f"""WITH found(ending, name, full_name, kind, line_start, line_end) AS (VALUES {found_sql()})
+SELECT 'p' || page_id || '.' || ending AS path, replace(name, '§', CAST(page_id AS VARCHAR)) AS symbol_name, replace(full_name, '§', CAST(page_id AS VARCHAR)) AS qualified_name,
+  kind AS symbol_kind, CAST(line_start AS BIGINT) AS line_start, CAST(line_end AS BIGINT) AS line_end FROM pages, found"""
+
+
+@query("c2_symbols_by_language", SYMBOLS_SQL)
+def c2_by_language(s, d):
+    """Each page's number and address inside a small file of every language."""
+    p = s.read.parquet(f"{d}/pages.parquet")
+    number, address = F.col("page_id").cast("string"), F.regexp_replace(F.coalesce("url", F.lit("")), r"[^\w.:/?=&-]|\*/", " ")
+    kinds = F.explode(F.array(*(F.struct(F.lit(end).alias("ending"), F.lit(text).alias("sample")) for end, (text, _) in SAMPLES.items())))
+    files = p.select(number.alias("number"), address.alias("address"), kinds.alias("k")).select(F.concat(F.lit("p"), "number", F.lit("."), "k.ending").alias("path"), F.replace("k.sample", F.lit("§"), F.col("number")).alias("text"), "address")
+    return indexing.extract_symbols(files.select("path", F.replace("text", F.lit("^"), F.col("address")).alias("text"))).select("path", "symbol_name", "qualified_name", "symbol_kind", "line_start", "line_end")
+
+
 def index_of(s, d, changes=None):
     changes = view(s, d, "changes_v") if changes is None else changes
     chunks = view(s, d, "chunks_v")
