@@ -21,3 +21,11 @@ def test_bm25_joins_postings_once_for_queries_alike_and_never_broadcasts_them(sp
     assert sorted(rows) == ["q1", "q2", "q3", "q4"]
     assert sorted(rows["q1"]) == sorted(rows["q2"]) == sorted(rows["q3"])
     assert [x[1] for x in sorted(rows["q1"])] == ["c00", "c01", "c02", "c03", "c04"] and [x[1] for x in sorted(rows["q4"])] == ["c00", "c02", "c04", "c06", "c08"]
+
+
+def test_keywords_alike_are_joined_once_and_never_with_all_notes_of_a_project(spark):
+    notes = spark.createDataFrame([(f"m{n}", "p", "active", n, f"Note {n}", "Red ring" if n % 2 else "blue", None) for n in range(9)], "id string, project_id string, status string, created_at int, title string, content string, facts array<string>")
+    queries = spark.createDataFrame([("q1", "p", "RED"), ("q2", "p", "red"), ("q3", "p", "note 8"), ("q4", "p", None), ("q5", "x", "red"), ("q6", "p", "")], "query_id string, project_id string, keyword string")
+    assert sorted((r.keyword, r.id) for r in lexical.keyword_pairs(queries.filter("keyword <> ''"), notes).collect()) == [("note 8", "m8"), *(("red", f"m{n}") for n in (1, 3, 5, 7))]
+    assert {r.query_id: r.hits for r in lexical.keyword_hits(queries, notes).collect()} == {"q1": 4, "q2": 4, "q3": 1, "q6": 9}
+    assert sorted((r.query_id, r["rank"], r.id) for r in lexical.keyword_top_k(queries.filter("keyword <> ''"), notes, 2).collect()) == [("q1", 0, "m1"), ("q1", 1, "m3"), ("q2", 0, "m1"), ("q2", 1, "m3"), ("q3", 0, "m8")]
