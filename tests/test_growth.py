@@ -1,8 +1,10 @@
 """Steps whose work grows with the input: their plans, and their rows on data that would multiply."""
 
-from pyspark.sql import functions as F
+import datetime
+import random
+import re
 
-from tidemark.operators import lexical
+from tidemark.operators import history, lexical
 
 
 def plan(df):
@@ -29,3 +31,28 @@ def test_keywords_alike_are_joined_once_and_never_with_all_notes_of_a_project(sp
     assert sorted((r.keyword, r.id) for r in lexical.keyword_pairs(queries.filter("keyword <> ''"), notes).collect()) == [("note 8", "m8"), *(("red", f"m{n}") for n in (1, 3, 5, 7))]
     assert {r.query_id: r.hits for r in lexical.keyword_hits(queries, notes).collect()} == {"q1": 4, "q2": 4, "q3": 1, "q6": 9}
     assert sorted((r.query_id, r["rank"], r.id) for r in lexical.keyword_top_k(queries.filter("keyword <> ''"), notes, 2).collect()) == [("q1", 0, "m1"), ("q1", 1, "m3"), ("q2", 0, "m1"), ("q2", 1, "m3"), ("q3", 0, "m8")]
+
+
+def test_symbol_history_in_cells_equals_all_pairs(spark):
+    rng = random.Random(5)
+    lines = lambda: (s := rng.choice([0, 1, rng.randrange(60), rng.randrange(20000)]), s + rng.choice([-9, -2, -1, 0, 1, 5, 40, 9000]))
+    symbols = [(f"s{n:03}", "ab"[n % 2], *lines()) for n in range(150)] + [("none", "a", None, 5)]
+    hunks = [("ab"[n % 3 == 0], *lines(), f"{rng.randrange(150):040}", datetime.datetime(2024, 1, 1 + rng.randrange(9)), f"u{n % 2}", f"m{n % 3}") for n in range(400)] + [("a", 3, None, "x" * 40, datetime.datetime(2025, 1, 1), "u", "m")]
+    s = spark.createDataFrame(symbols, "id string, file_path string, line_start long, line_end long")
+    h = spark.createDataFrame(hunks, "path string, start long, `end` long, sha string, ts timestamp_ntz, author string, message string")
+    found = history.symbol_history(s, h, 4)
+    want = set()
+    for i, path, low, high in symbols[:-1]:
+        over = {(-x[4].day, x[3], x[6], x[5]) for x in hunks[:-1] if x[0] == path and x[1] <= high and x[2] >= low}
+        want |= {(i, k, f"{sha[:7]} {m} ({u}, 2024-01-{-d:02})") for k, (d, sha, m, u) in enumerate(sorted(over)[:4])}
+    got = {(r.id, r["rank"], r.text) for r in found.collect()}
+    assert (sorted(got - want)[:3], sorted(want - got)[:3]) == ([], [])
+
+
+def test_symbol_history_of_one_file_makes_no_pairs(spark):
+    s = spark.range(2000).selectExpr("concat('s', id) AS id", "'f' AS file_path", "id AS line_start", "id + 1500 AS line_end")
+    h = spark.range(4000).selectExpr("'f' AS path", "id AS start", "id + 900 AS `end`", "sha1(cast(id AS string)) AS sha", "timestamp_ntz'2024-01-01 00:00:00' AS ts", "'u' AS author", "'m' AS message")
+    found = history.symbol_history(s, h)
+    assert found.count() == 16000
+    joins = re.findall(r"Join \[[^]]*\]", plan(found))
+    assert any("cell#" in x for x in joins), joins
