@@ -4,7 +4,7 @@ import datetime
 import random
 import re
 
-from tidemark.operators import history, lexical
+from tidemark.operators import history, lexical, retrieval
 
 
 def plan(df):
@@ -56,3 +56,16 @@ def test_symbol_history_of_one_file_makes_no_pairs(spark):
     assert found.count() == 16000
     joins = re.findall(r"Join \[[^]]*\]", plan(found))
     assert any("cell#" in x for x in joins), joins
+
+
+def test_symbol_requests_alike_are_ranked_once(spark):
+    chunks = spark.createDataFrame([(f"c{n:02}", f"f{n % 3}", "go", "A::go", n, n % 2, 0.5) for n in range(30)], "id string, file_path string, symbol_name string, qualified_name string, line_start int, churn_count int, hotspot_score double")
+    asked = spark.createDataFrame([("r1", "go", None), ("r2", "go", None), ("r3", "A::go", "f1"), ("r4", "go", "f1"), ("r5", "no", None)], "request_id string, name string, file_path string")
+    none = spark.createDataFrame([], "chunk_id string, commit_sha string"), spark.createDataFrame([], "sha string, message string")
+    found = retrieval.get_symbol(asked, chunks, *none)
+    assert re.search(r"Join \[name#\d+, (in_file|file_path)#\d+\]", plan(found))
+    rows = {}
+    for r in sorted(found.collect(), key=lambda r: r["rank"]):
+        rows.setdefault(r.request_id, []).append(r.id)
+    assert sorted(rows) == ["r1", "r2", "r3", "r4"] and rows["r1"] == rows["r2"] == [f"c{n:02}" for n in (*range(1, 30, 2), *range(0, 10, 2))]
+    assert rows["r3"] == rows["r4"] == [f"c{n:02}" for n in range(1, 30, 3)]
