@@ -4,7 +4,9 @@ import datetime
 import random
 import re
 
-from tidemark.operators import history, lexical, retrieval
+from pyspark.sql import functions as F
+
+from tidemark.operators import history, lexical, ranking, retrieval
 
 
 def plan(df):
@@ -69,3 +71,29 @@ def test_symbol_requests_alike_are_ranked_once(spark):
         rows.setdefault(r.request_id, []).append(r.id)
     assert sorted(rows) == ["r1", "r2", "r3", "r4"] and rows["r1"] == rows["r2"] == [f"c{n:02}" for n in (*range(1, 30, 2), *range(0, 10, 2))]
     assert rows["r3"] == rows["r4"] == [f"c{n:02}" for n in range(1, 30, 3)]
+
+
+def test_top_k_prunes_groups_before_the_shuffle(spark):
+    rows = spark.range(1000, numPartitions=4).selectExpr("id % 3 AS g", "id AS n")
+    first = ranking.top_k(rows, ["g"], [F.desc("n")], 2)
+    assert re.search(r"WindowGroupLimit \[g#\d+L\].*Partial", plan(first)), plan(first)
+    assert sorted((r.g, r["rank"], r.n) for r in first.collect()) == [(0, 0, 999), (0, 1, 996), (1, 0, 997), (1, 1, 994), (2, 0, 998), (2, 1, 995)]
+
+
+def test_searches_run_in_steps_of_small_plans(spark):
+    queries = spark.createDataFrame([("q1", "p", "red", [1.0, 0.0]), ("q2", "p", "ring", [0.0, 1.0])], "query_id string, project_id string, keyword string, embedding array<double>").withColumn("query_text", F.col("keyword"))
+    chunks = spark.createDataFrame([(f"c{n}", f"f{n}", "s", "s", "k", "g", "d", 1, 2, 0, 0.5, "red ring " + str(n)) for n in range(9)], "id string, file_path string, symbol_name string, qualified_name string, symbol_kind string, signature string, doc_comment string, line_start int, line_end int, churn_count int, hotspot_score double, body_preview string")
+    own = spark.createDataFrame([(f"c{n}", "cur-model", [1.0, float(n)]) for n in range(9)], "chunk_id string, embed_model string, embedding array<double>")
+    bridge, commits = spark.createDataFrame([("c1", "s1")], "chunk_id string, commit_sha string"), spark.createDataFrame([("s1", "fix")], "sha string, message string")
+    found = retrieval.search_code(queries, chunks, own, lexical.build_inverted_index(chunks, ["body_preview"]), bridge, commits)
+    assert "FlatMapCoGroups" not in plan(found) and plan(found).count("Exchange") < 12
+    assert {(r.query_id, r["rank"], r.id) for r in found.collect() if r["rank"] == 0} == {("q1", 0, "c0"), ("q2", 0, "c0")}
+    assert {tuple(r.related_commits) for r in found.collect() if r.id == "c1"} == {("fix",)}
+
+
+def test_grams_are_counted_before_the_shuffle(spark):
+    notes = spark.createDataFrame([(f"m{n}", "ab"[n % 2] if n else None, "active", n, "T", "red ring" if n < 6 else "rod", None) for n in range(9)], "id string, project_id string, status string, created_at int, title string, content string, facts array<string>").coalesce(1)
+    grams = lexical.with_grams(spark.createDataFrame([("red",), ("rod",)], "t string"), "t", lexical.own_grams)
+    counted = lexical.gram_counts(lexical.lowered(notes), lexical.bits_of(grams))
+    of = lambda x: int.from_bytes(x.encode(), "big")
+    assert {(r.project_id, r.gram): r.n for r in counted.collect()} == {("a", of("red")): 2, ("b", of("red")): 3, ("a", of("rod")): 2, ("b", of("rod")): 1}
