@@ -97,3 +97,12 @@ def test_grams_are_counted_before_the_shuffle(spark):
     counted = lexical.gram_counts(lexical.lowered(notes), lexical.bits_of(grams))
     of = lambda x: int.from_bytes(x.encode(), "big")
     assert {(r.project_id, r.gram): r.n for r in counted.collect()} == {("a", of("red")): 2, ("b", of("red")): 3, ("a", of("rod")): 2, ("b", of("rod")): 1}
+
+
+def test_pairs_of_a_project_are_dealt_over_tasks(spark):
+    queries = spark.range(6).selectExpr("concat('q', id) AS query_id", "if(id < 4, 'p', 'r') AS project_id", "'why' AS query_text")
+    notes = spark.range(400).selectExpr("concat('m', id) AS id", "if(id < 390, 'p', null) AS project_id", "'decision' AS type")
+    pairs = ranking.paired(queries, notes, "project_id", "id")
+    sizes = [len(x) for x in pairs.rdd.glom().collect()]
+    assert sum(sizes) == 4 * 390 and max(sizes) < 0.6 * sum(sizes)
+    assert pairs.distinct().count() == 4 * 390 and sorted(pairs.columns) == ["id", "project_id", "query_id", "query_text", "type"]
