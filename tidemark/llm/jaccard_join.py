@@ -15,8 +15,10 @@ The join is exact. It works in size bands and tiles:
 4. A meeting whose documents all fell into one class is done. In others, those outside the leader's class meet the
    smallest among them, ROUNDS times in all. Where several classes are left, the documents of different classes are
    held against each other in tiles of bounded size, first by the bitmaps alone (the largest class's documents only
-   against the others); pairs that these let pass go the way of 3. That happens twice: first a tile gives only as many
-   pairs as would join its classes, then, in meetings where one of those didn't link, all pairs of classes still apart.
+   against the others). That happens twice: first a tile gives only as many pairs as would join its classes, which go the
+   way of 3; then, in meetings where one of those didn't link, a tile gives the documents of pairs that the bitmaps let
+   pass, whose sets meet in the same tile again, and of the links there those that join its classes. No step writes a row
+   for each pair of a group.
 5. Classes are the connected components of the links.
 
 No pair inside a class is lost to a cap: pairs are left out only if both ends are known to be in one class. That
@@ -51,6 +53,8 @@ CROWD = 50
 ROUNDS = 3
 #: A bitmap's bits for each shingle, before rounding up to a power of two; and its fewest.
 BITS_EACH, FEWEST_BITS = 2, 256
+#: Bytes of text of which sets are made at once.
+SLICE = 1 << 18
 
 
 def band_of(size: int) -> int:
@@ -132,7 +136,7 @@ def map_sets(docs: DataFrame, emit, schema: str, k: int, bits: bytes | None = No
     marked = docs if bits is None else docs.withColumn("bit", filter_bit("doc_id"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, data, offsets in text_slices(batches if bits is None else hits_only(batches, bits, "bit", inside), "text"):
+        for rows, data, offsets in text_slices(batches if bits is None else hits_only(batches, bits, "bit", inside), "text", SLICE):
             yield emit(rows, shingle_sets(data, offsets, k))
 
     return marked.mapInArrow(work, schema)
@@ -214,8 +218,7 @@ def linked_classes(s: Scratch, docs: DataFrame, met: DataFrame, k: int, percent:
     of = lambda c: classes.select(F.col("node").alias(c), F.col("component").alias(f"{c}_class"))
     apart = some.join(of("doc"), "doc", "left").join(of("leader"), "leader", "left").filter("not coalesce(doc_class, doc) = coalesce(leader_class, leader)")
     met = open_meetings(s, met.join(apart.select("sig").distinct(), "sig", "left_semi"), classes, False)
-    rest = rest_pairs(met, maps, percent, False).select("doc", "leader").distinct()
-    return with_links(s, classes, s.write(rest, "near"), docs, k, percent)
+    return with_tile_links(s, classes, s.write(rest_pairs(met, maps, percent, False), "rest"), ("class",), docs, k, percent)
 
 
 def with_links(s: Scratch, classes: DataFrame | None, near: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
@@ -223,8 +226,7 @@ def with_links(s: Scratch, classes: DataFrame | None, near: DataFrame, docs: Dat
     pairs only."""
     if classes is not None and not near.limit(1).count():
         return classes
-    bits = id_filter(near.select("doc").union(near.select("leader")).distinct(), "doc")
-    sets = s.write(map_sets(docs, lambda rows, own: chosen(rows, own, np.asarray), "doc long, size long, held binary", k, bits), "sets")
+    sets = whole_sets(s, near.select("doc").union(near.select("leader")), docs, k)
     links = s.write(in_tiles(near, sets, percent, True).toDF("a", "b"), "links")
     s.drop(sets, near)
     out = components(links, s) if classes is None else merged_components(classes, links, s) if links.limit(1).count() else classes
@@ -232,6 +234,52 @@ def with_links(s: Scratch, classes: DataFrame | None, near: DataFrame, docs: Dat
     return out
 
 
+def whole_sets(s: Scratch, ids: DataFrame, docs: DataFrame, k: int) -> DataFrame:
+    """(doc, size, held): the sets of documents named in `doc`, made again from the texts."""
+    return s.write(map_sets(docs, lambda rows, own: chosen(rows, own, np.asarray), "doc long, size long, held binary", k, id_filter(ids.distinct(), "doc")), "sets")
+
+
+def with_tile_links(s: Scratch, classes: DataFrame, near: DataFrame, apart: tuple[str, ...], docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """The classes after the links in tiles (sig, x, y, side, doc and the columns of `apart`, class first) are joined too."""
+    if not near.limit(1).count():
+        return classes
+    sets = whole_sets(s, near.select("doc"), docs, k)
+    tiles = near.join(sets, "doc").groupBy("sig", "x", "y")
+    links = s.write(tiles.applyInArrow(lambda rows: joining_links(rows, apart, percent), "a long, b long"), "links")
+    s.drop(sets, near)
+    out = merged_components(classes, links.distinct(), s) if links.limit(1).count() else classes
+    s.drop(links)
+    return out
+
+
+def joining_links(rows: pa.Table, apart: tuple[str, ...], percent: int) -> pa.Table:
+    """(a, b): of the links between a tile's sets, those that join classes not joined by earlier ones. Pairs are of different
+    values in each column of `apart`, and of different sides unless the tile is one side against itself."""
+    rows = rows.sort_by([("size", "ascending"), ("doc", "ascending")])
+    doc, sizes, side, kind, *others = (rows.column(c).to_numpy() for c in ("doc", "size", "side", *apart))
+    within = rows.column("x")[0].as_py() == rows.column("y")[0].as_py()
+    own = [np.frombuffer(x, np.uint64) for x in rows.column("held").to_pylist()]
+    maps, found = [bitmap(x) for x in own], []
+    for i in range(len(doc)):
+        part = slice(i + 1, np.searchsorted(sizes, sizes[i] * 100 // percent, "right"))
+        new = (kind[part] != kind[i]) & (within | (side[part] != side[i]))
+        for other in others:
+            new &= other[part] != other[i]
+        j = i + 1 + np.flatnonzero(new)
+        if len(j):
+            j = j[bounded(sizes[j], [maps[n] for n in j.tolist()], int(sizes[i]), maps[i], percent)]
+        for n in j.tolist():
+            if kind[n] != kind[i] and linked(own[n], own[i], percent):
+                kind = np.where(kind == kind[n], kind[i], kind)
+                found.append((min(doc[n], doc[i]), max(doc[n], doc[i])))
+    return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
+
+
+def of_tile(rows: pa.Table, hit: np.ndarray, columns: tuple[str, ...]) -> pa.Table:
+    """The rows of a tile at these places, each once."""
+    return rows.take(pa.array(np.unique(hit), pa.int64())).select(["sig", "x", "y", "side", "doc", *columns])
+
+
 def open_meetings(s: Scratch, met: DataFrame, classes: DataFrame, led: bool = True) -> DataFrame:
     """(sig, doc, class, leader, leader_class): meetings whose documents (if led, but for the leader, who has been held
     against all) are of different classes; their new leader is the smallest document outside the old one's class.
@@ -279,9 +327,9 @@ def bounded(sizes: np.ndarray, maps: list[np.ndarray], size: int, own: np.ndarra
 
 
 def rest_pairs(met: DataFrame, maps: DataFrame, percent: int, few: bool) -> DataFrame:
-    """(sig, doc, leader): pairs of documents that met, of different classes so far, whose bitmaps let them link. A meeting's
-    largest class is held against the others only, not against itself. With `few`, classes that one pair of a tile would
-    join count as one in the rest of the tile."""
+    """Documents that met, of different classes so far, whose bitmaps let them link: with `few` pairs (sig, doc, leader), where
+    classes that one pair of a tile would join count as one in the rest of the tile; else the rows of the tiles that are in
+    a pair (sig, x, y, side, doc, class). A meeting's largest class is held against the others only, not against itself."""
     counts = met.groupBy("sig", "class").agg(F.count(F.lit(1)).alias("n"))
     sides = counts.groupBy("sig").agg(F.max(F.struct("n", "class")).alias("top"), F.sum("n").alias("all")).select("sig", F.col("top.class").alias("top"), F.ceil((F.col("all") - F.col("top.n")) / SIDE).alias("others"), F.ceil(F.col("top.n") / SIDE).alias("tops"))
     zero, is_top = F.lit(0).cast("long"), F.col("class") == F.col("top")
@@ -304,13 +352,15 @@ def rest_pairs(met: DataFrame, maps: DataFrame, percent: int, few: bool) -> Data
             if few and len(j):
                 j = j[np.unique(kind[j], return_index=True)[1]]  # one of each class
                 kind = np.where(np.isin(kind, kind[j]), kind[i], kind)
-            a.append(doc[j])
-            b.append(np.full(len(j), doc[i]))
-        left, right = np.concatenate(a), np.concatenate(b)
+            a.append(j)
+            b.append(np.full(len(j), i))
+        if not few:
+            return of_tile(rows, np.concatenate(a + b), ("class",))
+        left, right = doc[np.concatenate(a)], doc[np.concatenate(b)]
         sig = np.full(len(left), rows.column("sig")[0].as_py())
         return pa.table({"sig": pa.array(sig, pa.int64()), "doc": pa.array(np.maximum(left, right)), "leader": pa.array(np.minimum(left, right))})
 
-    return tiles.groupBy("sig", "x", "y").applyInArrow(check, "sig long, doc long, leader long")
+    return tiles.groupBy("sig", "x", "y").applyInArrow(check, "sig long, doc long, leader long" if few else "sig long, x long, y long, side long, doc long, class long")
 
 
 def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

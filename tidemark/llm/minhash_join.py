@@ -14,7 +14,8 @@
    of different homes. A tile counts collisions coordinate by coordinate, rarest first: after K - T + 1 of them, pairs
    without a collision are skipped, and later those that can't reach T any more. Pairs of T collisions or more, whose
    overlap the bit counts of hashed bitmaps of their sets don't bound below what is asked, are candidates.
-5. Candidates are confirmed on their whole sets, made again from the texts: 100 * shared >= percent * union.
+5. Candidates are confirmed on their whole sets, made again from the texts: 100 * shared >= percent * union. Where all
+   pairs of a tile are asked for, the sets of its candidates meet in the tile, which gives the links that join its classes.
 6. Classes are the connected components of the links. A pair is left out only if both ends are in one class by then, so
    a group of copies costs about one row for a copy, not all its pairs.
 
@@ -36,7 +37,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import Scratch, one_row_each, table
-from tidemark.llm.jaccard_join import alike, digest, map_sets, open_meetings, overlap_bound, with_links
+from tidemark.llm.jaccard_join import alike, digest, map_sets, of_tile, open_meetings, overlap_bound, with_links, with_tile_links
 from tidemark.llm.shingles import mix
 
 #: Coordinates of a signature, and how many of them have to collide for every percent of similarity asked for.
@@ -212,9 +213,9 @@ def with_leaders(pairs: DataFrame, signs: DataFrame, percent: int) -> DataFrame:
 
 
 def with_each_other(met: DataFrame, signs: DataFrame, percent: int, by: str, few: bool) -> DataFrame:
-    """(sig, doc, leader): pairs of documents of a list, of different classes so far and of different homes, that may link.
-    A list's largest group of one `by` (class or home) is held against the others only. With `few`, a tile gives only as
-    many pairs as would join its classes."""
+    """Documents of a list, of different classes so far and of different homes, that may link: with `few` pairs (sig, doc,
+    leader), only as many of a tile as would join its classes; else the rows of the tiles that are in a pair (sig, x, y,
+    side, doc, class, home). A list's largest group of one `by` (class or home) is held against the others only."""
     counts = met.groupBy("sig", by).agg(F.count(F.lit(1)).alias("n"))
     sides = counts.groupBy("sig").agg(F.max(F.struct("n", by)).alias("top"), F.sum("n").alias("all"))
     sides = sides.select("sig", F.col(f"top.{by}").alias("top"), F.ceil((F.col("all") - F.col("top.n")) / SIDE).alias("others"), F.ceil(F.col("top.n") / SIDE).alias("tops"))
@@ -230,13 +231,14 @@ def with_each_other(met: DataFrame, signs: DataFrame, percent: int, by: str, few
         i, j = tile_pairs(matrix(rows), sizes, kind, home, side, rows.column("x")[0].as_py() == rows.column("y")[0].as_py(), percent)
         kept = within_bound(sizes, rows.column("bits").to_pylist(), i, j, percent)
         i, j = i[kept], j[kept]
-        if few:
-            kept = one_of_each(i, j, kind)
-            i, j = i[kept], j[kept]
+        if not few:
+            return of_tile(rows, np.concatenate([i, j]), ("class", "home"))
+        kept = one_of_each(i, j, kind)
+        i, j = i[kept], j[kept]
         sig = np.full(len(i), rows.column("sig")[0].as_py())
         return pa.table({"sig": pa.array(sig, pa.int64()), "doc": pa.array(np.maximum(doc[i], doc[j])), "leader": pa.array(np.minimum(doc[i], doc[j]))})
 
-    return tiles.groupBy("sig", "x", "y").applyInArrow(check, "sig long, doc long, leader long")
+    return tiles.groupBy("sig", "x", "y").applyInArrow(check, "sig long, doc long, leader long" if few else "sig long, x long, y long, side long, doc long, class long, home long")
 
 
 def confirmed_classes(s: Scratch, docs: DataFrame, signs: DataFrame, met: DataFrame, k: int, percent: int) -> DataFrame:
@@ -274,8 +276,8 @@ def settled(s: Scratch, classes: DataFrame, lists: DataFrame, by: str, docs: Dat
     of = lambda c: classes.select(F.col("node").alias(c), F.col("component").alias(f"{c}_class"))
     apart = some.join(of("doc"), "doc", "left").join(of("leader"), "leader", "left").filter("not coalesce(doc_class, doc) = coalesce(leader_class, leader)")
     lists = lists.join(s.write(apart.select("sig").distinct(), "unsettled"), "sig", "left_semi")
-    rest = with_each_other(with_classes(s, lists, classes), signs, percent, by, False).select("doc", "leader").distinct()
-    return with_links(s, classes, s.write(rest, "near"), docs, k, percent)
+    rest = with_each_other(with_classes(s, lists, classes), signs, percent, by, False)
+    return with_tile_links(s, classes, s.write(rest, "near"), ("class", "home"), docs, k, percent)
 
 
 def minhash_classes(docs: DataFrame, k: int = 5, percent: int = 80, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
