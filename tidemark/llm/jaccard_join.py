@@ -206,7 +206,7 @@ def linked_classes(s: Scratch, docs: DataFrame, met: DataFrame, k: int, percent:
     classes, pairs = None, met.filter("doc <> leader")
     for _ in range(ROUNDS):
         pairs = s.write(pairs.select("doc", "leader").distinct(), "pairs")
-        classes = with_links(s, classes, s.write(in_tiles(pairs, maps, percent, False), "near"), docs, k, percent)
+        classes = with_links(s, classes, s.write(in_tiles(s, pairs, maps, percent, False), "near"), docs, k, percent)
         s.drop(pairs)
         met = open_meetings(s, met, classes)
         if not met.limit(1).count():
@@ -227,7 +227,7 @@ def with_links(s: Scratch, classes: DataFrame | None, near: DataFrame, docs: Dat
     if classes is not None and not near.limit(1).count():
         return classes
     sets = whole_sets(s, near.select("doc").union(near.select("leader")), docs, k)
-    links = s.write(in_tiles(near, sets, percent, True).toDF("a", "b"), "links")
+    links = s.write(in_tiles(s, near, sets, percent, True).toDF("a", "b"), "links")
     s.drop(sets, near)
     out = components(links, s) if classes is None else merged_components(classes, links, s) if links.limit(1).count() else classes
     s.drop(links)
@@ -298,10 +298,16 @@ def open_meetings(s: Scratch, met: DataFrame, classes: DataFrame, led: bool = Tr
     return out
 
 
-def in_tiles(pairs: DataFrame, held: DataFrame, percent: int, exact: bool) -> DataFrame:
-    """Pairs that pass, in tiles of a leader and some of its members. A leader of many members comes in several."""
-    many = pairs.groupBy("leader").agg(F.ceil(F.count(F.lit(1)) / TILE).alias("tiles")).filter("tiles > 1")
-    dealt = pairs.join(many, "leader", "left").select("leader", F.coalesce(F.pmod(F.xxhash64("doc"), F.col("tiles")), F.lit(0).cast("long")).alias("tile"), "doc")
+def in_turn(s: Scratch, pairs: DataFrame, most: int) -> DataFrame:
+    """(leader, tile, doc): a leader of many members has them in several tiles."""
+    many = pairs.groupBy("leader").agg(F.ceil(F.count(F.lit(1)) / most).alias("tiles")).filter("tiles > 1")
+    tile = F.coalesce(F.pmod(F.xxhash64("doc"), F.col("tiles")), F.lit(0).cast("long")).alias("tile")
+    return s.write(pairs.join(many, "leader", "left").select("leader", tile, "doc"), "tiles")
+
+
+def in_tiles(s: Scratch, pairs: DataFrame, held: DataFrame, percent: int, exact: bool) -> DataFrame:
+    """Pairs that pass, in tiles of a leader and some of its members."""
+    dealt = in_turn(s, pairs, TILE)
     members = dealt.join(held, "doc")
     alone = held.select(F.col("doc").alias("lead"), F.col("size").alias("lead_size"), F.col("held").alias("lead_held"))
     leaders = dealt.select(F.col("leader").alias("lead"), F.col("tile").alias("lead_tile")).distinct().join(alone, "lead")

@@ -37,7 +37,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import Scratch, one_row_each, table
-from tidemark.llm.jaccard_join import alike, digest, map_sets, of_tile, open_meetings, overlap_bound, with_links, with_tile_links
+from tidemark.llm.jaccard_join import alike, digest, in_turn, map_sets, of_tile, open_meetings, overlap_bound, with_links, with_tile_links
 from tidemark.llm.shingles import mix
 
 #: Coordinates of a signature, and how many of them have to collide for every percent of similarity asked for.
@@ -186,11 +186,9 @@ def matrix(rows: pa.Table, column: str = "items") -> np.ndarray:
     return rows.column(column).combine_chunks().flatten().to_numpy().reshape(rows.num_rows, K)
 
 
-def with_leaders(pairs: DataFrame, signs: DataFrame, percent: int) -> DataFrame:
-    """(doc, leader): pairs that collide often enough, in tiles of a leader and some of its members. A leader of many
-    members comes in several."""
-    many = pairs.groupBy("leader").agg(F.ceil(F.count(F.lit(1)) / TILE).alias("tiles")).filter("tiles > 1")
-    dealt = pairs.join(many, "leader", "left").select("leader", F.coalesce(F.pmod(F.xxhash64("doc"), F.col("tiles")), F.lit(0).cast("long")).alias("tile"), "doc")
+def with_leaders(s: Scratch, pairs: DataFrame, signs: DataFrame, percent: int) -> DataFrame:
+    """(doc, leader): pairs that collide often enough, in tiles of a leader and some of its members."""
+    dealt = in_turn(s, pairs, TILE)
     own = signs.select(F.col("doc_id").alias("doc"), "n_shingles", "items", "bits")
     leaders = dealt.select(F.col("leader").alias("lead"), F.col("tile").alias("lead_tile")).distinct().join(signs.select(F.col("doc_id").alias("lead"), F.col("n_shingles").alias("lead_n_shingles"), F.col("items").alias("lead_items"), F.col("bits").alias("lead_bits")), "lead")
     least = threshold(percent)
@@ -245,7 +243,7 @@ def confirmed_classes(s: Scratch, docs: DataFrame, signs: DataFrame, met: DataFr
     """(node, component) of the documents that link with another one."""
     classes, pairs = None, met.filter("doc <> leader")
     for _ in range(ROUNDS):
-        near = s.write(with_leaders(s.write(pairs.select("doc", "leader").distinct(), "pairs"), signs, percent), "near")
+        near = s.write(with_leaders(s, s.write(pairs.select("doc", "leader").distinct(), "pairs"), signs, percent), "near")
         classes = with_links(s, classes, near, docs, k, percent)
         met = open_meetings(s, met, classes)
         if not met.limit(1).count():
