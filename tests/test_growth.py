@@ -6,7 +6,8 @@ import re
 
 from pyspark.sql import functions as F
 
-from tidemark.operators import history, lexical, ranking, retrieval
+from tidemark.operators import history, index_store, indexing, lexical, ranking, retrieval, vectors
+from tidemark.sources import bucketed
 
 
 def plan(df):
@@ -106,3 +107,26 @@ def test_pairs_of_a_project_are_dealt_over_tasks(spark):
     sizes = [len(x) for x in pairs.rdd.glom().collect()]
     assert sum(sizes) == 4 * 390 and max(sizes) < 0.6 * sum(sizes)
     assert pairs.distinct().count() == 4 * 390 and sorted(pairs.columns) == ["id", "project_id", "query_id", "query_text", "type"]
+
+
+def test_index_keeps_links_by_file_and_loads_them_for_each_chunk(spark, tmp_path):
+    """A file of many chunks and commits has a row for each commit in the store, not one for each pair."""
+    text = "".join(f"# h{n}\nline\n\n" for n in range(30))
+    files = spark.createDataFrame([("a.md", text, "h"), ("b.md", "# b\n", "h")], "path string, text string, content_hash string")
+    rows = [(f"s{n:02}", datetime.datetime(2024, 1, 1 + n), "a change worth a note", path, 60, 40) for n in range(9) for path in ("a.md", "none.md")]
+    log = spark.createDataFrame(rows, "sha string, ts timestamp_ntz, message string, path string, added long, deleted long")
+    root = f"file://{tmp_path}/index"
+    index_store.build(spark, root, files, log.filter("sha < 's05'"), vectors.HashedWords(4), "2024-02-01", 8)
+    index_store.refresh_commits(spark, root, log.filter("sha >= 's04'"), "2024-02-01")
+    links = bucketed.read_tables(spark, root)["links"]
+    assert sorted((r.path, r.commit_sha) for r in links.collect()) == [("a.md", f"s{n:02}") for n in range(9)]
+    index = index_store.load_index(spark, root)
+    assert index["bridge"].count() == 270 and index["chunks"].count() == 31 and index["commits"].count() == 9
+
+
+def test_sections_are_shuffled_once(spark):
+    files = spark.createDataFrame([("a.md", "# a\n# a\n"), ("a.md", "# a\n")], "path string, text string")
+    found = indexing.chunks_of(files)
+    sections = [line for line in plan(found).split("\n") if line.startswith("   :")]  # the first side of the union
+    assert len(re.findall(r"Exchange hashpartitioning", "\n".join(sections))) == 1 and "Exchange hashpartitioning(id" not in plan(found)
+    assert found.groupBy("id").count().filter("count > 1").count() == 0 and found.count() == 2

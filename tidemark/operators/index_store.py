@@ -14,7 +14,7 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.operators.history import UPDATE_LIMIT, apply_commits
+from tidemark.operators.history import UPDATE_LIMIT, apply_history, file_history, link_chunks
 from tidemark.operators.indexing import build_index, update_index
 from tidemark.operators.vectors import Embedder
 from tidemark.sources.bucketed import BUCKETS, bucket_count, bucket_of, publish, read_tables
@@ -23,27 +23,28 @@ from tidemark.sources.snapshots import remove
 
 def dealt(index: dict[str, DataFrame], buckets: int) -> dict[str, DataFrame]:
     """The tables with their bucket, that of the path they belong to."""
-    out = {"files": "path", "history": "path", "chunks": "file_path"}
+    if "file_path" not in index["vectors"].columns:
+        index = index | {"vectors": index["vectors"].join(index["chunks"].select(F.col("id").alias("chunk_id"), "file_path"), "chunk_id")}
+    out = {"files": "path", "history": "path", "links": "path", "chunks": "file_path", "vectors": "file_path"}
     tables = {name: index[name].withColumn("bucket", bucket_of(key, buckets)) for name, key in out.items()}
-    owners = tables["chunks"].select(F.col("id").alias("chunk_id"), "bucket")
-    tables |= {name: index[name].join(owners, "chunk_id") for name in ("bridge", "vectors")}
-    named = tables["bridge"].select(F.col("commit_sha").alias("sha"), "bucket").distinct()
+    named = tables["links"].select(F.col("commit_sha").alias("sha"), "bucket").distinct()
     return tables | {"commits": index["commits"].join(named, "sha")}
 
 
 @contextmanager
 def staging(spark: SparkSession, root: str) -> Iterator[Callable[[DataFrame], DataFrame]]:
     """Writes rows below root and reads them again, until all that is made of them is published."""
-    path = f"{root}/staging-{uuid.uuid4().hex}"
+    home = f"{root}/staging-{uuid.uuid4().hex}"
 
     def held(df: DataFrame) -> DataFrame:
+        path = f"{home}/{uuid.uuid4().hex}"
         df.write.parquet(path)
         return spark.read.schema(df.schema).parquet(path)
 
     try:
         yield held
     finally:
-        remove(spark, path)
+        remove(spark, home)
 
 
 def build(spark: SparkSession, root: str, files: DataFrame, changes: DataFrame, embedder: Embedder, now, buckets: int = BUCKETS) -> None:
@@ -59,7 +60,8 @@ def create_index(spark: SparkSession, index: dict[str, DataFrame], root: str, bu
 def load_index(spark: SparkSession, root: str, touched: list[int] | None = None) -> dict[str, DataFrame]:
     """The tables of the newest whole version (of some buckets)."""
     index = {name: df.drop("bucket") for name, df in read_tables(spark, root, touched).items()}
-    return index | {"commits": index["commits"].dropDuplicates(["sha"])}
+    bridge = link_chunks(index["chunks"], index["links"].withColumnRenamed("commit_sha", "sha"))
+    return index | {"bridge": bridge, "commits": index["commits"].dropDuplicates(["sha"])}
 
 
 def touched_by(paths: DataFrame, buckets: int) -> list[int]:
@@ -87,9 +89,12 @@ def refresh_commits(spark: SparkSession, root: str, changes: DataFrame, now, lim
     """The index after a batch of commits: churn, hotspots, links and histories of its files; manifest and vectors stay
     where they are. Gives the buckets that were written."""
     buckets = bucket_count(spark, root)
-    touched = touched_by(changes, buckets)
-    if not touched:
-        return []
-    fresh = dealt(apply_commits(load_index(spark, root, touched), changes, now, limit), buckets)
-    publish(spark, root, {name: fresh[name] for name in ("chunks", "bridge", "commits", "history")}, buckets, touched)
+    with staging(spark, root) as held:
+        # The batch's histories are all that is needed of it; it is read once.
+        batch = held(file_history(changes))
+        touched = touched_by(batch, buckets)
+        if not touched:
+            return []
+        fresh = dealt(apply_history(load_index(spark, root, touched), batch, now, limit), buckets)
+        publish(spark, root, {name: fresh[name] for name in ("chunks", "links", "commits", "history")}, buckets, touched)
     return touched

@@ -48,9 +48,10 @@ def t2_commit_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders of the last days arrive as commits; the index knows those before."""
     root, changes = scratch(spark), view(spark, sf_dir, "changes_v")
     recent = "timestamp_ntz'2001-07-30 00:00:00'"
-    index_store.create_index(spark, J.index_of(spark, sf_dir, changes.filter(f"ts < {recent}")), root)
+    with index_store.staging(spark, root) as held:
+        index_store.create_index(spark, J.index_of(spark, sf_dir, changes.filter(f"ts < {recent}"), held), root)
     orders = streamed(spark, sf_dir, "orders").filter(f"o_orderdate >= {recent}").select(F.substring(F.sha2(F.col("o_orderkey").cast("string"), 256), 1, 40).alias("sha"))
-    jobs.run_commit_updates(orders.join(changes, "sha"), root, HISTORY_NOW, f"{root}/checkpoint", once=True).awaitTermination()
+    jobs.run_commit_updates(orders.join(changes.filter(f"ts >= {recent}"), "sha"), root, HISTORY_NOW, f"{root}/checkpoint", once=True).awaitTermination()
     return index_store.load_index(spark, root)["chunks"].select("id", "churn_count", "hotspot_score")
 
 
