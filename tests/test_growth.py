@@ -6,7 +6,9 @@ import re
 
 from pyspark.sql import functions as F
 
+from tidemark.functions import scalars
 from tidemark.operators import history, index_store, indexing, lexical, ranking, retrieval, vectors
+from tidemark.plans import scalar_queries
 from tidemark.sources import bucketed
 
 
@@ -130,3 +132,13 @@ def test_sections_are_shuffled_once(spark):
     sections = [line for line in plan(found).split("\n") if line.startswith("   :")]  # the first side of the union
     assert len(re.findall(r"Exchange hashpartitioning", "\n".join(sections))) == 1 and "Exchange hashpartitioning(id" not in plan(found)
     assert found.groupBy("id").count().filter("count > 1").count() == 0 and found.count() == 2
+
+
+def test_cosines_of_one_label_are_many_tasks_work(spark, tmp_path):
+    rows = spark.range(500).selectExpr("id AS vec_id", "1 AS label", "array(cast(id % 7 AS float), 1f, cast(id % 3 AS float)) AS embedding")
+    rows.write.parquet(f"{tmp_path}/embeddings.parquet")
+    found = scalar_queries.QUERIES["p21_cosine_distance"](spark, str(tmp_path))
+    assert found.select("a_id", "b_id").distinct().count() == 20 * 500
+    assert found.select(F.spark_partition_id().alias("p")).distinct().count() == 4
+    same = rows.alias("x").join(rows.alias("y"), F.expr("x.vec_id % 25 = 3")).select(F.col("x.vec_id").alias("a_id"), F.col("y.vec_id").alias("b_id"), F.round(scalars.cosine_distance("x.embedding", "y.embedding"), 9).alias("dist"))
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, same.collect()))
