@@ -243,6 +243,10 @@ def with_tile_links(s: Scratch, classes: DataFrame, near: DataFrame, apart: tupl
     """The classes after the links in tiles (sig, x, y, side, doc and the columns of `apart`, class first) are joined too."""
     if not near.limit(1).count():
         return classes
+    # Tiles of the same documents count once, before sets are dealt to them.
+    who = near.groupBy("sig", "x", "y").agg(F.count(F.lit(1)).alias("n"), F.expr("bit_xor(xxhash64(doc))").alias("who"))
+    once = who.groupBy("who", "n").agg(F.min(F.struct("sig", "x", "y")).alias("t")).select("t.*")
+    near = s.write(near.join(once, ["sig", "x", "y"], "left_semi"), "near")
     sets = whole_sets(s, near.select("doc"), docs, k)
     tiles = near.join(sets, "doc").groupBy("sig", "x", "y")
     links = s.write(tiles.applyInArrow(lambda rows: joining_links(rows, apart, percent), "a long, b long"), "links")
@@ -254,15 +258,14 @@ def with_tile_links(s: Scratch, classes: DataFrame, near: DataFrame, apart: tupl
 
 def joining_links(rows: pa.Table, apart: tuple[str, ...], percent: int) -> pa.Table:
     """(a, b): of the links between a tile's sets, those that join classes not joined by earlier ones. Pairs are of different
-    values in each column of `apart`, and of different sides unless the tile is one side against itself."""
+    values in each column of `apart`."""
     rows = rows.sort_by([("size", "ascending"), ("doc", "ascending")])
-    doc, sizes, side, kind, *others = (rows.column(c).to_numpy() for c in ("doc", "size", "side", *apart))
-    within = rows.column("x")[0].as_py() == rows.column("y")[0].as_py()
+    doc, sizes, kind, *others = (rows.column(c).to_numpy() for c in ("doc", "size", *apart))
     own = [np.frombuffer(x, np.uint64) for x in rows.column("held").to_pylist()]
     maps, found = [bitmap(x) for x in own], []
     for i in range(len(doc)):
         part = slice(i + 1, np.searchsorted(sizes, sizes[i] * 100 // percent, "right"))
-        new = (kind[part] != kind[i]) & (within | (side[part] != side[i]))
+        new = kind[part] != kind[i]
         for other in others:
             new &= other[part] != other[i]
         j = i + 1 + np.flatnonzero(new)
