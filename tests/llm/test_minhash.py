@@ -1,11 +1,13 @@
 """The MinHash join against classes of all pairs of sets, and its counting against plain counts."""
 
+import math
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
 
-from tidemark.llm import minhash_join
+from tidemark.llm import common, minhash_join
 from tidemark.llm.shingles import shingle_sets
 
 from .test_operators import EDGES, documents, edited, plain_classes, plain_sets, prose
@@ -87,3 +89,29 @@ def test_signatures_estimate_similarity():
     assert abs((minhash_join.signature(x) == minhash_join.signature(y)).mean() - near) < 0.2
     assert len(set(minhash_join.signature(x).tolist())) == minhash_join.K  # coordinates have items of their own
     assert minhash_join.threshold(80) == 24
+
+
+def test_documents_of_few_common_items_are_not_posted(spark):
+    """Common coordinates alone don't make documents meet: items are of several coordinates, and M of them have to be in
+    other documents too."""
+    rng = np.random.default_rng(5)
+    items = rng.integers(1, 2**62, (40, minhash_join.K))
+    items[1:20, :10] = items[0, :10]  # five items of two coordinates
+    items[20:38, ::2] = items[20, ::2]  # half of the coordinates, no item
+    items[38:, :4] = items[38, :4]  # two items
+    signs = spark.createDataFrame([(n, x.tolist()) for n, x in enumerate(items)], "doc_id long, items array<long>")
+    with common.Scratch(spark, "posted") as s:
+        met = minhash_join.posted(s, signs, 80).collect()
+    assert {r.doc for r in met} == set(range(20)) and {r.leader for r in met} == {0}
+    assert max(Counter(r.doc for r in met).values()) == 3  # of five items, three asked for
+
+
+def test_items_asked_for_lose_no_more_than_coordinates():
+    def tail(n, p, t):
+        return sum(math.comb(n, k) * p**k * (1 - p) ** (n - k) for k in range(t))
+
+    for percent in (70, 75, 80, 85, 90, 95):
+        width, least = minhash_join.items_asked(percent)
+        near = percent / 100
+        assert tail(minhash_join.K // width, near**width, least) < tail(minhash_join.K, near, minhash_join.threshold(percent)) / 10
+    assert minhash_join.items_asked(80) == (2, 3) and minhash_join.items_asked(50) == (1, minhash_join.threshold(50))

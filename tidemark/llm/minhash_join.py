@@ -1,12 +1,12 @@
 """MinHash near-duplicates by an inverted join of signature coordinates, with every link confirmed on the full sets.
 
-1. A document's set of word shingles has a signature of K min-hashes; each coordinate with its value is an item. Documents
-   with equal sets fold into their smallest id.
+1. A document's set of word shingles has a signature of K min-hashes; WIDTH neighbouring coordinates with their values
+   are an item (single ones below WIDE percent). Documents with equal sets fold into their smallest id.
 2. Documents are posted under their items. How long each posting list is gets counted with partial sums; items of one
-   document alone can't collide and go. A document with fewer than T items left has no partner.
-3. Prefix: a document orders its L items left by falling rarity and is posted under the first L - T + 1 only. Two
-   documents with T collisions or more share an item of both prefixes, so the longest lists are never joined: a document
-   of which fewer than T items are frequent isn't in a frequent list at all.
+   document alone can't collide and go. A document with fewer than M items left has no partner.
+3. Prefix: a document orders its L items left by falling rarity and is posted under the first L - M + 1 only. Two
+   documents with M common items or more share one of both prefixes, so the longest lists are never joined: a document
+   of which fewer than M items are frequent isn't in a frequent list at all.
 4. Merging, in lists of two documents or more: each document is first held against the smallest of its list, in tiles
    of a leader and some members; documents of a list that are not of the leader's class then meet a new leader, ROUNDS
    times; what is still apart is held against each other in tiles of bounded size. A group of copies shares many lists,
@@ -19,8 +19,8 @@
 6. Classes are the connected components of the links. A pair is left out only if both ends are in one class by then, so
    a group of copies costs about one row for a copy, not all its pairs.
 
-A pair of similarity s is missed if fewer than T of K coordinates collide, a binomial tail: at 0.8, with T = K/2 = 24,
-8 in 10 million. All else is exact. Meetings of crowds of short documents that share over half of their items stay
+A pair of similarity s is missed if fewer than T of K coordinates collide, or fewer than M items are common, binomial
+tails: at 0.8, with T = K/2 = 24, 8 in 10 million, and 2 in 100 million with M = 3 of 24. All else is exact. Meetings of crowds of short documents that share over half of their items stay
 quadratic in counts inside tiles, not in rows.
 
 Cases: null or empty texts, and those of blanks alone, have an empty set and link with nothing; fewer than k words are
@@ -30,18 +30,22 @@ rows' (null before others); empty tables give empty results; other columns aren'
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import Scratch, one_row_each, table
+from tidemark.llm.common import FILTER_BITS, Scratch, filter_bit, hits_only, id_filter, in_filter, one_row_each, table, without_ids
 from tidemark.llm.jaccard_join import alike, digest, in_turn, map_sets, of_tile, open_meetings, overlap_bound, with_links, with_tile_links
 from tidemark.llm.shingles import mix
 
 #: Coordinates of a signature, and how many of them have to collide for every percent of similarity asked for.
 K, SHARE = 48, 0.625
+#: Coordinates of an item where WIDE percent or more are asked for, and which share of the items expected in common has to be.
+WIDTH, WIDE, COMMON = 2, 70, 0.2
 #: Members in a tile beside its leader, and documents on a side of a tile of a meeting.
 TILE, SIDE = 2000, 400
 #: Rounds in which the documents of a list that are in no leader's class meet a new leader.
@@ -60,6 +64,13 @@ def threshold(percent: int) -> int:
     return max(1, int(K * SHARE * percent / 100))
 
 
+def items_asked(percent: int) -> tuple[int, int]:
+    """Coordinates of an item, and how many items have to be common."""
+    if percent < WIDE:
+        return 1, threshold(percent)
+    return WIDTH, max(1, int(K // WIDTH * (percent / 100) ** WIDTH * COMMON))
+
+
 def signature(own: np.ndarray) -> np.ndarray:
     """The items of a set that isn't empty: for each coordinate the least hash, mixed with the coordinate."""
     least = np.full(K, ~np.uint64(0))
@@ -94,11 +105,34 @@ def signed(docs: DataFrame, k: int) -> DataFrame:
     return map_sets(docs, emit, "doc_id long, n_shingles long, set_key binary, items array<long>, bits binary", k)
 
 
-def posted(s: Scratch, signs: DataFrame, least: int) -> DataFrame:
+def joint(items: np.ndarray, width: int) -> np.ndarray:
+    """One item for every `width` coordinates in a row."""
+    parts = items.view(np.uint64).reshape(len(items), -1, width)
+    out = parts[:, :, 0]
+    for n in range(1, width):
+        out = mix(out) + parts[:, :, n]
+    return out.view(np.int64)
+
+
+def posted(s: Scratch, signs: DataFrame, percent: int) -> DataFrame:
     """(sig, doc, leader): the documents of every prefix list of two or more, and the smallest of them."""
-    items = signs.select(F.col("doc_id").alias("doc"), F.explode("items").alias("sig"))
-    lists = s.write(items.groupBy("sig").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "lists")
-    of = W.partitionBy("doc")
+    width, least = items_asked(percent)
+
+    def dealt(wanted: bytes | None) -> DataFrame:
+        def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for rows in batches:
+                sig = joint(rows.column("items").flatten().to_numpy().reshape(rows.num_rows, K), width)
+                hit = np.ones(sig.shape, bool)
+                if wanted is not None:
+                    hit = in_filter(wanted, sig & (FILTER_BITS - 1))
+                    hit &= (hit.sum(1) >= least)[:, None]
+                doc = np.repeat(rows.column("doc_id").to_numpy(), hit.sum(1))
+                yield pa.RecordBatch.from_arrays([pa.array(sig[hit]), pa.array(doc)], names=["sig", "doc"])
+
+        return signs.select("doc_id", "items").mapInArrow(work, "sig long, doc long")
+
+    lists = s.write(dealt(None).groupBy("sig").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "lists")
+    items, of = dealt(id_filter(lists, "sig", F.expr(f"sig & {FILTER_BITS - 1}"))), W.partitionBy("doc")
     left = items.join(lists, "sig").withColumns({"place": F.row_number().over(of.orderBy("n", "sig")), "left": F.count(F.lit(1)).over(of)})
     prefix = s.write(left.filter(F.col("place") <= F.col("left") - least + 1).select("sig", "doc"), "prefix")
     heads = s.write(prefix.groupBy("sig").agg(F.min("doc").alias("leader"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("sig", "leader"), "heads")
@@ -182,6 +216,13 @@ def one_of_each(i: np.ndarray, j: np.ndarray, kind: np.ndarray) -> np.ndarray:
     return np.array(kept, np.int64)
 
 
+def with_ids(signs: DataFrame, ids: DataFrame, id_column: str) -> DataFrame:
+    """The rows of documents that may be among ids, without a shuffle."""
+    bits = id_filter(ids, id_column)
+    marked = signs.withColumn("bit", filter_bit("doc_id"))
+    return marked.mapInArrow(lambda batches: hits_only(batches, bits), marked.schema).drop("bit")
+
+
 def matrix(rows: pa.Table, column: str = "items") -> np.ndarray:
     return rows.column(column).combine_chunks().flatten().to_numpy().reshape(rows.num_rows, K)
 
@@ -284,11 +325,16 @@ def minhash_classes(docs: DataFrame, k: int = 5, percent: int = 80, id_column: s
         docs = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text")).filter("doc_id is not null")
         docs = one_row_each(s, docs, "doc_id", "text")
         signs = s.write(signed(docs, k), "signs")
-        shared = s.write(signs.filter("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("set_key", "first"), "shared")
-        named = signs.select("doc_id", "n_shingles", "set_key").join(shared, "set_key", "left").withColumn("node", F.coalesce("first", "doc_id"))
+        keys = s.write(signs.select("doc_id", "n_shingles", "set_key"), "keys")
+        shared = s.write(keys.filter("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("set_key", "first"), "shared")
+        named = keys.join(shared, "set_key", "left").withColumn("node", F.coalesce("first", "doc_id"))
         copies = named.filter("node <> doc_id").select("doc_id")
-        single = s.write(signs.filter("items is not null").join(copies, "doc_id", "left_anti").select("doc_id", "n_shingles", "items", "bits"), "single")
-        classes = confirmed_classes(s, docs, single, posted(s, single, threshold(percent)), k, percent)
+        single = s.write(without_ids(signs.filter("items is not null").select("doc_id", "n_shingles", "items", "bits"), copies, "doc_id"), "single")
+        s.drop(signs)
+        met = posted(s, single, percent)
+        own = s.write(with_ids(single, met.select("doc").distinct(), "doc"), "own")
+        s.drop(single)
+        classes = confirmed_classes(s, docs, own, met, k, percent)
         found = named.join(classes, "node", "left").select("doc_id", "n_shingles", F.coalesce("component", "node").alias("component_id"))
         return s.finish(found.withColumn("kept", F.col("doc_id") == F.col("component_id")))
 
