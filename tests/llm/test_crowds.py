@@ -65,3 +65,28 @@ def test_batches_of_texts_on_their_way_to_python_are_small(spark, tmp_path):
     before = spark.conf.get(common.BATCH)
     found = common.save(spark.range(0, 5000, 1, 1).mapInArrow(sizes, "n long"), f"file://{tmp_path}/sizes")
     assert sorted({r.n for r in found.collect()}) == [common.BATCH_ROWS] and spark.conf.get(common.BATCH) == before
+
+
+def test_documents_leave_their_most_crowded_meetings(spark):
+    """Of meetings of which m are sure to be shared the m - 1 most crowded go, and all of a document that has fewer."""
+    rows = [(1, sig, 2 * 3, n) for sig, n in ((10, 2), (11, 9), (12, 5), (13, 5), (14, 3))] + [(2, 10, 7, 2), (2, 11, 7, 9)] + [(2, 12, 2, 5)]
+    there = spark.createDataFrame(rows, "doc long, sig long, need int, n long")
+    assert sorted((r.doc, r.sig) for r in jaccard_join.rarest(there).collect()) == [(1, 10), (1, 12), (1, 14), (2, 12)]
+
+
+def test_linked_sets_share_one_of_the_meetings_left():
+    rng = np.random.default_rng(8)
+    for size in (20, 60, 200):
+        base = np.unique(rng.integers(1, 2**63, size, dtype=np.uint64))
+        sets = [base] + [np.unique(np.concatenate([base[rng.permutation(len(base))[int(len(base) * 0.1) :]], rng.integers(1, 2**63, 1 + len(base) // 20, dtype=np.uint64)])) for _ in range(12)]
+        posted = [list(zip(*(x.tolist() for x in jaccard_join.signatures(x, 80)), strict=True)) for x in sets]
+        crowd = {s: int(rng.integers(2, 9)) for p in posted for s, _ in p}  # any order will do
+        left = []
+        for p in posted:
+            keep = set()
+            for need in {n for _, n in p}:
+                own = sorted((crowd[s], s) for s, n in p if n == need)
+                keep |= {s for _, s in own[: max(0, len(own) - (need >> 1) + 1)]}
+            left.append(keep)
+        assert max(s for p in posted for s, _ in p) < 1 << jaccard_join.SIG_BITS
+        assert all(left[i] & left[j] for i in range(13) for j in range(i) if jaccard_join.linked(sets[i], sets[j], 80))

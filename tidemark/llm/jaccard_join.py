@@ -7,8 +7,8 @@ The join is exact. It works in size bands and tiles:
    most H shingles, so of H+m parts m at least are the same in both (empty parts counted only where a set leaves too
    few others). Documents meet if a part of theirs is the same, in their own band or the next. Meetings are counted with
    partial sums; then only documents of meetings of two or more are dealt out again. A document whose full parts
-   outnumber H by more than its parts in crowded meetings (a line that very many documents have) has another meeting
-   with whatever it links with, and so leaves the crowded ones.
+   outnumber H by m leaves the m - 1 most crowded of its meetings (a line that very many documents have), and all if it
+   has fewer than m: whatever it links with shares m, so the first of these in order of size is left to both.
 3. Where documents meet, each is held against the smallest of them. Tiles (a leader and some of its members) bound the
    overlap from above by bit counts of hashed bitmaps; pairs that the bound lets pass have their sorted arrays
    intersected.
@@ -38,6 +38,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import FILTER_BITS, Scratch, components, filter_bit, hits_only, id_filter, in_filter, merged_components, one_row_each, table, text_slices
@@ -47,8 +48,8 @@ from tidemark.llm.shingles import mix, shingle_sets
 BAND = 1.5
 #: Members in a tile beside its leader, and documents on a side of a tile of a meeting.
 TILE, SIDE = 500, 400
-#: Documents of a crowded meeting.
-CROWD = 50
+#: Bits of a signature. Where two fall together by chance, documents meet that needn't.
+SIG_BITS = 40
 #: Rounds in which the documents of a meeting that are in no leader's class meet a new leader.
 ROUNDS = 3
 #: A bitmap's bits for each shingle, before rounding up to a power of two; and its fewest.
@@ -97,7 +98,7 @@ def signatures(own: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
             label, total, sure = np.arange(parts), whole, 1
         out.append(mix(mix(label.astype(np.uint64) + np.uint64(band << 40)) + total))
         needs.append(np.full(len(label), 2 * sure + k, np.int32))
-    return np.concatenate(out).view(np.int64), np.concatenate(needs)
+    return (np.concatenate(out) >> np.uint64(64 - SIG_BITS)).view(np.int64), np.concatenate(needs)
 
 
 def bitmap(own: np.ndarray) -> np.ndarray:
@@ -188,16 +189,21 @@ def meetings(s: Scratch, docs: DataFrame, copies: DataFrame, k: int, percent: in
         sure, doubt = (map_sets(docs, emit, "sig long, doc long, need int", k, doubtful, inside) for inside in (False, True))
         return sure.union(doubt.join(copies, "doc", "left_anti").select("sig", "doc", "need"))
 
-    groups = s.write(dealt(None).groupBy("sig").agg(F.min("doc").alias("leader"), F.count(F.lit(1)).alias("n")).filter("n > 1"), "groups")
-    again = dealt(id_filter(groups, "sig", F.expr(f"sig & {FILTER_BITS - 1}")))
-    there = s.write(again.join(groups, "sig"), "dealt")
-    crowded = there.filter(f"n > {CROWD}")
-    free = crowded.groupBy("doc", "need").agg(F.count(F.lit(1)).alias("parts")).filter("parts < shiftright(need, 1)").select("doc", "need")
-    left = s.write(crowded.join(free, ["doc", "need"], "left_anti").select("sig", "doc"), "crowded")
-    leaders = left.groupBy("sig").agg(F.min("doc").alias("leader"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("sig", "leader")
-    met = s.write(there.filter(f"n <= {CROWD}").select("sig", "doc", "leader").union(left.join(leaders, "sig").select("sig", "doc", "leader")), "met")
-    s.drop(groups, there, left)
-    return met
+    groups = s.write(dealt(None).groupBy("sig").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "groups")
+    there = dealt(id_filter(groups, "sig", F.expr(f"sig & {FILTER_BITS - 1}"))).join(groups, "sig")
+    met = s.write(rarest(there), "rarest")
+    heads = s.write(met.groupBy("sig").agg(F.min("doc").alias("leader"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("sig", "leader"), "heads")
+    out = s.write(met.join(heads, "sig").select("sig", "doc", "leader"), "met")
+    s.drop(groups, met, heads)
+    return out
+
+
+def rarest(there: DataFrame) -> DataFrame:
+    """(sig, doc): of a document's meetings (sig, doc, need, n) in a band all but the most crowded, of which so many are left
+    out that whatever it links with still shares one of the others, by the same order of meetings on both sides."""
+    of = W.partitionBy("doc", "need")
+    placed = there.withColumns({"place": F.row_number().over(of.orderBy("n", "sig")), "parts": F.count(F.lit(1)).over(of)})
+    return placed.filter("place <= parts - shiftright(need, 1) + 1").select("sig", "doc")
 
 
 def linked_classes(s: Scratch, docs: DataFrame, met: DataFrame, k: int, percent: int) -> DataFrame:
