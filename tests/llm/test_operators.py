@@ -50,6 +50,14 @@ def test_token_counts_are_the_librarys(spark, tokenizer_path):
     assert [r.over_limit for r in got] == [n > 10 for n in want] and [r.n_bytes for r in got] == [len((t or "").encode()) for t in texts]
 
 
+def test_only_segments_outside_the_vocabulary_keep_widths(tokenizer_path):
+    from tidemark.llm.pieces import PieceModel
+
+    model = PieceModel(tokenizer_path("piece_bpe_32k.model"))
+    model.learn(["▁house", "▁\U0001f9ff"])
+    assert model.kept["▁house"][4] is None and model.kept["▁\U0001f9ff"][4].shape == (2, model.kept["▁\U0001f9ff"][1])
+
+
 def test_pieces_are_the_librarys_and_spans_cover_the_text(spark, tokenizer_path):
     sentencepiece = pytest.importorskip("sentencepiece")
     path = tokenizer_path("piece_bpe_32k.model")

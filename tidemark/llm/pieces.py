@@ -122,7 +122,7 @@ class PieceModel:
             self.code[ord(c)] = i
         self.width = np.array([len(p) for p in self.pieces] or [0], np.int64)
         self.merges = Merges(left, right, rank, made, self.symbols)
-        self.kept: dict[str, tuple[str, int, str, bytes, bytes, bytes]] = {}
+        self.kept: dict[str, tuple[str, int, str, bytes, np.ndarray | None]] = {}
         joined = any(re.search(f"[^{SPACE}]{SPACE}", p) for p in normal)
         alone = "\n" if not any("\n" in p and len(p) > 1 for p in normal) else ""
         self.segments = re.compile("(?s).+" if joined else f"{alone + '|' if alone else ''}{SPACE}*[^{SPACE}{alone}]+|{SPACE}+")
@@ -179,21 +179,18 @@ class PieceModel:
         """Encodes segments not seen before, all at once."""
         codes = self.code[np.frombuffer("".join(segments).encode("utf-32-le"), np.uint32)]
         merged, counts = self.merges.merge(codes, np.fromiter(map(len, segments), np.int64, len(segments)))
-        limit = len(self.pieces)
-        width = np.where(merged < limit, self.width[np.minimum(merged, limit - 1)], 1)
         last = np.cumsum(counts)
-        odd = np.logical_or.reduceat(merged >= limit, last - counts).tolist()
-        places = [x.astype(np.int32).tobytes() for x in (merged, width, np.zeros_like(width))]
-        ids, named = merged.tolist(), self.named.__getitem__
+        odd = np.logical_or.reduceat(merged >= len(self.pieces), last - counts).tolist()
+        ids, raw, named = merged.tolist(), merged.astype(np.int32).tobytes(), self.named.__getitem__
         at = 0
         for text, stop, outside in zip(segments, last.tolist(), odd, strict=True):
-            own, spans = ids[at:stop], [x[4 * at : 4 * stop] for x in places]
-            at = stop
             if outside:
-                changed = self.fall_back(own, text)
-                own, spans = changed[0].tolist(), [x.tobytes() for x in changed]
-            said = self.surface(own) if outside else text.replace(SPACE, " ")
-            self.kept[text] = (" ".join(map(named, own)) + " ", len(own), said, *spans)
+                changed = self.fall_back(ids[at:stop], text)
+                own = changed[0].tolist()
+                self.kept[text] = (" ".join(map(named, own)) + " ", len(own), self.surface(own), changed[0].tobytes(), changed[1:])
+            else:
+                self.kept[text] = (" ".join(map(named, ids[at:stop])) + " ", stop - at, text.replace(SPACE, " "), raw[4 * at : 4 * stop], None)
+            at = stop
 
     def fall_back(self, own: list[int], text: str) -> np.ndarray:
         """Byte pieces, or the unknown id, for symbols outside the vocabulary: ids, the segment's characters that each
@@ -227,15 +224,24 @@ class PieceModel:
             self.learn(list(new))
         return out
 
-    def spans(self, found: list[tuple], starts: list[int] | None, raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Ids of learnt segments, and the original bytes [start, end) of each. Byte pieces of one character share that character's bytes;
-        the space put before a text has none."""
+    def spans(self, sizes: tuple[int, ...], own: tuple[bytes, ...], odd: tuple[np.ndarray | None, ...], starts: list[int] | None, raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of learnt segments (of `sizes` ids), and the original bytes [start, end) of each. `odd` has what fall_back says of
+        segments with symbols outside the vocabulary. Byte pieces of one character share that character's bytes; the space put before
+        a text has none."""
         if starts is None:
             heads = np.flatnonzero(np.frombuffer(raw, np.uint8) & 0xC0 != 0x80)
             place = np.concatenate([[0] * self.dummy_prefix, heads, [len(raw)]]).astype(np.int32)
         else:
             place = np.array(starts, np.int32)
-        ids, width, beyond = (np.frombuffer(b"".join([x[k] for x in found]), np.int32) for k in (3, 4, 5))
+        ids = np.frombuffer(b"".join(own), np.int32)
+        width = self.width[ids]
+        changed = [n for n, x in enumerate(odd) if x is not None]
+        if not changed:
+            last = np.cumsum(width)
+            return ids, place[last - width], place[last]
+        at, beyond = np.cumsum(sizes), np.zeros_like(width)
+        for n in changed:
+            width[at[n] - sizes[n] : at[n]], beyond[at[n] - sizes[n] : at[n]] = odd[n]
         last = np.cumsum(width)
         return ids, place[last - width], place[last + beyond]
 
@@ -273,14 +279,14 @@ def encode_pieces(docs: DataFrame, path: str, id_column: str = "doc_id", text_co
             out: list[tuple] = []
             lists: list[list[np.ndarray]] = [[], [], []]
             for segments, starts, text in model.parts(texts):
-                found = [model.kept[s] for s in segments]
-                said = "".join([x[2] for x in found])
+                ids_texts, sizes, surfaces, own, odd = zip(*map(model.kept.__getitem__, segments), strict=True) if segments else ((),) * 5
+                said = "".join(surfaces)
                 if model.dummy_prefix and said.startswith(" "):
                     said = said[1:]
-                listed = "".join([x[0] for x in found]) + (str(model.end) if end else "")
-                out.append((sum([x[1] for x in found]) + end, listed.rstrip(" "), said))
+                listed = "".join(ids_texts) + (str(model.end) if end else "")
+                out.append((sum(sizes) + end, listed.rstrip(" "), said))
                 if arrays:
-                    for into, part, last in zip(lists, model.spans(found, starts, text), (model.end, len(text), len(text)), strict=True):
+                    for into, part, last in zip(lists, model.spans(sizes, own, odd, starts, text), (model.end, len(text), len(text)), strict=True):
                         into += [part, np.array([last] * end, np.int32)]
             made = [pa.array(x, t) for x, t in zip(zip(*out, strict=True), [pa.int64(), pa.string(), pa.string()], strict=True)]
             if arrays:
