@@ -345,3 +345,18 @@ def test_symbols_of_odd_files(spark):
     assert got == {("open.java", "A"): (1, 2), ("open.java", "A.f"): (2, 2), ("shut.rs", "f"): (2, 3), ("mark.js", "c"): (2, 2), ("string.kt", "f"): (1, 3), ("long.c", "f"): (1, 20_003), ("long.c", "g"): (20_004, 20_004)}
     none = indexing.extract_symbols(spark.createDataFrame([], "path string, text string"))
     assert none.count() == 0
+
+
+def test_the_build_query_gives_each_chunk_once_with_its_file(spark, tmp_path):
+    """Chunks and vectors both name their file; a query of both has the chunk's."""
+    from tidemark.plans import job_queries
+
+    rows = [(0, "one\n\ntwo", "a"), (1, "x. y.\nz.\nrest", "a"), (2, "", "b"), (4, "only", "b")]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.sql("SELECT 1L AS o_orderkey, timestamp_ntz'2001-01-01 00:00:00' AS o_orderdate, 'x' AS o_orderpriority").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.sql("SELECT 1L AS l_orderkey, 1L AS l_partkey, 2.0D AS l_quantity, 1 AS l_linenumber").write.parquet(f"{tmp_path}/lineitem.parquet")
+    found = job_queries.c3(spark, str(tmp_path)).collect()
+    assert sorted((r.file_path, r.symbol_name, r.line_start, r.line_end) for r in found) == [
+        ("a/d0.md", "#", 2, 2), ("a/d0.md", "# one", 1, 1), ("a/d0.md", "# two", 3, 3), ("a/d1.sql", "rest", 3, 3), ("a/d1.sql", "x; y;", 1, 1), ("a/d1.sql", "z;", 2, 2), ("b/d4.sql", "only", 1, 1),
+    ]
+    assert len({r.id for r in found}) == 7 and {r.embed_model for r in found} == {"hashed-words-1"}
