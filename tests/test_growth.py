@@ -7,7 +7,7 @@ import re
 from pyspark.sql import functions as F
 
 from tidemark.functions import scalars
-from tidemark.operators import history, index_store, indexing, lexical, ranking, retrieval, vectors
+from tidemark.operators import history, index_store, indexing, lexical, ranking, retrieval, steps, vectors
 from tidemark.plans import scalar_queries
 from tidemark.sources import bucketed
 
@@ -142,3 +142,36 @@ def test_cosines_of_one_label_are_many_tasks_work(spark, tmp_path):
     assert found.select(F.spark_partition_id().alias("p")).distinct().count() == 4
     same = rows.alias("x").join(rows.alias("y"), F.expr("x.vec_id % 25 = 3")).select(F.col("x.vec_id").alias("a_id"), F.col("y.vec_id").alias("b_id"), F.round(scalars.cosine_distance("x.embedding", "y.embedding"), 9).alias("dist"))
     assert sorted(map(tuple, found.collect())) == sorted(map(tuple, same.collect()))
+
+
+def test_stored_chunks_hold_a_text_once_in_slices_too(spark, tmp_path, monkeypatch):
+    """Names that stand in the preview are kept as places, whatever the chunk's kind; a table in slices is the same table."""
+    monkeypatch.setattr(bucketed, "SLICE_BYTES", 1)
+    monkeypatch.setattr(bucketed, "SLICE_BUCKETS", 2)
+    long = "# é😀 " + "word " * 60
+    files = spark.createDataFrame([("a.md", f"  {long}\nrest\n# two\n", "h"), ("b.py", "class A:\n    def f(self):\n        return 1\n", "h"), ("c.sql", "  \nselect 1;\n", "h")], "path string, text string, content_hash string")
+    log = spark.createDataFrame([("s", datetime.datetime(2024, 1, 1), "a change worth a note", "a.md", 1, 0)], "sha string, ts timestamp_ntz, message string, path string, added long, deleted long")
+    root, embedder = f"file://{tmp_path}/index", vectors.HashedWords(4)
+    index_store.build(spark, root, files, log, embedder, "2024-02-01", 8)
+    want = indexing.build_index(files, log, embedder, "2024-02-01")
+    rows = lambda table: sorted(map(str, table.select(*sorted(table.columns)).collect()))
+    index = index_store.load_index(spark, root)
+    assert all(rows(index[t]) == rows(want[t]) for t in ("chunks", "vectors", "files", "bridge"))
+    stored = bucketed.read_tables(spark, root)["chunks"]
+    assert stored.filter("file_path <> 'b.py' and (symbol_name is not null or qualified_name is not null)").count() == 0
+    assert stored.filter("file_path = 'b.py' and qualified_name = 'A.f'").count() == 1 and stored.count() == 5
+
+
+def test_steps_leave_no_shuffles(spark, tmp_path):
+    import glob
+    import time
+
+    there = lambda: set(glob.glob(f"{spark.sparkContext.getConf().get('spark.local.dir')}/**/shuffle_*.data", recursive=True))
+    before = there()
+    df = spark.range(20_000).selectExpr("id", "sha2(string(id), 256) AS text").repartition(3, "text")
+    kept = steps.step(df)
+    for _ in range(100):
+        if not (left := there() - before):
+            break
+        time.sleep(0.1)
+    assert not left and kept.count() == 20_000

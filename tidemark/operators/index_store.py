@@ -16,16 +16,34 @@ from pyspark.sql import functions as F
 
 from tidemark.operators.history import UPDATE_LIMIT, apply_history, file_history, link_chunks
 from tidemark.operators.indexing import build_index, update_index
+from tidemark.operators.steps import save
 from tidemark.operators.vectors import Embedder
 from tidemark.sources.bucketed import BUCKETS, bucket_count, bucket_of, publish, read_tables
 from tidemark.sources.snapshots import remove
 
 
+def packed(chunks: DataFrame) -> DataFrame:
+    """Chunks without the texts that their previews hold: a name that stands in the preview is kept as its place there, a
+    qualified name that is the name as a mark."""
+    at, same = F.expr("instr(body_preview, symbol_name)"), F.coalesce(F.col("qualified_name") == F.col("symbol_name"), F.lit(False))
+    place = F.when(at > 0, F.struct(at.alias("at"), F.char_length("symbol_name").alias("size")))
+    return chunks.withColumns({"_named": place, "_same": same, "symbol_name": F.when(at > 0, None).otherwise(F.col("symbol_name")), "qualified_name": F.when(same, None).otherwise(F.col("qualified_name"))})
+
+
+def unpacked(chunks: DataFrame) -> DataFrame:
+    """The reverse; chunks that were stored whole stay as they are."""
+    if "_named" not in chunks.columns:
+        return chunks
+    name = F.when(F.col("_named").isNotNull(), F.substring("body_preview", F.col("_named.at"), F.col("_named.size"))).otherwise(F.col("symbol_name"))
+    return chunks.withColumns({"symbol_name": name, "qualified_name": F.when(F.col("_same"), name).otherwise(F.col("qualified_name"))}).drop("_named", "_same")
+
+
 def dealt(index: dict[str, DataFrame], buckets: int) -> dict[str, DataFrame]:
     """The tables with their bucket, that of the path they belong to."""
     if "file_path" not in index["vectors"].columns:
         index = index | {"vectors": index["vectors"].join(index["chunks"].select(F.col("id").alias("chunk_id"), "file_path"), "chunk_id")}
     out = {"files": "path", "history": "path", "links": "path", "chunks": "file_path", "vectors": "file_path"}
+    index = index | {"chunks": packed(index["chunks"])}
     tables = {name: index[name].withColumn("bucket", bucket_of(key, buckets)) for name, key in out.items()}
     named = tables["links"].select(F.col("commit_sha").alias("sha"), "bucket").distinct()
     return tables | {"commits": index["commits"].join(named, "sha")}
@@ -38,7 +56,7 @@ def staging(spark: SparkSession, root: str) -> Iterator[Callable[[DataFrame], Da
 
     def held(df: DataFrame) -> DataFrame:
         path = f"{home}/{uuid.uuid4().hex}"
-        df.write.parquet(path)
+        save(df, path)
         return spark.read.schema(df.schema).parquet(path)
 
     try:
@@ -60,6 +78,7 @@ def create_index(spark: SparkSession, index: dict[str, DataFrame], root: str, bu
 def load_index(spark: SparkSession, root: str, touched: list[int] | None = None) -> dict[str, DataFrame]:
     """The tables of the newest whole version (of some buckets)."""
     index = {name: df.drop("bucket") for name, df in read_tables(spark, root, touched).items()}
+    index["chunks"] = unpacked(index["chunks"])
     bridge = link_chunks(index["chunks"], index["links"].withColumnRenamed("commit_sha", "sha"))
     return index | {"bridge": bridge, "commits": index["commits"].dropDuplicates(["sha"])}
 

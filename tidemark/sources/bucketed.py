@@ -11,16 +11,18 @@ from __future__ import annotations
 
 import json
 import uuid
-from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
-from tidemark.sources.snapshots import files_below, read_table, remove, remove_old, write_table
+from tidemark.operators.steps import save
+from tidemark.sources.snapshots import bytes_below, files_below, read_table, remove, remove_old, write_table
 
 BUCKETS = 64
+#: What a set may hold, in bytes, for each slice of buckets that a table is written in, and the fewest buckets of one.
+SLICE_BYTES, SLICE_BUCKETS = 128 << 20, 24
 POINTER = "name string, bucket int, version string, schema string, buckets int"
 
 
@@ -42,14 +44,14 @@ def read_tables(spark: SparkSession, root: str, touched: list[int] | None = None
     out = {}
     for name in sorted({r.name for r in rows}):
         own = [r for r in rows if r.name == name]
-        schema = StructType.fromJson(json.loads(own[0].schema))
+        schemas = {r.version: StructType.fromJson(json.loads(r.schema)) for r in own}  # a version may lack columns of a later one
         held = sorted((r.version, r.bucket) for r in own if r.version is not None and (touched is None or r.bucket in touched))
-        whole = StructType([*schema.fields, StructField("bucket", IntegerType())])
+        whole = lambda version: StructType([*schemas[version].fields, StructField("bucket", IntegerType())])  # noqa: B023, E731
         parts = []
         for version in sorted({v for v, _ in held}):  # a version's buckets are folders of one partitioned table
             paths = [f"{root}/{name}/{version}/bucket={b}" for v, b in held if v == version]
-            parts.append(spark.read.option("basePath", f"{root}/{name}/{version}").schema(whole).parquet(*paths))
-        table = reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], whole)
+            parts.append(spark.read.option("basePath", f"{root}/{name}/{version}").schema(whole(version)).parquet(*paths))
+        table = reduce(lambda a, b: a.unionByName(b, True), parts) if parts else spark.createDataFrame([], whole(own[0].version))
         out[name] = table
     return out
 
@@ -59,19 +61,23 @@ def publish(spark: SparkSession, root: str, tables: dict[str, DataFrame], bucket
     publishes them together; other buckets and tables stay as they are."""
     old = [] if touched is None else pointer(spark, root).collect()
     version = f"v={uuid.uuid4().hex}"
+    # A large table is written in slices of buckets, so that the disk holds the shuffles of one slice.
+    mine = list(range(buckets) if touched is None else touched)
+    slices = max(1, min(bytes_below(spark, root) // SLICE_BYTES + 1, len(mine) // SLICE_BUCKETS))
 
     def write(name: str) -> list[tuple]:
         df = tables[name]
         schema = StructType([f for f in df.schema.fields if f.name != "bucket"])
         path = f"{root}/{name}/{version}"
         # A bucket's rows lie together, so that a version has about one file for each bucket.
-        df.select(*schema.names, "bucket").repartition("bucket").write.partitionBy("bucket").parquet(path)
+        for k in range(slices):
+            rows = df.select(*schema.names, "bucket")
+            save((rows.filter(F.col("bucket").isin(mine[k::slices])) if slices > 1 else rows).repartition("bucket"), path, "bucket")
         there = {int(p.rsplit("=", 1)[1]) for p in files_below(spark, path) if "bucket=" in p}
-        return [(name, b, version if b in there else None, schema.json(), buckets) for b in (range(buckets) if touched is None else touched)]
+        return [(name, b, version if b in there else None, schema.json(), buckets) for b in mine]
 
-    # The tables' jobs run side by side; most are small.
-    with ThreadPoolExecutor(len(tables)) as pool:
-        new = [row for rows in pool.map(write, tables) for row in rows]
+    # One after the other, so that the disk holds the shuffles of one table, and the driver its plan.
+    new = [row for name in tables for row in write(name)]
     fresh = {(r[0], r[1]) for r in new}
     rows = [tuple(r) for r in old if (r.name, r.bucket) not in fresh] + new
     write_table(spark.createDataFrame(rows, POINTER).coalesce(1), f"{root}/pointer")

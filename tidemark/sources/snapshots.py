@@ -33,6 +33,11 @@ def files_below(spark: SparkSession, path: str) -> list[str]:
     return sorted(x.getPath().toString() for x in fs.listStatus(where) if x.isDirectory()) if fs.exists(where) else []
 
 
+def bytes_below(spark: SparkSession, path: str) -> int:
+    fs, where = file_system(spark, path)
+    return fs.getContentSummary(where).getLength() if fs.exists(where) else 0
+
+
 def remove(spark: SparkSession, path: str) -> None:
     fs, where = file_system(spark, path)
     fs.delete(where, True)
