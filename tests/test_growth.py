@@ -175,3 +175,31 @@ def test_steps_leave_no_shuffles(spark, tmp_path):
             break
         time.sleep(0.1)
     assert not left and kept.count() == 20_000
+
+
+def test_long_keywords_meet_few_memories(spark):
+    """Notes of the same words in another order share every trigram, but not longer runs: a pair is a match, not a guess."""
+    rng = random.Random(5)
+    words = ["alder", "birch", "cedar", "drum", "elder", "fern", "grass", "holly"]
+    said = [" ".join(rng.choices(words, k=60)) for _ in range(120)]
+    table = spark.createDataFrame([(f"n{i:03}", "p", "active", t[:40], t, None, datetime.datetime(2024, 1, 1)) for i, t in enumerate(said)], "id string, project_id string, status string, title string, content string, facts array<string>, created_at timestamp")
+    queries = spark.createDataFrame([(f"q{i:03}", "p", t[60:110]) for i, t in enumerate(said)], "query_id string, project_id string, keyword string")
+    found = lexical.keyword_pairs(queries, table)
+    want = sorted((t[60:110], f"n{i:03}") for t in {x[60:110]: x for x in said}.values() for i, other in enumerate(said) if t[60:110] in other)
+    assert sorted((r.keyword, r.id) for r in found.collect()) == want
+    grams = [lexical.own_runs(q.keyword.encode()) for q in queries.collect()]
+    texts = [lexical.run_hashes(lexical.np.frombuffer(t.encode(), "uint8")) for t in said]
+    assert all(len(lexical.np.intersect1d(g, t)) == len(g) for g, t in zip(grams, texts, strict=True))
+    assert sum(min(sum(n in t for t in texts) for n in g) for g in grams) < len(said) ** 2 / 10
+    assert list(lexical.own_runs(b"short")) == list(lexical.own_grams(b"short"))
+
+
+def test_long_runs_across_windows(spark, monkeypatch):
+    monkeypatch.setattr(lexical, "WINDOW", 32)
+    text = bytes(random.Random(7).choices(range(97, 123), k=300))
+    every = set(lexical.run_hashes(lexical.np.frombuffer(text, "uint8")).tolist())
+    for keyword in (text[at : at + size] for at in range(250) for size in (16, 17, 40)):
+        assert set(lexical.own_runs(keyword).tolist()) <= every
+    bits = lexical.np.full(lexical.BITS // 8 + 1, 255, lexical.np.uint8)
+    assert set(lexical.distinct_runs(text, bits).tolist()) == every and len(every) == 285
+    assert len(lexical.distinct_runs(b"x" * 15, bits)) == 0 and len(lexical.distinct_runs(b"", bits)) == 0
